@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language, mixing, near_dedup, tokens
+from . import chat, decontamination, exact_dedup, language, licenses, mixing, near_dedup, pii, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_findings(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_table(_table(spark, sf_dir, "conversations"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_findings(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +54,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_exact_dedup, op6_decontamination, op9_mixing, op10_token_output)}
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.EXACT_SQL, "op6_decontamination": decontamination.CONTAMINATION_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_exact_dedup, op4_secret_scan, op5_chat_format, op6_decontamination, op7_pii_surrogates, op8_license_scan, op9_mixing, op10_token_output)}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.EXACT_SQL, "op5_chat_format": chat.CHAT_SQL, "op6_decontamination": decontamination.CONTAMINATION_SQL}
