@@ -48,7 +48,8 @@ def in_one_task(df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], sch
     rows = df.limit(most + 1).count()
     if rows > most:
         raise ValueError(f"a sequential step over more than {most} rows; take a subgraph or raise the bound")
-    return df.coalesce(1).mapInPandas(lambda parts: _gathered(parts, step, df.columns), schema)
+    columns = df.columns
+    return df.coalesce(1).mapInPandas(lambda parts: _gathered(parts, step, columns), schema)
 
 
 def _gathered(parts, step, columns):
