@@ -1,6 +1,760 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import decay, text, values, vectors
+from .functions.temporal import is_valid_at, is_valid_during
+from .operators import aggregates, budget, centrality, community, filters, flow, importance, joins, paths, profile, ranking, resolve, search, similarity, timeline, traversal
+from .operators.filters import EdgeFilter, NodeFilter
+from .plans import context, cypher
+from .sources import exchange, tables
+from .streaming import cdc, ttl
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# ---- shared SQL: the same graphs, for DuckDB
+TRADE = """
+tw AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+       JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+e AS MATERIALIZED (SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(n AS DOUBLE) AS w, row_number() OVER (ORDER BY a, b) AS edge_id
+      FROM tw WHERE 10 * n * (SELECT count(*) FROM tw) >= 11 * (SELECT sum(n) FROM tw)),
+v AS MATERIALIZED (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey AS region FROM nation),
+u AS MATERIALIZED (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
+s AS MATERIALIZED (SELECT DISTINCT a, b FROM u WHERE a <> b)
+"""
+T12 = tables.SPAN
+KNOWLEDGE = f"""
+kn AS MATERIALIZED (
+  SELECT CAST(r_regionkey AS BIGINT) AS id, 'region' AS label, r_name AS name, CAST(0 AS BIGINT) AS tx FROM region
+  UNION ALL SELECT n_nationkey + {T12}, 'nation', n_name, 0 FROM nation
+  UNION ALL SELECT c_custkey + {2 * T12}, 'customer', c_name, 0 FROM customer
+  UNION ALL SELECT s_suppkey + {3 * T12}, 'supplier', s_name, 0 FROM supplier
+  UNION ALL SELECT p_partkey + {4 * T12}, 'part', p_name, 0 FROM part
+  UNION ALL SELECT o_orderkey + {5 * T12}, 'orders', NULL, epoch_ms(o_orderdate) FROM orders),
+ke AS MATERIALIZED (
+  SELECT n_nationkey + {T12} AS src, CAST(n_regionkey AS BIGINT) AS dst, 'in_region' AS label, 1.0 AS w, CAST(0 AS BIGINT) AS vf FROM nation
+  UNION ALL SELECT c_custkey + {2 * T12}, c_nationkey + {T12}, 'located_in', 1.0, 0 FROM customer
+  UNION ALL SELECT s_suppkey + {3 * T12}, s_nationkey + {T12}, 'located_in', 1.0, 0 FROM supplier
+  UNION ALL SELECT o_orderkey + {5 * T12}, o_custkey + {2 * T12}, 'placed_by', 1.0, epoch_ms(o_orderdate) FROM orders
+  UNION ALL SELECT l_orderkey + {5 * T12}, l_partkey + {4 * T12}, 'contains', sum(l_quantity), min(epoch_ms(l_shipdate)) FROM lineitem GROUP BY l_orderkey, l_partkey)
+"""
+DISTANCES = "r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, s.b, r.d + 1 FROM r JOIN s ON s.a = r.n WHERE r.d < 24), dist AS MATERIALIZED (SELECT s, n, min(d) AS d FROM r GROUP BY ALL)"
+
+
+def unrolled(start: str, step: str, rounds: int) -> str:
+    """CTEs p0 .. p{rounds}; {p} in step is the table before."""
+    return ",\n".join([f"p0 AS MATERIALIZED ({start})", *(f"p{i} AS MATERIALIZED ({step.replace('{p}', f'p{i - 1}')})" for i in range(1, rounds + 1))])
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def score(df: DataFrame, *names: str) -> DataFrame:
+    """Scores to six places, for comparison."""
+    for n in names or ("score",):
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+def ids(spark: SparkSession, *of: int) -> DataFrame:
+    return spark.createDataFrame([(i, 1.0) for i in of], "node_id long, score double")
+
+
+# ---- scans, filters, projections
+@query(f"WITH {KNOWLEDGE} SELECT label, count(*) AS n FROM kn GROUP BY label")
+def node_label_counts(spark, d):
+    return aggregates.label_counts(tables.knowledge(spark, d))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT label, count(*) AS n FROM ke GROUP BY label")
+def edge_label_counts(spark, d):
+    return aggregates.edge_label_counts(tables.knowledge(spark, d))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT id AS node_id, label, name FROM kn WHERE id = {T12 + 3}")
+def node_lookup(spark, d):
+    return filters.node_by_id(tables.knowledge(spark, d), T12 + 3).select("node_id", "label", F.col("props")["name"].alias("name"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT id AS node_id, label FROM kn WHERE name = (SELECT min(r_name) FROM region) AND label = 'region'")
+def node_by_entity_key(spark, d):
+    key = tables.table(spark, d, "region").agg(F.min("r_name")).first()[0]
+    return filters.node_by_key(tables.knowledge(spark, d), key).select("node_id", "label")
+
+
+@query(f"SELECT count(*) AS n FROM part WHERE p_size > 25")
+def property_predicate(spark, d):
+    return filters.nodes_where(tables.knowledge(spark, d), "size", lambda v: v.cast("int") > 25).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT c_custkey + {2 * T12} AS node_id, count(*) OVER () AS total FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY 1 LIMIT 100")
+def property_search(spark, d):
+    return filters.search_property(tables.knowledge(spark, d), "segment", "BUILDING").select("node_id", "total")
+
+
+@query(f"WITH {KNOWLEDGE} SELECT label, count(*) AS n FROM ke WHERE label IN ('contains', 'placed_by') AND w >= 10 AND vf <= 800000000000 GROUP BY label")
+def edge_filters(spark, d):
+    return EdgeFilter(labels=("contains", "placed_by"), min_weight=10, valid_at=800000000000)(tables.knowledge(spark, d).edges).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT count(*) AS n FROM ke WHERE label = 'contains' AND greatest(1000000000000 - vf, 0) <= 250000000000")
+def edge_age_filter(spark, d):
+    return EdgeFilter(labels=("contains",), max_age_ms=250000000000, now=1000000000000)(tables.knowledge(spark, d).edges).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT kn.label, count(DISTINCT kn.id) AS n FROM kn JOIN (SELECT src AS id FROM ke WHERE vf <= 800000000000 UNION SELECT dst FROM ke WHERE vf <= 800000000000) x USING (id) WHERE name IS NOT NULL GROUP BY 1")
+def node_filters(spark, d):
+    return NodeFilter(has_properties=("name",), valid_at=800000000000)(tables.knowledge(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey + {4 * T12} AS node_id, 'brand: ' || p_brand || chr(10) || 'name: ' || p_name || chr(10) || 'size: ' || p_size AS content FROM part")
+def content_projection(spark, d):
+    return tables.knowledge(spark, d).nodes.where("label = 'part'").select("node_id", filters.content(F.col("props")).alias("content"))
+
+
+@query("SELECT 'user-' || (user_id % 10) AS graph, count(*) AS n FROM events WHERE user_id % 10 IN (1, 2) GROUP BY 1")
+def acl_filter(spark, d):
+    rules = [("user-1", "read"), ("user-2", "readwrite"), ("user-*", "none")]
+    return filters.allowed(tables.change_events(spark, d), rules).groupBy("graph").agg(F.count("*").alias("n"))
+
+
+# ---- joins
+@query(f"WITH {TRADE} SELECT a AS node_id, b AS neighbor, w AS weight FROM u WHERE a < 5")
+def neighbors_both(spark, d):
+    g = tables.trade(spark, d)
+    return joins.neighbors(g, g.nodes.where("node_id < 5"), "both").select("node_id", "neighbor", "weight")
+
+
+@query(f"WITH {KNOWLEDGE} SELECT ke.src AS node_id, count(*) AS n FROM ke WHERE vf <= 800000000000 AND label = 'contains' GROUP BY 1")
+def temporal_neighbors(spark, d):
+    g = tables.knowledge(spark, d)
+    return joins.neighbors(g, g.nodes, "out", "contains", 800000000000).groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TRADE} SELECT a AS src, b AS dst, w AS weight FROM e ORDER BY a, b LIMIT 1")
+def edge_between(spark, d):
+    g = tables.trade(spark, d)
+    first = g.edges.orderBy("src", "dst").first()
+    return joins.edge_between(g, first["src"], first["dst"]).select("src", "dst", "weight")
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL")
+def common_neighbor_counts(spark, d):
+    return joins.common_neighbors(tables.trade(spark, d)).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT DISTINCT ke.label, x.label AS src_label, y.label AS dst_label FROM ke JOIN kn x ON ke.src = x.id JOIN kn y ON ke.dst = y.id")
+def endpoint_labels(spark, d):
+    return joins.endpoint_labels(tables.knowledge(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT a, b, w FROM e WHERE a < 12 AND b < 12")
+def induced_subgraph(spark, d):
+    g = tables.trade(spark, d)
+    return joins.induced(g, g.nodes.where("node_id < 12")).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT count(*) AS n FROM ke WHERE src NOT IN (SELECT id FROM kn) OR dst NOT IN (SELECT id FROM kn)")
+def integrity_check(spark, d):
+    return profile.check(tables.knowledge(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT least(x.n_nationkey, y.n_nationkey) + 1000000000000 AS node_a, greatest(x.n_nationkey, y.n_nationkey) + 1000000000000 AS node_b, 'name' AS key FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_name <> y.n_name")
+def conflict_detection(spark, d):
+    chunks = tables.knowledge(spark, d).nodes.where("label = 'nation'").withColumn("score", F.lit(1.0))
+    return joins.conflicts(chunks).select("node_a", "node_b", "key")
+
+
+# ---- aggregates and Cypher
+@query("SELECT count(*) AS n, count(p_size) AS sized, count(DISTINCT p_brand) AS brands, CAST(sum(p_size) AS DOUBLE) AS total, round(avg(p_size), 6) AS mean, CAST(min(p_size) AS DOUBLE) AS least, CAST(max(p_size) AS DOUBLE) AS most FROM part")
+def cypher_aggregates(spark, d):
+    found = cypher.run(tables.knowledge(spark, d), "MATCH (n:part) RETURN COUNT(*) AS n, COUNT(n.size) AS sized, COUNT(DISTINCT n.brand) AS brands, SUM(n.size) AS total, AVG(n.size) AS mean, MIN(n.size) AS least, MAX(n.size) AS most")
+    return score(found, "mean")
+
+
+@query("SELECT array_to_string(list(n_name ORDER BY n_nationkey), '|') AS names FROM nation")
+def cypher_collect(spark, d):
+    return cypher.run(tables.knowledge(spark, d), "MATCH (n:nation) RETURN COLLECT(n.name) AS names").select(F.array_join("names", "|").alias("names"))
+
+
+@query("SELECT p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_size >= 40 AND (p_brand LIKE '%1%') OR p_size < 3 ORDER BY p_size DESC, p_partkey DESC LIMIT 20 OFFSET 5")
+def cypher_where(spark, d):
+    return cypher.run(tables.knowledge(spark, d), "MATCH (n:part) WHERE n.size >= 40 AND n.brand CONTAINS '1' OR n.size < 3 RETURN n.name AS name, n.size AS size ORDER BY n.size DESC SKIP 5 LIMIT 20")
+
+
+@query(f"SELECT c_custkey + {2 * T12} AS a_id, c_nationkey + {T12} AS b_id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def cypher_pattern(spark, d):
+    return cypher.run(tables.knowledge(spark, d), "MATCH (a:customer)-[r:located_in]->(b:nation) WHERE a.segment = 'BUILDING'").select("a_id", "b_id")
+
+
+@query(f"WITH {TRADE}, g AS (SELECT id, (SELECT count(*) FROM u WHERE a = id) AS k FROM v), o AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM g) SELECT min(k) AS min_degree, max(k) AS max_degree, round(avg(k), 6) AS avg_degree, max(k) FILTER (i = n // 2) AS p50, max(k) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, max(k) FILTER (i = least(floor(n * 0.99), n - 1)) AS p99 FROM o")
+def degree_distribution(spark, d):
+    return aggregates.degree_distribution(tables.trade(spark, d))
+
+
+WORDS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 2)"
+POSTINGS = f"""
+dw AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL), dl AS (SELECT doc_id, w, len(w) AS dl FROM dw WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, dl, unnest(w) AS term FROM dl) GROUP BY ALL)
+"""
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
+def text_statistics(spark, d):
+    postings, _ = aggregates.text_statistics(tables.documents(spark, d))
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+# ---- ranking and budgets
+@query(f"WITH {TRADE}, x AS (SELECT a AS id, row_number() OVER (ORDER BY sum(w) DESC, a) AS r FROM e GROUP BY a), y AS (SELECT b AS id, row_number() OVER (ORDER BY sum(w) DESC, b) AS r FROM e GROUP BY b) SELECT id AS node_id, round(sum(p), 6) AS score FROM (SELECT id, 1.0 / (60 + r) AS p FROM x UNION ALL SELECT id, 0.8 / (60 + r) FROM y) GROUP BY id")
+def rank_fusion(spark, d):
+    e = tables.trade(spark, d).edges
+    side = lambda c: e.groupBy(F.col(c).alias("node_id")).agg(F.sum("weight").alias("score"))
+    return score(ranking.fuse([(side("src"), 1.0), (side("dst"), 0.8)]))
+
+
+@query(f"WITH {TRADE}, x AS (SELECT a AS id, sum(w) AS t FROM e GROUP BY a) SELECT id AS node_id, round(t / (SELECT max(t) FROM x), 6) AS score FROM x")
+def max_normalized(spark, d):
+    return score(ranking.normalized(tables.trade(spark, d).edges.groupBy(F.col("src").alias("node_id")).agg(F.sum("weight").alias("score"))))
+
+
+def _chunks(spark, d):
+    docs = tables.documents(spark, d)
+    return docs.select("node_id", F.col("source").alias("label"), (F.length("text") % 97 / 97.0).alias("score"), text.char_tokens("text").alias("tokens"), F.col("text").alias("content"))
+
+
+CHUNKS = "c AS (SELECT doc_id AS id, source AS label, length(text) % 97 / 97.0 AS score, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, o AS (SELECT id, tokens, row_number() OVER (ORDER BY CASE WHEN tokens > 0 THEN -score / tokens ELSE -1e300 END, id) AS i FROM c),
+    p(i, used, id, took) AS (SELECT 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false UNION ALL
+      SELECT o.i, CASE WHEN p.used + o.tokens <= 16384 THEN p.used + o.tokens ELSE p.used END, o.id, p.used + o.tokens <= 16384 FROM p JOIN o ON o.i = p.i + 1)
+    SELECT id AS node_id FROM p WHERE took"""
+)
+def budget_greedy(spark, d):
+    return budget.greedy(_chunks(spark, d), budget.PRESETS["16k"]).select("node_id")
+
+
+@query()
+def budget_proportional(spark, d):
+    return budget.proportional(_chunks(spark, d), 8192).select("node_id", "label")
+
+
+@query()
+def budget_mmr(spark, d):
+    return budget.mmr(ranking.top(_chunks(spark, d), 500), 8192).select("node_id", "label")
+
+
+@query()
+def budget_submodular(spark, d):
+    return budget.submodular(ranking.top(_chunks(spark, d), 500), 8192).select("node_id", "label")
+
+
+@query("SELECT n_nationkey AS node_id, round(CASE WHEN lower('nation ' || n_name) LIKE '%united states%' THEN 0.2 ELSE 0 END + 0.75 * ((CASE WHEN list_contains(regexp_extract_all(lower('nation ' || n_name), '[a-z0-9]+'), 'united') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(regexp_extract_all(lower('nation ' || n_name), '[a-z0-9]+'), 'states') THEN 1 ELSE 0 END)) / 2, 6) AS score FROM nation")
+def lexical_rerank(spark, d):
+    return score(tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), ranking.lexical_score("united states", F.lit("nation"), F.col("n_name")).alias("score"))).withColumn("node_id", F.col("node_id").cast("int"))
+
+
+# ---- scalar functions
+@query("SELECT o_orderkey AS id, round(CASE WHEN t >= 900000000000 THEN o_totalprice ELSE o_totalprice * pow(0.5, (900000000000 - t) / 5e10) END, 4) AS exponential, round(CASE WHEN t >= 900000000000 THEN o_totalprice ELSE o_totalprice * greatest(0, 1 - (900000000000 - t) / 2e11) END, 4) AS linear, round(CASE WHEN t >= 900000000000 OR 900000000000 - t < 100000000000 THEN o_totalprice ELSE 0 END, 4) AS step FROM (SELECT *, epoch_ms(o_orderdate) AS t FROM orders)")
+def decay_functions(spark, d):
+    o = tables.table(spark, d, "orders").withColumn("t", tables.millis("o_orderdate"))
+    s, t, now = F.col("o_totalprice"), F.col("t"), 900000000000
+    out = o.select(F.col("o_orderkey").alias("id"), decay.exponential(s, t, now, 50_000_000_000).alias("exponential"), decay.linear(s, t, now, 200_000_000_000).alias("linear"), decay.step(s, t, now, 100_000_000_000).alias("step"))
+    for c in ("exponential", "linear", "step"):
+        out = out.withColumn(c, F.round(c, 4))
+    return out
+
+
+@query("SELECT source, CAST(sum(CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM documents GROUP BY source")
+def token_counts(spark, d):
+    return tables.documents(spark, d).groupBy("source").agg(F.sum(text.char_tokens("text")).alias("tokens"))
+
+
+@query(f"SELECT p_partkey + {4 * T12} AS node_id, CAST((length(p_name) + length(p_brand) + length(CAST(p_size AS VARCHAR))) // 4 AS BIGINT) AS tokens FROM part")
+def node_token_estimate(spark, d):
+    return tables.knowledge(spark, d).nodes.where("label = 'part'").select("node_id", values.node_tokens(F.col("props")).alias("tokens"))
+
+
+@query("SELECT n_name AS a, r_name AS b, round(jaro_winkler_similarity(n_name, r_name), 6) AS score FROM nation, region")
+def jaro_winkler(spark, d):
+    pairs = tables.table(spark, d, "nation").crossJoin(F.broadcast(tables.table(spark, d, "region")))
+    return score(pairs.select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), text.jaro_winkler("n_name", "r_name").alias("score")))
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS cosine, round(1 - list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS ip FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE x.label = 3")
+def vector_distances(spark, d):
+    e = tables.table(spark, d, "embeddings").where("label = 3")
+    x, y = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(vectors.cosine_distance(F.col("va"), F.col("vb")), 5).alias("cosine"), F.round(vectors.inner_product_distance(F.col("va"), F.col("vb")), 5).alias("ip"))
+
+
+# ---- traversal and paths
+@query(f"WITH RECURSIVE {KNOWLEDGE}, r(id, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT ke.src, r.d + 1 FROM r JOIN ke ON ke.dst = r.id WHERE r.d < 3) SELECT id AS node_id, min(d) AS depth FROM r GROUP BY id")
+def bfs_in(spark, d):
+    return traversal.bfs(tables.knowledge(spark, d), ids(spark, 0), 3, direction="in").select("node_id", "depth")
+
+
+@query(f"WITH RECURSIVE {TRADE}, r(id, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id WHERE r.d < 3) SELECT id AS node_id, round(pow(0.5, min(d)), 6) AS score, min(d) AS depth FROM r GROUP BY id")
+def flow_scores(spark, d):
+    return score(traversal.flow_scores(tables.trade(spark, d), ids(spark, 1), 0.5, 0.01, 3))
+
+
+@query(f"WITH RECURSIVE {TRADE}, r(id, d) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT u.b, r.d + 1 FROM r JOIN u ON u.a = r.id WHERE r.d < 1), n AS (SELECT DISTINCT id FROM r) SELECT e.a, e.b, e.w FROM e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id")
+def ego_network(spark, d):
+    return traversal.ego_network(tables.trade(spark, d), 2, 1)[1].select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+
+
+@query(f"WITH RECURSIVE {TRADE}, r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 10) SELECT s AS source, n AS node_id, min(d) AS hops FROM r GROUP BY ALL")
+def hop_distances(spark, d):
+    g = tables.trade(spark, d)
+    return paths.hop_paths(g, g.nodes).select("source", "node_id", "hops")
+
+
+_RELAX = "SELECT id, min(d) AS d FROM (SELECT id, d FROM {p} UNION ALL SELECT e.b, {p}.d + 1 / e.w FROM {p} JOIN e ON e.a = {p}.id) GROUP BY id"
+
+
+@query(f"WITH {TRADE}, {unrolled('SELECT CAST(1 AS BIGINT) AS id, 0.0::DOUBLE AS d', _RELAX, 14)} SELECT id AS node_id, round(d, 6) AS dist FROM p14")
+def weighted_distances(spark, d):
+    return score(paths.bellman_ford(tables.trade(spark, d), 1), "dist")
+
+
+@query()
+def k_shortest_paths(spark, d):
+    return paths.k_shortest(tables.trade(spark, d), 1, 2, 5)
+
+
+@query()
+def scored_paths(spark, d):
+    return paths.scored_paths(tables.trade(spark, d), ids(spark, 1, 2, 3))
+
+
+@query(f"WITH RECURSIVE {TRADE}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.n), m AS (SELECT s, min(n) AS root FROM r GROUP BY s) SELECT s AS node_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS component FROM m")
+def connected_components(spark, d):
+    return paths.connected_components(tables.trade(spark, d))
+
+
+@query(f"WITH RECURSIVE {TRADE}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n), m AS (SELECT x.s, min(x.n) AS c FROM r x JOIN r y ON x.s = y.n AND x.n = y.s GROUP BY x.s) SELECT s AS node_id, c AS component, count(*) OVER (PARTITION BY c) AS size FROM m")
+def strong_components(spark, d):
+    return paths.strong_components(tables.trade(spark, d))
+
+
+@query()
+def neighbor_sampling(spark, d):
+    return traversal.sample_neighbors(tables.trade(spark, d), ids(spark, 1, 2, 3), [4, 2])
+
+
+@query()
+def random_walks(spark, d):
+    g = tables.trade(spark, d)
+    return traversal.random_walks(g, g.nodes, 10)
+
+
+@query()
+def node2vec_walks(spark, d):
+    return traversal.node2vec_walks(tables.trade(spark, d), 2, 8, 0.5, 2.0)
+
+
+# ---- centralities
+_TELEPORT = 0.15
+_PR = f"""SELECT v.id, {_TELEPORT} / 25 + (1 - {_TELEPORT}) * (coalesce(x.s, 0) + (SELECT coalesce(sum({{p}}.x), 0) FROM {{p}} WHERE id NOT IN (SELECT a FROM e)) / 25) AS x
+FROM v LEFT JOIN (SELECT e.b, sum({{p}}.x / k.k) AS s FROM e JOIN {{p}} ON e.a = {{p}}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"""
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _PR, 20)} SELECT id AS node_id, round(x, 6) AS score FROM p20")
+def pagerank(spark, d):
+    return score(centrality.pagerank(tables.trade(spark, d)))
+
+
+_PPR = """SELECT v.id, 0.15 * (v.id = 1)::INT + 0.85 * (coalesce(x.s, 0) + (SELECT coalesce(sum({p}.x), 0) FROM {p} WHERE id NOT IN (SELECT a FROM e)) * (v.id = 1)::INT) AS x
+FROM v LEFT JOIN (SELECT e.b, sum({p}.x / k.k) AS s FROM e JOIN {p} ON e.a = {p}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"""
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _PPR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+def personalized_pagerank(spark, d):
+    return score(centrality.personalized_pagerank(tables.trade(spark, d), ids(spark, 1), 0.15, 10))
+
+
+_AR = "SELECT v.id, 0.15 / 25 + 0.85 * coalesce(x.s, 0) AS x FROM v LEFT JOIN (SELECT e.b, sum({p}.x / (k.k + (SELECT count(*) / 25.0 FROM e))) AS s FROM e JOIN {p} ON e.a = {p}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _AR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+def article_rank(spark, d):
+    return score(centrality.article_rank(tables.trade(spark, d), rounds=10))
+
+
+_EV = "SELECT id, x / (SELECT max(x) FROM (SELECT sum({p}.x) AS x FROM s JOIN {p} ON s.a = {p}.id GROUP BY s.b)) AS x FROM (SELECT v.id, coalesce(sum({p}.x), 0) AS x FROM v LEFT JOIN s ON s.b = v.id LEFT JOIN {p} ON s.a = {p}.id GROUP BY v.id)"
+
+
+@query(f"WITH {TRADE}, {unrolled('SELECT id, 0.2 AS x FROM v', _EV, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+def eigenvector_centrality(spark, d):
+    return score(centrality.eigenvector(tables.trade(spark, d), 10, None))
+
+
+_KZ = "SELECT v.id, 1e-2 * coalesce(sum({p}.x), 0) + 1 AS x FROM v LEFT JOIN (SELECT DISTINCT a, b FROM u) q ON q.b = v.id LEFT JOIN {p} ON q.a = {p}.id GROUP BY v.id"
+
+
+@query(f"WITH {TRADE}, {unrolled('SELECT id, 0e0 AS x FROM v', _KZ, 10)} SELECT id AS node_id, round(x / (SELECT sqrt(sum(x * x)) FROM p10), 6) AS score FROM p10")
+def katz_centrality(spark, d):
+    return score(centrality.katz(tables.trade(spark, d), 0.01, 1.0, 10, None))
+
+
+@query()
+def hits(spark, d):
+    return score(centrality.hits(tables.trade(spark, d), 10), "hub", "authority")
+
+
+@query(f"WITH {TRADE} SELECT id AS node_id, round((SELECT count(*) FROM u WHERE a = id) / 24.0, 6) AS score FROM v")
+def degree_centrality(spark, d):
+    return score(centrality.degree(tables.trade(spark, d)))
+
+
+@query(f"WITH {TRADE} SELECT id AS node_id, round((SELECT count(*) FROM s WHERE a = id) / 24.0, 6) AS score FROM v")
+def simple_degree_centrality(spark, d):
+    return score(centrality.simple_degree(tables.trade(spark, d)))
+
+
+@query(f"WITH RECURSIVE {TRADE}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT count(*) / sum(d) FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
+def closeness_centrality(spark, d):
+    return score(centrality.closeness(tables.trade(spark, d)))
+
+
+@query(f"WITH RECURSIVE {TRADE}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT sum(1.0 / d) / 24 FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
+def harmonic_centrality(spark, d):
+    return score(centrality.harmonic(tables.trade(spark, d)))
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE}, {DISTANCES}, m AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS m FROM u WHERE a <> b GROUP BY ALL),
+    w(s, n, d, c) AS (SELECT id, id, 0, 1.0::DOUBLE FROM v UNION ALL SELECT w.s, m.b, w.d + 1, w.c * m.m FROM w JOIN m ON m.a = w.n JOIN dist ON dist.s = w.s AND dist.n = m.b AND dist.d = w.d + 1),
+    g AS MATERIALIZED (SELECT s, n, max(d) AS d, sum(c) AS c FROM w GROUP BY ALL)
+    SELECT id AS node_id, round(coalesce((SELECT sum(x.c * y.c / z.c) FROM g x JOIN g y ON x.n = y.s JOIN g z ON z.s = x.s AND z.n = y.n WHERE x.n = v.id AND x.s < y.n AND x.s <> v.id AND y.n <> v.id AND x.d + y.d = z.d), 0), 6) AS score FROM v"""
+)
+def betweenness_centrality(spark, d):
+    return score(centrality.betweenness(tables.trade(spark, d)))
+
+
+@query(f"WITH {TRADE}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b), n AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (p, q, r)) AS t, (SELECT count(*) FROM s WHERE a = id) AS k FROM v) SELECT id AS node_id, t AS triangles, k AS neighbors, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM n")
+def triangles(spark, d):
+    return score(centrality.triangles(tables.trade(spark, d)), "clustering")
+
+
+@query()
+def core_numbers(spark, d):
+    return centrality.core_numbers(tables.trade(spark, d))
+
+
+# ---- communities
+@query()
+def label_propagation(spark, d):
+    return community.label_propagation(tables.trade(spark, d))
+
+
+@query()
+def modularity_communities(spark, d):
+    return community.modularity_communities(tables.trade(spark, d))
+
+
+@query()
+def leiden_communities(spark, d):
+    return community.leiden(tables.trade(spark, d))
+
+
+def _regions(spark, d):
+    return tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_regionkey").cast("long").alias("community"))
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, sum(w) AS k FROM u GROUP BY a), m AS (SELECT 2 * sum(w) AS m FROM e) SELECT round(sum((e.w - x.k * y.k / m) / m), 6) AS modularity FROM e JOIN v p ON e.a = p.id JOIN v q ON e.b = q.id JOIN k x ON x.a = e.a JOIN k y ON y.a = e.b, m WHERE p.region = q.region")
+def modularity(spark, d):
+    return score(community.modularity(tables.trade(spark, d), _regions(spark, d)), "modularity")
+
+
+@query(f"WITH {TRADE}, c AS (SELECT p.region AS community, count(*) AS vol, sum((p.region <> q.region)::INT) AS crossing FROM s JOIN v p ON s.a = p.id JOIN v q ON s.b = q.id GROUP BY 1), t AS (SELECT count(*) AS total FROM s) SELECT DISTINCT CAST(v.region AS BIGINT) AS community, round(CASE WHEN least(vol, total - vol) > 0 THEN crossing / least(vol, total - vol) ELSE 0 END, 6) AS conductance FROM v LEFT JOIN c ON c.community = v.region, t")
+def conductances(spark, d):
+    return score(community.conductances(tables.trade(spark, d), _regions(spark, d)), "conductance")
+
+
+@query()
+def coloring(spark, d):
+    g = tables.trade(spark, d)
+    return community.color_report(g, community.coloring(g))
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS community, count(*) AS members, string_agg('nation ''' || n_name || '''', '; ' ORDER BY n_nationkey) AS summary FROM nation GROUP BY 1")
+def community_summaries(spark, d):
+    return community.summaries(tables.trade(spark, d), _regions(spark, d))
+
+
+@query()
+def community_profiles(spark, d):
+    return community.community_profiles(tables.trade(spark, d), _regions(spark, d))
+
+
+# ---- similarity, links, flow
+_PAIR = f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a), c AS (SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL), p AS (SELECT c.a, c.b, n, x.k AS ka, y.k AS kb FROM c JOIN k x ON x.a = c.a JOIN k y ON y.a = c.b)"
+
+
+@query(f"{_PAIR} SELECT a, b, round(n / (ka + kb - n), 6) AS jaccard, round(n / sqrt(ka * kb), 6) AS cosine, round(n / least(ka, kb), 6) AS overlap FROM p")
+def neighborhood_similarity(spark, d):
+    g = tables.trade(spark, d)
+    out = None
+    for m in ("jaccard", "cosine", "overlap"):
+        x = score(similarity.similarity(g, m)).withColumnRenamed("score", m)
+        out = x if out is None else out.join(x, ["a", "b"])
+    return out
+
+
+@query(f"{_PAIR} SELECT a, b, round(n / (ka + kb - n), 6) AS score FROM p ORDER BY n / (ka + kb - n) DESC, a, b LIMIT 10")
+def top_similar(spark, d):
+    return score(similarity.top_similar(tables.trade(spark, d)))
+
+
+@query(f"{_PAIR} SELECT x.a, y.b, round(sum(CASE WHEN k.k > 1 THEN 1 / ln(k.k) ELSE 0 END), 6) AS adamic_adar, CAST(count(*) AS DOUBLE) AS common, round(sum(1.0 / k.k), 6) AS resource FROM s x JOIN s y ON x.b = y.a JOIN k ON k.a = x.b WHERE x.a < y.b AND NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.a AND s.b = y.b) GROUP BY ALL")
+def link_prediction(spark, d):
+    g = tables.trade(spark, d)
+    f = lambda m, n: similarity.link_scores(g, m).withColumnRenamed("score", n)
+    return score(f("adamic_adar", "adamic_adar").join(f("common_neighbors", "common"), ["a", "b"]).join(f("resource_allocation", "resource"), ["a", "b"]), "adamic_adar", "resource")
+
+
+@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a AS a, y.a AS b, CAST(x.k * y.k AS DOUBLE) AS score FROM k x JOIN k y ON x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.a AND s.b = y.a) ORDER BY score DESC, a, b LIMIT 10")
+def preferential_attachment(spark, d):
+    return similarity.predict_links(tables.trade(spark, d), "preferential_attachment")
+
+
+@query()
+def max_flow(spark, d):
+    return flow.max_flow(tables.trade(spark, d), 1, 2)
+
+
+@query()
+def spanning_forest(spark, d):
+    return flow.spanning_forest(tables.trade(spark, d))
+
+
+@query()
+def fast_rp(spark, d):
+    return flow.fast_rp(tables.trade(spark, d), 32)
+
+
+NOW = 1_000_000_000_000
+_IMPORTANCE = f"SELECT kn.id AS node_id, least(1, greatest(0, 0.4 * coalesce(k, 0) / (SELECT max(k) FROM deg) + 0.3 * exp(-(greatest({NOW} - tx, 0) / 3600000.0) / 168))) AS x FROM kn LEFT JOIN deg ON deg.id = kn.id"
+_DEG = "deg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM ke UNION ALL SELECT dst FROM ke) GROUP BY id)"
+
+
+@query(f"WITH {KNOWLEDGE}, {_DEG}, i AS ({_IMPORTANCE}) SELECT node_id, round(x, 6) AS importance FROM i ORDER BY x DESC, node_id LIMIT 10")
+def most_important(spark, d):
+    return score(importance.most_important(tables.knowledge(spark, d), NOW), "importance")
+
+
+@query(f"WITH {KNOWLEDGE}, {_DEG}, i AS ({_IMPORTANCE}) SELECT count(*) AS n FROM i WHERE x >= 0.0003")
+def condense(spark, d):
+    return importance.condense(tables.knowledge(spark, d), NOW, 0.0003).nodes.agg(F.count("*").alias("n"))
+
+
+# ---- search and retrieval
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
+def vector_search(spark, d):
+    e = tables.embeddings(spark, d)
+    queries = e.where("node_id < 20").select(F.col("node_id").alias("query_id"), "vec")
+    return search.nearest(e, queries, 10).select("query_id", "node_id", F.round(F.abs("distance"), 5).alias("distance"))
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
+def filtered_vector_search(spark, d):
+    g = tables.library(spark, d)
+    queries = g.embeddings.where("node_id < 5").select(F.col("node_id").alias("query_id"), "vec")
+    return search.nearest_where(g, queries, 10, properties={"lang": "en"}).select("query_id", "node_id", F.round(F.abs("distance"), 5).alias("distance"))
+
+
+BM25 = f"""{POSTINGS}, q AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hit AS (SELECT item_id AS query_id, doc_id AS node_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS x FROM post JOIN q USING (term) JOIN df USING (term), corpus GROUP BY ALL)"""
+
+
+@query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 6) DESC, node_id) AS rank FROM hit) SELECT query_id, node_id, round(x, 4) AS score FROM r WHERE rank <= 20")
+def bm25_search(spark, d):
+    postings, corpus = aggregates.text_statistics(tables.documents(spark, d))
+    queries = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "node_id"))
+    return search.bm25(postings, corpus, queries).withColumn("rank", rank).where("rank <= 20").select("query_id", "node_id", F.round("score", 4).alias("score"))
+
+
+def _flagship(spark, d):
+    g = tables.library(spark, d)
+    ask = tables.table(spark, d, "benchmark").orderBy("item_id").first()["text"]
+    return g, context.ContextQuery(text=ask, keys=("doc-1", "doc-2"), depth=2, budget=budget.Budget.preset("4k"), limit=50, at=10, decay=("none", None))
+
+
+@query()
+def context_query(spark, d):
+    g, q = _flagship(spark, d)
+    return context.context_query(g, q).chunks.select("node_id", "label", F.round("score", 6).alias("score"), "depth", "tokens", F.size(F.coalesce("relationships", F.array().cast("array<struct<label:string,direction:string,other:bigint,name:string,weight:double>>"))).alias("relationships"))
+
+
+@query()
+def context_hybrid(spark, d):
+    g, q = _flagship(spark, d)
+    vec = [float(x) for x in g.embeddings.where("node_id = 1").first()["vec"]]
+    from dataclasses import replace
+
+    return context.context_query(g, replace(q, mode="hybrid", vector=vec, rerank_weight=0.35, budget=budget.Budget(4096, "mmr"))).chunks.select("node_id", F.round("score", 6).alias("score"), "tokens")
+
+
+@query()
+def context_messages(spark, d):
+    g, q = _flagship(spark, d)
+    return context.messages(context.context_query(g, q), "openai", q.text)
+
+
+# ---- resolution
+@query(
+    """WITH n AS (SELECT n_nationkey AS id, n_name AS name FROM nation), q AS (SELECT n_nationkey AS qid, left(n_name, length(n_name) - 1) AS name FROM nation),
+    tg AS (SELECT id, unnest(list_distinct(CASE WHEN length(name) < 3 THEN [lower(name)] ELSE [substr(lower(name), i, 3) for i in range(1, length(name) - 1)] END)) AS t FROM n),
+    tq AS (SELECT qid, unnest(list_distinct(CASE WHEN length(name) < 3 THEN [lower(name)] ELSE [substr(lower(name), i, 3) for i in range(1, length(name) - 1)] END)) AS t FROM q),
+    c AS (SELECT DISTINCT qid, id FROM tg JOIN tq USING (t)), s AS (SELECT qid, c.id, jaro_winkler_similarity(n.name, q.name) AS x FROM c JOIN n USING (id) JOIN q USING (qid)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rank FROM s WHERE x >= 0.85) SELECT CAST(qid AS BIGINT) AS query_id, CAST(id AS BIGINT) AS node_id, round(x, 6) AS score FROM r WHERE rank = 1"""
+)
+def blocked_resolution(spark, d):
+    n = tables.table(spark, d, "nation")
+    names = n.select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("name"))
+    queries = n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.expr("left(n_name, length(n_name) - 1)").alias("name"))
+    return score(resolve.match_blocked(names, queries))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node_id FROM nation")
+def key_resolution(spark, d):
+    g = tables.trade(spark, d)
+    return resolve.match_key(g, g.nodes.select(F.col("node_id").alias("query_id"), "entity_key"))
+
+
+@query("WITH x AS (SELECT a.vec_id AS q, b.vec_id AS n, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, n) AS k FROM x) SELECT q AS query_id, n AS node_id FROM r WHERE k = 1 AND s > 0.92")
+def vector_resolution(spark, d):
+    e = tables.embeddings(spark, d)
+    from .model import Graph
+
+    g = Graph(None, None, e)
+    return resolve.match_vector(g, e.where("node_id < 50").select(F.col("node_id").alias("query_id"), "vec")).select("query_id", "node_id")
+
+
+@query()
+def chunked_documents(spark, d):
+    return resolve.chunk(tables.table(spark, d, "documents"), 512).select("doc_id", "chunk", "start", "end", "tokens")
+
+
+@query(f"WITH {TRADE}, m AS (SELECT CASE WHEN a = 1 THEN 2 ELSE a END AS a, CASE WHEN b = 1 THEN 2 ELSE b END AS b, w, a = 1 OR b = 1 AS moved FROM e) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, w FROM m WHERE NOT moved OR a <> b")
+def node_merge(spark, d):
+    return resolve.merge_nodes(tables.trade(spark, d), 1, 2).edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+
+
+# ---- time and change
+@query(f"WITH {KNOWLEDGE}, n AS (SELECT id FROM kn WHERE tx <= 800000000000) SELECT ke.label, count(*) AS n FROM ke JOIN n ON ke.src = n.id WHERE vf <= 800000000000 GROUP BY 1")
+def point_in_time(spark, d):
+    return timeline.at(tables.knowledge(spark, d), 800000000000)[1].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KNOWLEDGE}, n AS (SELECT id FROM kn WHERE tx < 820000000000) SELECT ke.label, count(*) AS n FROM ke JOIN n ON ke.src = n.id WHERE vf < 820000000000 GROUP BY 1")
+def time_range(spark, d):
+    return timeline.during(tables.knowledge(spark, d), 800000000000, 820000000000)[1].groupBy("label").agg(F.count("*").alias("n"))
+
+
+_DIFF = "SELECT '{0}' AS kind, CAST(coalesce(sum((t >= 800000000000 AND t < 850000000000)::INT), 0) AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST(sum((t <= 800000000000)::INT) AS BIGINT) AS active_before, CAST(sum((t <= 850000000000)::INT) AS BIGINT) AS active_after FROM {1}"
+
+
+@query(f"WITH {KNOWLEDGE} {_DIFF.format('node', '(SELECT tx AS t FROM kn)')} UNION ALL {_DIFF.format('edge', '(SELECT vf AS t FROM ke)')}")
+def graph_diff(spark, d):
+    return timeline.diff(tables.knowledge(spark, d), 800000000000, 850000000000)
+
+
+@query(f"WITH {TRADE} SELECT edge_id, a AS src, b AS dst, true AS active FROM e WHERE a = 1 OR b = 1")
+def node_history(spark, d):
+    return timeline.history(tables.trade(spark, d), 1).select("edge_id", "src", "dst", "active")
+
+
+@query("SELECT event_id AS sequence, 'user-' || (user_id % 10) AS graph FROM events WHERE event_id > 100 AND user_id % 10 = 3 ORDER BY event_id DESC LIMIT 200")
+def event_replay(spark, d):
+    return cdc.replay(tables.change_events(spark, d), 100, "user-3", 200).select("sequence", "graph")
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'node_created' WHEN 'view' THEN 'node_updated' WHEN 'click' THEN 'edge_created' WHEN 'purchase' THEN 'edge_invalidated' WHEN 'error' THEN 'node_deleted' END"
+
+
+@query(f"WITH x AS (SELECT 'user-' || (user_id % 10) AS graph, {_KIND} AS kind, event_id % 97 AS id, epoch_us(ts) // 1000 AS t FROM events) SELECT graph, split_part(kind, '_', 1) AS entity, id, min(t) FILTER (kind LIKE '%_created') AS opened, min(t) FILTER (kind LIKE '%_deleted' OR kind LIKE '%_invalidated') AS closed FROM x GROUP BY ALL")
+def event_lifetimes(spark, d):
+    return cdc.lifetimes(tables.change_events(spark, d))
+
+
+@query(f"SELECT epoch_ms(time_bucket(INTERVAL 1 hour, ts)) AS start_ms, 'user-' || (user_id % 10) AS graph, {_KIND} AS kind, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    e = tables.change_events(spark, d)
+    return cdc.kind_counts(e, "1 hour").select(F.unix_millis("window.start").alias("start_ms"), "graph", "kind", "n")
+
+
+@query("SELECT 'node' AS entity, (SELECT count(*) FROM orders WHERE epoch_ms(o_orderdate) + 200000000000 <= 1000000000000) AS n")
+def expired(spark, d):
+    g = tables.knowledge(spark, d)
+    dated = g.with_nodes(g.nodes.withColumn("ttl_expires_at", F.when(F.col("label") == "orders", F.col("tx_from") + 200000000000)))
+    return ttl.expired_nodes(dated, 1000000000000).agg(F.count("*").alias("n")).select(F.lit("node").alias("entity"), "n")
+
+
+# ---- profiling and exchange
+@query(f"WITH {TRADE} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6) AS avg_degree")
+def graph_stats(spark, d):
+    return profile.stats(tables.trade(spark, d))
+
+
+@query()
+def detailed_stats(spark, d):
+    return profile.detailed_stats(tables.trade(spark, d))
+
+
+@query("SELECT 'part' AS label, unnest(['name', 'brand', 'size']) AS key, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'customer', unnest(['name', 'segment']), (SELECT count(*) FROM customer) UNION ALL SELECT 'orders', unnest(['status', 'priority']), (SELECT count(*) FROM orders) UNION ALL SELECT 'supplier', 'name', (SELECT count(*) FROM supplier) UNION ALL SELECT 'nation', 'name', (SELECT count(*) FROM nation) UNION ALL SELECT 'region', 'name', (SELECT count(*) FROM region)")
+def schema_properties(spark, d):
+    return profile.properties(tables.knowledge(spark, d))
+
+
+@query("SELECT 'part' AS label, 'brand' AS key, 'string' AS type, count(*) AS present, 0.0::DOUBLE AS null_rate, count(DISTINCT p_brand) AS distinct_values, true AS required, count(*) = count(DISTINCT p_brand) AS is_unique FROM part UNION ALL SELECT 'part', 'size', 'int', count(*), 0.0, count(DISTINCT p_size), true, count(*) = count(DISTINCT p_size) FROM part UNION ALL SELECT 'part', 'name', 'string', count(*), 0.0, count(DISTINCT p_name), true, count(*) = count(DISTINCT p_name) FROM part")
+def schema_inference(spark, d):
+    found = profile.infer_schema(tables.knowledge(spark, d)).where("label = 'part'")
+    return found.select("label", "key", "type", "present", "null_rate", F.col("distinct").alias("distinct_values"), "required", F.col("unique").alias("is_unique"))
+
+
+@query("SELECT 'unique' AS \"constraint\", count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 1)")
+def schema_violations(spark, d):
+    rules = [("node", "part", "unique", "brand", None), ("node", "part", "required", "name", None), ("node", "part", "type", "size", "int")]
+    return profile.violations(tables.knowledge(spark, d), rules).groupBy("constraint").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TRADE} SELECT '  n' || a || ' -> n' || b || ' [label=\"trades\"];' AS line FROM e UNION ALL SELECT '  n' || id || ' [label=\"nation: ' || name || '\"];' FROM v UNION ALL SELECT 'digraph \"trade\" {{' UNION ALL SELECT '}}'")
+def dot_export(spark, d):
+    return exchange.dot_lines(tables.trade(spark, d)).select("line")
+
+
+@query()
+def json_export(spark, d):
+    nodes, edges = exchange.to_json(tables.trade(spark, d))
+    return nodes.unionAll(edges)
+
+
+@query(f"WITH {TRADE} SELECT 'nation' AS _label, name FROM v")
+def csv_export(spark, d):
+    return exchange.csv_rows(tables.trade(spark, d))
+
+
+@query(f"WITH {KNOWLEDGE} SELECT CAST(sum((vf <= 800000000000)::INT) AS BIGINT) AS valid_at, CAST(sum((vf < 810000000000)::INT) AS BIGINT) AS valid_during FROM ke")
+def temporal_predicates(spark, d):
+    e = tables.knowledge(spark, d).edges
+    return e.agg(F.sum(is_valid_at(800000000000).cast("long")).alias("valid_at"), F.sum(is_valid_during(800000000000, 810000000000).cast("long")).alias("valid_during"))
