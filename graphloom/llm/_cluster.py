@@ -45,6 +45,16 @@ def text_key(text: str = "text") -> Column:
     return F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[f"`{c}`" for c in like.columns])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import BROADCAST_BYTES
+from ._cluster import BROADCAST_BYTES, cut, fresh, sized, text_key
 
 N_GRAM = 8
 MIN_WORDS = 5
@@ -103,28 +103,74 @@ def _cut_out(text: str, covered: np.ndarray, start: np.ndarray) -> str:
     return "".join(parts)
 
 
-def gram_set(benchmark: DataFrame, n: int = N_GRAM, min_words: int = MIN_WORDS, item: str = "item_id", text: str = "text") -> GramSet | None:
-    """The set, or None if its size, counted beforehand, is more than may be broadcast."""
-    words = F.size(F.split(F.col(text), r"\s+"))
-    total = benchmark.where(F.col(text).isNotNull()).agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
-    if total * _GRAM_BYTES > BROADCAST_BYTES:
-        return None
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("long"), F.lit(-1)), text).collect()
-    return GramSet([(r[0], r[1]) for r in rows], n, min_words)
+def _parts(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """((item, text, part), number of parts): each part's set of n-grams is small enough to broadcast."""
+    items = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("long"), F.lit(-1)).alias("item"), F.col(text).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    parts = max(1, -(-total * _GRAM_BYTES // BROADCAST_BYTES))
+    return items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), parts
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, make, schema: str) -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, make, schema) -> DataFrame:
+    """make over batches of docs, with a function that finds the hits of a run of texts.
+
+    A benchmark whose set may be broadcast is met in one scan.  A larger one is taken part by part, a scan each, and
+    what the parts found, which is little, is joined to the documents.
+    """
     spark = docs.sparkSession
-    grams = gram_set(benchmark, n, min_words)
-    if grams is None:  # too many to broadcast at once: parts of the set, each small enough, one scan for each
-        raise ValueError("the benchmark is larger than may be broadcast; split it and apply the operator for each part")
-    shared = spark.sparkContext.broadcast(grams)
+    items, parts = _parts(benchmark)
+
+    def grams(part: int):
+        return spark.sparkContext.broadcast(GramSet([tuple(r) for r in items.where(F.col("part") == part).select("item", "text").collect()], n, min_words))
+
+    if parts == 1:
+        shared = grams(0)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from make(batch, lambda at, run: shared.value.hits(run))
+
+        return docs.mapInArrow(scan, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_th"), "text")
+    found = None
+    for part in range(parts):
+        hits = rows.mapInArrow(_hits_of(grams(part)), "_id long, _th long, at long, size long, item long")
+        found = hits if found is None else found.unionByName(hits)
+    by_doc = cut(found.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "size")).alias("windows"), F.collect_set("item").alias("items")).select("_id", "_th", F.struct("windows", "items").alias("_hits")))
+    weight = by_doc.agg(F.coalesce(F.sum(F.size("_hits.windows") * 24 + F.size("_hits.items") * 8 + 64), F.lit(0))).first()[0]
+    side = sized(by_doc, 1, weight)
+    match = docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == side["_th"])
+    joined = docs.join(side, match, "left").select(*[docs[f"`{c}`"] for c in docs.columns], side["_hits"].alias(fresh(docs, "_hits")[0]))
+
+    def scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            known = batch.column(last).to_pylist()
+            plain = pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last])
+
+            def find(at: int, run: list[str], known=known):
+                hit = [d for d in range(len(run)) if known[at + d]]
+                if hit:
+                    w = T.split_words(run)
+                    for d in hit:
+                        yield d, sorted((x["at"], x["size"]) for x in known[at + d]["windows"]), set(known[at + d]["items"]), w
+
+            yield from make(plain, find)
+
+    return joined.mapInArrow(scan_joined, schema)
+
 
+def _hits_of(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from make(batch, shared.value)
+            ids, keys, out = batch.column(0), batch.column(1), []
+            for at, run in T.chunks(batch.column(2).to_pylist()):
+                for d, windows, items, _ in shared.value.hits(run):
+                    key = ids[at + d].as_py(), keys[at + d].as_py()
+                    out += [(*key, *w, i) for w in windows for i in items]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["_id", "_th", "at", "size", "item"])
 
-    return docs.mapInArrow(scan, schema)
+    return scan
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE) -> DataFrame:
@@ -134,11 +180,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, min_wo
     action ("span" or "document") and clean_text (empty if the document goes).
     """
 
-    def make(batch: pa.RecordBatch, grams: GramSet) -> Iterator[pa.RecordBatch]:
+    def make(batch: pa.RecordBatch, find) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         rows: list[tuple] = []
         for at, run in T.chunks(texts):
-            for d, windows, items, w in grams.hits(run):
+            for d, windows, items, w in find(at, run):
                 lo, hi = w.first[d], w.first[d + 1]
                 covered = _covered(windows, int(hi - lo))
                 gone = bool(covered.mean() >= drop_share)
@@ -155,12 +201,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, min_wo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE) -> DataFrame:
     """docs, all columns, without contaminated documents and spans; clean rows are the same as before."""
 
-    def make(batch: pa.RecordBatch, grams: GramSet) -> Iterator[pa.RecordBatch]:
+    def make(batch: pa.RecordBatch, find) -> Iterator[pa.RecordBatch]:
         where = batch.schema.get_field_index("text")
         texts = batch.column(where).to_pylist()
         keep, changed = np.ones(len(texts), bool), False
         for at, run in T.chunks(texts):
-            for d, windows, _, w in grams.hits(run):
+            for d, windows, _, w in find(at, run):
                 lo, hi = w.first[d], w.first[d + 1]
                 covered = _covered(windows, int(hi - lo))
                 if covered.mean() >= drop_share:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import cut, sized, text_key, with_columns_of
+from ._cluster import cut, fresh, sized, text_key, with_columns_of
 
 BUCKET_ROWS = 50_000
 FAN = 32
@@ -173,26 +173,29 @@ def mixture(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
 def resample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """docs, all columns, each row as often as it has copies."""
     found, rate = copies(docs, weights, total, seed, bucket_rows, fan)
-    by_row = cut(found.groupBy("doc_id", "th").agg(F.sum(F.col("whole") + F.col("bit")).alias("_total"), F.sum("bit").alias("_bits"), F.count("*").alias("_alike")))
-    plain, n_extra, n_alike = (r := by_row.agg(F.count("*"), F.sum((F.col("_bits") > 0).cast("long")), F.sum((F.col("_alike") > 1).cast("long"))).first())[0], r[1] or 0, r[2] or 0
+    by_row = cut(found.groupBy("doc_id", "th").agg(F.sum(F.col("whole") + F.col("bit")).alias("total"), F.sum("bit").alias("bits"), F.count("*").alias("alike")))
+    plain, n_extra, n_alike = by_row.agg(F.count("*"), F.coalesce(F.sum((F.col("bits") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("alike") > 1).cast("long")), F.lit(0))).first()
     if not plain:
         return docs
     whole = F.lit(0)
     for s, r in rate.items():
         whole = F.when(docs["source"].cast("string").eqNullSafe(F.lit(s)), F.lit(int(np.floor(r)))).otherwise(whole)
     key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    id_, th_, bits_, total_, copies_ = fresh(docs, "_id", "_th", "_bits", "_total", "_copies")
 
     def side(rows: DataFrame, n: int) -> tuple[DataFrame, Column]:
-        ids = sized(rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_bits", "_total"), n, 48)
-        return ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]) & (key == ids["_th"])
-
-    repeated = "_copies", F.explode(F.expr("CASE WHEN _copies >= 1 THEN sequence(1, CAST(_copies AS INT)) ELSE CAST(array() AS ARRAY<INT>) END"))
-    once = docs.join(*side(by_row.where("_alike > 1"), n_alike), "left_anti") if n_alike else docs
-    extra, match = side(by_row.where("_bits > 0 AND _alike = 1"), n_extra)
-    out = once.withColumn("_whole", whole).join(extra, match, "left").withColumn("_copies", F.col("_whole") + F.coalesce("_bits", F.lit(0)))
-    out = with_columns_of(out.withColumn(*repeated), docs)
+        ids = sized(rows.select(F.col("doc_id").alias(id_), F.col("th").alias(th_), F.col("bits").alias(bits_), F.col("total").alias(total_)), n, 48)
+        return ids, docs["doc_id"].cast("long").eqNullSafe(ids[id_]) & (key == ids[th_])
+
+    def repeated(rows: DataFrame, n: Column) -> DataFrame:
+        times = F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+        return with_columns_of(rows.withColumn(copies_, F.explode(times)), docs)
+
+    once = docs.join(*side(by_row.where("alike > 1"), n_alike), "left_anti") if n_alike else docs
+    extra, match = side(by_row.where("bits > 0 AND alike = 1"), n_extra)
+    out = repeated(once.join(extra, match, "left"), whole + F.coalesce(F.col(bits_), F.lit(0)))
     if n_alike:  # rows alike in id and text: any of them stands for all
-        ids, match = side(by_row.where("_alike > 1"), n_alike)
-        again = docs.dropDuplicates(["doc_id", "text"]).join(ids, match).withColumn("_copies", F.col("_total"))
-        out = out.union(with_columns_of(again.withColumn(*repeated), docs))
+        ids, match = side(by_row.where("alike > 1"), n_alike)
+        again = docs.join(ids, match).dropDuplicates([id_, th_])
+        out = out.union(repeated(again, F.col(total_)))
     return out

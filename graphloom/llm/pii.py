@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ._cluster import cut, sized, text_key
+from ._cluster import cut, fresh, sized, text_key
 
 KEY = b"graphloom-surrogates"
 
@@ -217,7 +217,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     columns = [c for c in docs.columns if c != "pii_entities"]
     base = docs.select(*[f"`{c}`" for c in columns])
     match = base["doc_id"].cast("long").eqNullSafe(known["_id"]) & (F.coalesce(F.xxhash64(base["text"]), F.lit(0)) == known["_th"])
-    joined = base.join(known, match, "left").select(*[base[f"`{c}`"] for c in columns], "_known")
+    joined = base.join(known, match, "left").select(*[base[f"`{c}`"] for c in columns], known["_known"].alias(fresh(base, "_known")[0]))
     schema = S.StructType([*base.schema, S.StructField("pii_entities", S.IntegerType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
