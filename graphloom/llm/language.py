@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import _text as T
 
 #: Bound of the labelled sample, rows a language.
-PER_LANGUAGE = 400
+PER_LANGUAGE = 250
 PIECES, PIECE_CHARS = 3, 60
-BITS = 13
+BITS = 12
 SEEN_BITS = 20
 LEAST_SEEN = 0.5
 UNKNOWN = "und"
@@ -194,11 +194,11 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
                 pieces = [text] + [text[i : i + PIECE_CHARS] for i in range(0, len(text), step)][:PIECES]
                 for j, ((ids, values), piece) in enumerate(zip(_features(pieces), pieces)):
                     rows.append((lang, u, j, ids.tolist(), values.tolist(), _seen_of([piece]).tolist() if j == 0 else []))
-            kinds = [pa.string(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            kinds = [pa.string(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["lang", "u", "j", "ids", "freq", "seen"])
 
     sample = named.select("lang", draw.alias("u"), "text").where(F.col("u") < share)
-    rows = sample.mapInArrow(make, "lang string, u double, j int, ids array<long>, freq array<double>, seen array<long>").toArrow()
+    rows = sample.mapInArrow(make, "lang string, u double, j int, ids array<int>, freq array<float>, seen array<int>").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["lang"][i].as_py(), rows["u"][i].as_py(), rows["j"][i].as_py()))
     taken: dict[str, list[float]] = {}
     out = []
@@ -239,12 +239,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     family_of = np.array([families.index(f) for f in family_name], np.int64)
     seen = np.zeros(1 << SEEN_BITS, bool)
     width = 3 << BITS
-    x = np.zeros((len(rows), width), np.float32)
+    used = np.unique(np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)]))  # buckets that occur; the others' weights are 0
+    x = np.zeros((len(rows), len(used)), np.float32)
     label = np.array([languages.index(r[0]) for r in rows], np.int64)
     for i, (_, ids, freq, grams) in enumerate(rows):
-        x[i, ids] = freq
+        x[i, np.searchsorted(used, ids)] = freq
         seen[grams] = True
-    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5).astype(np.float32) if len(rows) else np.ones(width, np.float32)
+    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5).astype(np.float32) if len(rows) else np.ones(len(used), np.float32)
     x *= scale
     pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of[a] == family_of[b]]
     columns, bias = [], []
@@ -252,7 +253,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for f in range(len(families)):
         inside = family_of[label] == f
         if inside.all():
-            w, b = np.zeros(width, np.float32), 1.0
+            w, b = np.zeros(len(used), np.float32), 1.0
         else:
             key, other = inside.tobytes(), (~inside).tobytes()
             if other in done:
@@ -266,7 +267,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         w, c = _svm(x[rows_of], np.where(label[rows_of] == a, 1, -1).astype(np.float32))
         columns.append(w * scale)
         bias.append(c)
-    weights = np.stack(columns, 1).astype(np.float32) if columns else np.zeros((width, 0), np.float32)
+    weights = np.zeros((width, len(columns)), np.float32)
+    if columns:
+        weights[used] = np.stack(columns, 1)
     return Model(families, languages, family_of, pairs, weights, np.array(bias), seen)
 
 
