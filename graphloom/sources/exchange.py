@@ -40,11 +40,15 @@ _NODE_JSON = "id long, label string, entity_key string, properties map<string,st
 _EDGE_JSON = "id long, source long, target long, label string, weight double, properties map<string,string>, valid_from long, valid_until long, _bad string"
 
 
+def _json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The fields of a JSON object a line, _bad if it is none, and _raw, the line."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"), F.col("value").alias("_raw")).select("x.*", "_raw")
+
+
 def read_json(spark: SparkSession, path: str, into: Graph | None = None, now: int = 0) -> tuple[Graph, DataFrame]:
     """(graph, rejects): ids are given anew after those of `into`, edges follow; rejects has kind, value and error."""
-    n = spark.read.schema(_NODE_JSON).option("columnNameOfCorruptRecord", "_bad").json(f"{path}/nodes")
-    e = spark.read.schema(_EDGE_JSON).option("columnNameOfCorruptRecord", "_bad").json(f"{path}/edges")
-    n, e = n.withColumn("_raw", F.coalesce("_bad", F.to_json(F.struct("id", "label")))), e.withColumn("_raw", F.coalesce("_bad", F.to_json(F.struct("id", "source", "target"))))
+    n, e = _json_rows(spark, f"{path}/nodes", _NODE_JSON), _json_rows(spark, f"{path}/edges", _EDGE_JSON)
     top = into.nodes.agg(F.coalesce(F.max("node_id"), F.lit(0))).first()[0] if into else 0
     top_edge = into.edges.agg(F.coalesce(F.max("edge_id"), F.lit(0))).first()[0] if into else 0
     good = n.where("_bad IS NULL AND id IS NOT NULL AND label IS NOT NULL")

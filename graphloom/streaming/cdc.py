@@ -56,13 +56,13 @@ def apply_events(graph: Graph, events: DataFrame) -> Graph:
     entity = F.split_part("kind", F.lit("_"), F.lit(1))
     e = e.withColumn("entity", entity)
     last = e.where("p.id IS NOT NULL").groupBy("entity", F.col("p.id").alias("id")).agg(
-        F.max(F.when(F.col("kind").endswith("_created"), F.struct("sequence", "timestamp_ms", "p"))).alias("made"),
+        F.max_by(F.struct("timestamp_ms", "p"), F.when(F.col("kind").endswith("_created"), F.col("sequence"))).alias("made"),
         F.max(F.when(F.col("kind").endswith("_deleted"), F.col("sequence"))).alias("gone"),
         F.min(F.when(F.col("kind").endswith("_invalidated"), F.col("timestamp_ms"))).alias("closed"),
-        F.array_sort(F.collect_list(F.when(F.col("kind").endswith("_updated"), F.struct("sequence", F.col("p.props").alias("props"))))).alias("updates"),
+        F.array_sort(F.collect_list(F.when(F.col("kind").endswith("_updated"), F.struct("sequence", F.map_entries("p.props").alias("props"))))).alias("updates"),
     )
     empty = F.create_map().cast("map<string,string>")
-    merged = lambda base, updates: F.aggregate(updates, F.coalesce(base, empty), lambda m, u: F.map_zip_with(m, F.coalesce(u["props"], empty), lambda k, a, b: F.coalesce(b, a)))
+    merged = lambda base, updates: F.aggregate(updates, F.coalesce(base, empty), lambda m, u: F.map_zip_with(m, F.coalesce(F.map_from_entries(u["props"]), empty), lambda k, a, b: F.coalesce(b, a)))
     nodes = last.where("entity = 'node'")
     fresh = shaped(nodes.where("made IS NOT NULL").select(F.col("id").alias("node_id"), "made.p.label", "made.p.entity_key", "made.p.props", F.col("made.timestamp_ms").alias("created_at"), F.col("made.timestamp_ms").alias("tx_from"), "made.p.ttl_expires_at"), NODE)
     every = graph.nodes.join(fresh.select("node_id"), "node_id", "left_anti").unionByName(fresh)
