@@ -339,6 +339,20 @@ def k_shortest_paths(spark, d):
     return paths.k_shortest(tables.trade(spark, d), 1, 2, 5)
 
 
+@query()
+def a_star_path(spark, d):
+    g = tables.trade(spark, d)
+    ends = paths.cheapest_paths(g, 1).where("cost > 0").orderBy(F.desc("cost"), "node_id").first()
+    return score(paths.a_star(g, 1, ends["node_id"]), "cost")
+
+
+@query()
+def topological_order(spark, d):
+    g = tables.knowledge(spark, d)
+    keep = EdgeFilter(labels=("in_region", "located_in"))(g.edges)
+    return paths.topological_order(g.with_nodes(g.nodes.where("label IN ('region', 'nation', 'customer', 'supplier')")).with_edges(keep))
+
+
 @query()
 def scored_paths(spark, d):
     return paths.scored_paths(tables.trade(spark, d), ids(spark, 1, 2, 3))
@@ -454,6 +468,19 @@ def triangles(spark, d):
     return score(centrality.triangles(tables.trade(spark, d)), "clustering")
 
 
+_TRI = f"WITH {TRADE}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b)"
+
+
+@query(f"{_TRI} SELECT count(*) AS triangles FROM t")
+def triangle_count(spark, d):
+    return centrality.triangle_count(tables.trade(spark, d))
+
+
+@query(f"{_TRI}, n AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (p, q, r)) AS t, (SELECT count(*) FROM s WHERE a = id) AS k FROM v) SELECT id AS node_id, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS score FROM n")
+def local_clustering(spark, d):
+    return score(centrality.local_clustering(tables.trade(spark, d)))
+
+
 @query()
 def core_numbers(spark, d):
     return centrality.core_numbers(tables.trade(spark, d))
@@ -566,6 +593,22 @@ def condense(spark, d):
     return importance.condense(tables.knowledge(spark, d), NOW, 0.0003).nodes.agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {TRADE}, x AS (SELECT user_id % 25 AS id, max(epoch_us(ts) // 1000) AS t FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT v.id AS node_id FROM v LEFT JOIN x USING (id) ORDER BY coalesce(t, 0), v.id LIMIT 6")
+def lru_eviction(spark, d):
+    from dataclasses import replace
+
+    from .model import Settings
+
+    access = tables.table(spark, d, "events").where("user_id % 2 = 0").select((F.col("user_id") % 25).alias("node_id"), tables.millis("ts").alias("accessed_at"))
+    return importance.evictable(replace(tables.trade(spark, d), settings=Settings(max_nodes=20, eviction="lru")), access)
+
+
+@query("SELECT CAST(CASE WHEN n_nationkey < 3 THEN n_nationkey + 1 ELSE n_nationkey END AS BIGINT) AS id, CASE WHEN n_nationkey < 3 THEN 'alias-' || n_nationkey ELSE n_name END AS name, CASE WHEN n_nationkey < 3 THEN 'last' ELSE n_name END AS canonical FROM nation")
+def alias_resolution(spark, d):
+    n = tables.table(spark, d, "nation").select(F.when(F.col("n_nationkey") < 3, F.col("n_nationkey") + 1).otherwise(F.col("n_nationkey")).cast("long").alias("id"), F.when(F.col("n_nationkey") < 3, F.concat(F.lit("alias-"), F.col("n_nationkey").cast("string"))).otherwise(F.col("n_name")).alias("name"))
+    return resolve.resolve_aliases(n, {"alias-0": "alias-1", "alias-1": "alias-2", "alias-2": "last"})
+
+
 # ---- search and retrieval
 @query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
 def vector_search(spark, d):
