@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Batches to Python workers are bounded in rows and bytes, so that a task's buffers stay small whatever the texts' size.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def get_session(app: str = "graphloom", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; further settings by keyword, dots written as two underscores."""
@@ -21,7 +24,13 @@ def get_session(app: str = "graphloom", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once an application, so that Python workers can import it anywhere."""
+    """Send this package to the executors, once an application, so that Python workers can import it anywhere.
+
+    Also bounds the batches to Python workers, where the session doesn't.
+    """
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
