@@ -46,6 +46,26 @@ FAMILY = {
     "cyrillic": "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров".split(),
     "greek": "Παπαδόπουλος Γεωργίου Ιωάννου Νικολάου Δημητρίου Κωνσταντίνου".split(),
 }
+
+
+def _any_of(words: list[str]) -> str:
+    """A regular expression for these words in which common beginnings are tried once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def write(at: dict) -> str:
+        parts = [re.escape(c) + write(x) for c, x in sorted(at.items()) if c]
+        if not parts:
+            return ""
+        return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 or "" in at else parts[0]) + ("?" if "" in at else "")
+
+    return write(tree)
+
+
 _given = {n: kind for kind, names in GIVEN.items() for n in names}
 #: Given names whose surname follows the usual feminine form.
 _name = r"(?<!\w)(?:" + "|".join(sorted(_given, key=lambda x: (-len(x), x))) + r")[  ][^\W\d_a-zа-яёα-ωά-ώ][^\W\d_]+(?!\w)"
@@ -61,7 +81,7 @@ PATTERNS = {
 TYPES = tuple(PATTERNS)
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A superset of the patterns, cheap enough for every text; texts without a match never leave the JVM for detection.
-MAYBE = r"@|\d{3}|\d\.\d|[A-Z]{2}\d{2}|" + r"(?:" + "|".join(sorted(_given)) + r")[  ]"
+MAYBE = r"@|\d(?:\d\d|\.\d)|[A-Z]{2}\d{2}|" + r"(?=\p{Lu})" + _any_of(list(_given)) + r"[  ]"
 
 
 def normal(kind: str, raw: str) -> str:
