@@ -20,7 +20,7 @@ _Q = np.uint64(0xD1342543DE82EF95)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Characters laid out at once; a longer text is laid out alone, whole.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)

@@ -32,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 512
+SLICE_ROWS = 128
 _encodings: dict[int, object] = {}
 
 
@@ -56,8 +57,8 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # ids are Python integers for a moment
+                part = batch.slice(at, SLICE_ROWS)
                 texts = part.column(len(meta)).to_pylist()
                 ids = [own.encode_ordinary(t) if t else [] for t in texts]
                 count = np.fromiter(map(len, ids), np.int32, len(ids))
