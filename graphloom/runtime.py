@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """df behind a table in the shared folder. A checkpoint keeps the plan's constraints, which may grow with each round; a table has none."""
+    path = new_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized(df: DataFrame, rows: int, bytes_a_row: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
 
