@@ -71,7 +71,7 @@ _given = {n: kind for kind, names in GIVEN.items() for n in names}
 _name = r"(?<!\w)(?:" + "|".join(sorted(_given, key=lambda x: (-len(x), x))) + r")[  ][^\W\d_a-zа-яёα-ωά-ώ][^\W\d_]+(?!\w)"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z])",
-    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])",
+    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d(?:[ .-]?\d){5,13}\d(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])",
     "ip": r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -81,7 +81,8 @@ PATTERNS = {
 TYPES = tuple(PATTERNS)
 _any = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A superset of the patterns, cheap enough for every text; texts without a match never leave the JVM for detection.
-MAYBE = r"@|\d(?:\d\d|\.\d)|[A-Z]{2}\d{2}|" + r"(?=\p{Lu})" + _any_of(list(_given)) + r"[  ]"
+#: Python's digits are those of every script, the JVM's \d is not.
+MAYBE = r"@|\p{Nd}(?:\p{Nd}{2}|\.\p{Nd})|\+\p{Nd}(?:[ .-]?\p{Nd}){4}|[A-Z]{2}\p{Nd}{2}|" + r"(?=\p{Lu})" + _any_of(list(_given)) + r"[  ]"
 
 
 def normal(kind: str, raw: str) -> str:

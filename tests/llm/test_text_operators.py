@@ -161,6 +161,17 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert sorted(map(tuple, pii.assign(found).collect())) == sorted(map(tuple, rows))
 
 
+def test_every_entity_is_let_through_to_the_patterns(spark):
+    raw = [
+        "+49 30 12 34 56", "+45 12 34 56 78", "+33 12 34 56 78 90", "+33 6 12 34 56 78", "+33-6-12-34-56-78", "+33.6.12.34.56.78", "+49 30 12 34 56 78 90", "+4930123456", "+12 34 56", "(663) 555-6869", "663 555 6869",
+        "٦٦٣-٥٥٥-٦٨٦٩", "+٣٣ ٦ ١٢ ٣٤ ٥٦ ٧٨", "a@b.example.com", "10.1.2.3", "4111 1111 1111 1111", "3782 822463 10005", "078-05-1120", "DE89 3704 0044 0532 0130 00", *(n + " Xylo" for n in pii._given), "Mary Xylo",
+    ]
+    assert [x for x in raw if [(a, b) for a, b, *_ in pii.find("at " + x + " so")] != [(3, 3 + len(x))]] == []
+    out = pii.pseudonymize(docs(spark, [(i, "at " + x + " so", "en", "s") for i, x in enumerate(raw)])).collect()
+    assert [r["text"] for r in out if r["pii_entities"] != 1 or raw[r["doc_id"]] in r["text"]] == []
+    assert pii.find("x +1 2 3 4 and +1 555 123 4567 2 times")[0][:2] == (15, 30)
+
+
 # ---- licenses
 def test_licenses(spark):
     apache = "Licensed under the Apache License, Version 2.0."
