@@ -4,8 +4,9 @@ A candidate is a run of 16 or more key-like characters in sensitive context: a
 word such as token or password before it on its line, or a known key prefix.  Its
 novelty is what it costs to compress once a compressor knows the code around it
 (the candidate itself taken out) and a dictionary of identifiers: the marginal
-compressed bytes over its length.  Words, identifiers, placeholders and repeats
-cost little; random strings cost about their length and are reported.
+compressed bytes over those of a random string of its alphabet and length.  Words,
+identifiers, placeholders and repeats cost little; random strings cost as much as
+others of their kind, whatever their length, and are reported.
 
 Defined results: null and empty texts have no findings; the same string is found
 at each place it occurs; repeated rows report alike; findings carry a hash and a
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -52,6 +54,27 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(compress(candidate.encode())) - len(compress(b""))
 
 
+#: Alphabets of keys, the narrowest first. Letters of one case alone count as if digits were among them: words are such letters.
+ALPHABETS = tuple((re.compile(f"[{c}]+"), n) for c, n in (("0-9", 10), ("0-9a-f", 16), ("0-9A-F", 16), ("0-9A-Z", 36), ("0-9a-z", 36), ("0-9A-Za-z+/_=-", 64), ("!-~", 94)))
+_LONG = 4096  # a random string's cost a character no longer changes
+
+
+@lru_cache(maxsize=1 << 14)
+def _random_bytes(letters: int, n: int) -> float:
+    """Marginal bytes of a random string of n characters out of so many, at most n."""
+    chars = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/!\"#$%&'()*,-.:;<=>?@[\\]^_`{|}~"[:letters]
+    drawn = hashlib.shake_256(f"{letters} {n}".encode()).digest(2 * n)
+    return min(n, marginal_bytes("".join(chars[(drawn[i] << 8 | drawn[i + 1]) % letters] for i in range(0, 2 * n, 2)), ""))
+
+
+def random_bytes(candidate: str) -> float:
+    """What a random string over the candidate's alphabet and of its length costs."""
+    n, letters = len(candidate), next((k for e, k in ALPHABETS if e.fullmatch(candidate)), 256)
+    if letters == 256:
+        return n
+    return _random_bytes(letters, n) if n <= _LONG else _random_bytes(letters, _LONG) * n / _LONG
+
+
 def scan_text(text: str, novelty: float = NOVELTY) -> list[tuple[int, int, str, int, float, str, str]]:
     """(start, length, context, marginal bytes, novelty, sha256, mask) of each finding."""
     found = []
@@ -70,9 +93,10 @@ def scan_text(text: str, novelty: float = NOVELTY) -> list[tuple[int, int, str,
             continue
         around = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[start + len(value) : start + len(value) + CONTEXT_CHARS]
         extra = marginal_bytes(value, around)
-        if extra >= novelty * len(value):
+        usual = random_bytes(value)
+        if extra >= novelty * usual:
             context = words[-1].group().lower() if words else "prefix:" + prefix.group()
-            found.append((start, len(value), context, extra, round(extra / len(value), 4), hashlib.sha256(value.encode()).hexdigest(), value[:2] + "***" + value[-2:]))
+            found.append((start, len(value), context, extra, round(extra / usual, 4), hashlib.sha256(value.encode()).hexdigest(), value[:2] + "***" + value[-2:]))
     return found
 
 
