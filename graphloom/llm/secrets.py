@@ -1,7 +1,12 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 A candidate is a run of 16 or more key-like characters in sensitive context: a
-word such as token or password before it on its line, or a known key prefix.  Its
+word such as token or password on its line, however far, on the line before if that
+ends in an assignment, or in the key of a block that it is indented under; or a known
+key prefix.  A quoted value of 8 or more characters without white space right after
+such a word is one too, whatever it is made of, and so is the body of a PEM private
+key, as a whole.  Quoted values under 16 characters must hold more than letters, as
+a word can't be told from a password of letters.  A candidate's
 novelty is what it costs to compress once a compressor knows the code around it
 (the candidate itself taken out) and a dictionary of identifiers: the marginal
 compressed bytes over those of a random string of its alphabet and length.  Words,
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,15 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_CHARS = 16
+LEAST_QUOTED = 8
 CONTEXT_CHARS = 2048  # of surrounding code on either side that prime the compressor
-KEYWORD_CHARS = 48  # how far before a candidate, on its line, a keyword makes context
 NOVELTY = 0.8
 
 KEYWORDS = r"(?i)(?:tokens?|secrets?|passw(?:or)?d|passphrase|pwd|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|auth(?:orization)?|credentials?|bearer|signature)"
 PREFIXES = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|pk_live_|sk_live_|xox[abprs]-|AIza|eyJ[A-Za-z0-9])"
+PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 _candidate = re.compile(r"[A-Za-z0-9+/_\-=~.]{%d,}" % LEAST_CHARS)
 _keyword = re.compile(KEYWORDS)
 _prefix = re.compile(PREFIXES)
+#: Its headers are no part of a key; its body may be split into string literals or hold escaped line ends.
+_pem = re.compile(PEM + r"""(?:[ \t]*\r?\n(?:[A-Za-z-]+: [^\n]*\n(?:[ \t][^\n]*\n)*)+)?((?:[A-Za-z0-9+/=\s"'`,;>|#*\\]|-(?!----))*)""")
+_escape = re.compile(r"\\[nrt]|[^A-Za-z0-9+/=]")
+#: A keyword (no author), the rest of its key, a separator, perhaps a type, and the quoted value.
+_quoted = re.compile(KEYWORDS + r"""(?!or)(?=[\w.\-]{0,64}(?:\\?["'`])?\]?\s*(?:[:=]{1,3}>?|,|\()\s*(?:[\w.\[\]]{1,64}\s*=\s*)?[bru]?(\\?["'`])((?:(?!\1)(?:\\\S|[^\s\\]))+)\1)""")
+_no_value = re.compile(r"[$%#]?\{.*\}|<.*>|\[.*\]|%\(.*\)s?|%\w+%|\$[A-Z_]+|\w+://[^@]*|\d{1,4}(?:[-./:]\d+)+")
+_opens = re.compile(r"""([\w.$-]+)["'`\]]*\s*(?::|:?=|=>)\s*(?:[|>][+-]?|[\\\[{("'`])*\s*$""")
+_defines = re.compile(r"\s*(?:class|def|interface|struct|enum|trait|impl|if|elif|for|while|with|case)\b")
 
 IDENTIFIERS = (
     "true false null none undefined function return import from class public private static void string number boolean object array value values key keys name names "
@@ -75,9 +90,98 @@ def random_bytes(candidate: str) -> float:
     return _random_bytes(letters, n) if n <= _LONG else _random_bytes(letters, _LONG) * n / _LONG
 
 
+def _private_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, key) of the body of each PEM private key."""
+    for m in _pem.finditer(text):
+        start, end = m.span(1)
+        while start < end and (e := _escape.match(text, start, end)):
+            start = e.end()
+        while end > start and (not (text[end - 1].isalnum() or text[end - 1] in "+/=") or (text[end - 1] in "nrt" and text[end - 2] == "\\")):
+            end -= 1
+        parts = _escape.sub(" ", text[start:end]).split()
+        key = "".join(parts)
+        if len(key) >= LEAST_CHARS and 2 * sum(len(p) for p in parts if len(p) >= LEAST_CHARS) >= len(key):
+            yield start, end, key
+
+
+def _quoted_values(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, keyword) of each quoted value after a keyword."""
+    for m in _quoted.finditer(text):
+        value = m.group(2)
+        word = all(c.isalpha() or c in "_-./:" for c in value)
+        if len(value) >= LEAST_QUOTED and not (len(value) < LEAST_CHARS and (word or value.lower().encode() in _known)) and len(set(value)) > 3 and not _no_value.fullmatch(value):
+            yield *m.span(2), m.group().lower()
+
+
+_known = set(IDENTIFIERS.split())
+
+
+class _Context:
+    """Keywords around the candidates of a text; lines and blocks are looked at as they are needed."""
+
+    def __init__(self, text: str):
+        self.text, self.on_line, self.above = text, {}, None
+
+    def at(self, start: int, end: int) -> str | None:
+        lo, hi = self.text.rfind("\n", 0, start) + 1, self.text.find("\n", end)
+        if lo not in self.on_line:
+            words = [(m.start(), m.end(), m.group()) for m in _keyword.finditer(self.text, lo, hi if hi >= 0 else len(self.text))]
+            self.on_line[lo] = [w[0] for w in words], words
+        begins, words = self.on_line[lo]
+        i = bisect_left(begins, start)
+        while i and words[i - 1][1] > start:  # half in the candidate
+            i -= 1
+        if i:
+            return words[i - 1][2].lower()
+        i = bisect_left(begins, end)
+        return words[i][2].lower() if i < len(words) else self._block(lo)
+
+    def _block(self, line: int) -> str | None:
+        """The keyword of the line before, if it ends in an assignment, or of the key of an enclosing block."""
+        if self.above is None:
+            self.above, before, stack, at = {}, None, [], 0
+            for x in self.text.split("\n"):
+                if x.strip():
+                    indent = len(x) - len(x.lstrip())
+                    while stack and stack[-1][0] >= indent:
+                        stack.pop()
+                    outer = stack[-1][1] if stack else None
+                    self.above[at] = before or outer
+                    defines = _defines.match(x)
+                    opens = None if defines else _opens.search(x[-200:])
+                    own = _keyword.search(opens.group(1)) if opens else None
+                    last = list(_keyword.finditer(x)) if opens else []
+                    before = last[-1].group().lower() if last else None
+                    stack.append((indent, own.group().lower() if own else None if defines else outer))
+                at += len(x) + 1
+        return self.above.get(line)
+
+
 def scan_text(text: str, novelty: float = NOVELTY) -> list[tuple[int, int, str, int, float, str, str]]:
     """(start, length, context, marginal bytes, novelty, sha256, mask) of each finding."""
-    found = []
+    found, taken, keyed = [], [], {}
+
+    def judge(start: int, end: int, value: str, context: str) -> bool:
+        around = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
+        extra, usual = marginal_bytes(value, around), random_bytes(value)
+        if extra < novelty * usual:
+            return False
+        found.append((start, end - start, context, extra, round(extra / usual, 4), hashlib.sha256(value.encode()).hexdigest(), value[:2] + "***" + value[-2:]))
+        return True
+
+    for start, end, value in _private_keys(text):
+        taken.append((start, end))
+        judge(start, end, value, "private key")
+    keys = len(taken)
+    for start, end, word in _quoted_values(text):
+        i = bisect_left(taken, (start,), hi=keys)
+        if (i and taken[i - 1][1] > start) or start in keyed:
+            continue
+        keyed[start] = word
+        if not _candidate.fullmatch(text, start, end) and judge(start, end, text[start:end], word):
+            taken.append((start, end))
+    taken.sort()
+    context = _Context(text)
     for m in _candidate.finditer(text):
         value = m.group().strip("=.~-/+_") if "=" in m.group()[:-2] else m.group().rstrip(".")
         start = m.start() + m.group().find(value)
@@ -86,24 +190,19 @@ def scan_text(text: str, novelty: float = NOVELTY) -> list[tuple[int, int, str,
             start, value = start + len(name) + 1, rest
         if len(value) < LEAST_CHARS:
             continue
-        line = text[max(text.rfind("\n", 0, start) + 1, start - KEYWORD_CHARS) : start]
-        words = list(_keyword.finditer(line))
-        prefix = _prefix.match(value)
-        if not words and not prefix:
+        i = bisect_left(taken, (start + len(value),))
+        if i and taken[i - 1][1] > start:  # part of a finding, or of a key that is none
             continue
-        around = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[start + len(value) : start + len(value) + CONTEXT_CHARS]
-        extra = marginal_bytes(value, around)
-        usual = random_bytes(value)
-        if extra >= novelty * usual:
-            context = words[-1].group().lower() if words else "prefix:" + prefix.group()
-            found.append((start, len(value), context, extra, round(extra / usual, 4), hashlib.sha256(value.encode()).hexdigest(), value[:2] + "***" + value[-2:]))
-    return found
+        word, prefix = keyed.get(m.start()) or context.at(start, start + len(value)), _prefix.match(value)
+        if word or prefix:
+            judge(start, start + len(value), value, word or "prefix:" + prefix.group())
+    return sorted(found)
 
 
 def secret_findings(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """A row for each finding: doc_id, start and length (characters), context, marginal_bytes, novelty, sha256, mask."""
     # only texts with some context leave the JVM; scan_text looks for the same
-    maybe = docs.where(F.col("text").rlike(KEYWORDS) | F.col("text").rlike(PREFIXES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    maybe = docs.where(F.col("text").rlike(KEYWORDS) | F.col("text").rlike(PREFIXES) | F.col("text").rlike(PEM)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = ["doc_id", "start", "length", "context", "marginal_bytes", "novelty", "sha256", "mask"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string()]
 
