@@ -1,11 +1,15 @@
 """License scan by a positional rare-token index.
 
-Templates (license notices) are indexed by word position.  Each template's
+Templates (notices, standard headers, titles and opening texts of the common
+licenses) are indexed by word position.  Each template's
 rarest words, by inverse document frequency over the templates, are its entry
 points.  A file's occurrences of such words are looked up; each posting votes for
 a template at a relative position, file position minus template position, and a
 template with enough votes at one position (within SLACK words) is compared word
-for word there and must contain its mandatory key phrases.
+for word there and must contain its mandatory key phrases.  A BSD text is named by the
+clauses that follow its conditions (BSD where there is the opening sentence alone).
+The identifiers of an SPDX-License-Identifier line are found by pattern, a row each,
+named as the templates are, without -only and -or-later; exceptions are no licenses.
 
 Defined results: null, empty and other texts without a notice have no rows; a
 notice that occurs twice is found twice; where notices overlap the one with more
@@ -33,6 +37,7 @@ RARE_WORDS = 3
 SLACK = 2
 LEAST_MATCH = 0.8
 
+_GNU = (("GPL", "General Public License", "3.0"), ("GPL", "General Public License", "2.0"), ("LGPL", "Lesser General Public License", "3.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Library General Public License", "2.0"), ("AGPL", "Affero General Public License", "3.0"))
 #: (license, notice, mandatory key phrases)
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
@@ -41,20 +46,40 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license",)),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license",)),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use", "are permitted")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license", "version 3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license", "version 3")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", ("gnu lesser general public license", "version 2 1")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license", "2 0")),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use", "are permitted")),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", ("permission to use", "without fee")),
     ("CC-BY-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0", ("cc by nd 4 0",)),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0", ("cc by nc sa 4 0",)),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0", ("cc by nc nd 4 0",)),
+    *((f"CC-BY{code}-{v}", f"Creative Commons Attribution{words} {v} {port}", (f"attribution{words} {v}".lower().replace("-", " ").replace(".", " "),)) for v, port in (("4.0", "International"), ("3.0", "Unported")) for code, words in (("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives" if v == "4.0" else "-NoDerivs"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives" if v == "4.0" else "-NonCommercial-NoDerivs"))),
     ("CC0-1.0", "Released under CC0 1.0 Universal", ("cc0 1 0",)),
+    ("CC0-1.0", "CC0 1.0 Universal", ("cc0 1 0 universal",)),
+    *((f"{short}-{v}", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License, or (at your option) any later version", (f"gnu {name}".lower(), f"version {v.removesuffix('.0')} of".replace(".", " "))) for short, name, v in _GNU),
+    *((f"{short}-{v}", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {v.removesuffix('.0')} as published by the Free Software Foundation", (f"gnu {name} version {v.removesuffix('.0')} as".lower().replace(".", " "),)) for short, name, v in _GNU),
+    *((f"{short}-{v}", f"GNU {name} Version {v.removesuffix('.0')}, {date}", (f"gnu {name} version {v.removesuffix('.0')} {date.split()[0]}".lower().replace(".", " "),)) for (short, name, v), date in zip(_GNU, ("29 June 2007", "June 1991", "29 June 2007", "February 1999", "June 1991", "19 November 2007"))),
+    *((f"{short}-{v}", f"Licensed under the {short}v{v.removesuffix('.0')}", (f"{short}v{v.removesuffix('.0')}".lower().replace(".", " "),)) for short, _, v in _GNU if (short, v) != ("LGPL", "2.0")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", ("apache license version 2 0",)),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions", ("mozilla public license version 2 0",)),
+    ("EPL-2.0", "Eclipse Public License - v 2.0", ("eclipse public license v 2 0",)),
+    ("BSL-1.0", "Boost Software License - Version 1.0", ("boost software license version 1 0",)),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("permission is granted to anyone", "redistribute it freely")),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ("redistribution and use", "source code must retain", "binary form must reproduce")),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered", "public domain")),
 )
 #: Every template's key phrases hold one of these, so a text without any of them has no notice.
-ANCHORS = r"(?i)licen[cs]e|permission|redistribution|\bcc0|\bcc[^\p{L}\p{N}]+by|public[^\p{L}\p{N}]+domain"
+ANCHORS = r"(?i)licen[cs]e|permission|redistribution|\bcc0|\bcc[^\p{L}\p{N}]+by|public[^\p{L}\p{N}]+domain|creative[^\p{L}\p{N}]+commons"
+#: Clauses that make another license of a BSD text if they come within so many words of it, the weightiest first.
+BSD_CLAUSES = (("BSD-4-Clause", "all advertising materials mentioning features or use of this software"), ("BSD-3-Clause", "to endorse or promote products derived from this software"))
+CLAUSE_WORDS = 160
+_spdx = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)")
+_spdx_part = re.compile(r"[\w.+-]*\w\+?|[()]|\S")
 
 
 def _words(text: str) -> list[str]:
@@ -132,6 +157,40 @@ def matches(words: list[str], hits: list[tuple[int, int]], index: Index) -> list
     return sorted(taken, key=lambda x: x[1])
 
 
+def bsd_clauses(words: list[str], found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """(license, first word, words, score), BSD texts named by their clauses and long enough to hold them."""
+    out = []
+    for i, (name, at, n, score) in enumerate(found):
+        if name.startswith("BSD"):
+            end = min([at + n + CLAUSE_WORDS, *(x[1] for x in found[i + 1 : i + 2])])
+            for other, clause in BSD_CLAUSES:
+                phrase = _words(clause)
+                if last := next((j + len(phrase) for j in range(at + n, end - len(phrase) + 1) if words[j : j + len(phrase)] == phrase), 0):
+                    name, n = (other if name in ("BSD", "BSD-2-Clause") else name), max(n, last - at)
+        out.append((name, at, n, score))
+    return out
+
+
+def spdx_tags(text: str) -> list[tuple[str, int, int, int]]:
+    """(license, start of the tag, start, end of the identifier) of the identifiers of each SPDX line."""
+    out = []
+    for m in _spdx.finditer(text):
+        due = "id"  # or the exception after WITH, or what joins two
+        for x in _spdx_part.finditer(text, *m.span(1)):
+            part = x.group()
+            if part in "()":
+                continue
+            if due == "" and part.upper() in ("AND", "OR", "WITH"):
+                due = "exception" if part.upper() == "WITH" else "id"
+            elif due and part[0].isalnum():
+                if due == "id":
+                    out.append((re.sub(r"(?i)(?:-only|-or-later|\+)$", "", part), m.start(), *x.span()))
+                due = ""
+            else:
+                break
+    return out
+
+
 def _best(template: list[str], part: list[str]) -> tuple[int, int, int]:
     best = (0, 0, 0)
     for k in range(min(2 * SLACK + 1, len(part))):
@@ -153,12 +212,17 @@ def license_findings(docs: DataFrame) -> DataFrame:
                 w = T.split_words(run)
                 where = np.searchsorted(index.rare, w.hashes)
                 hit = np.flatnonzero(index.rare[np.minimum(where, len(index.rare) - 1)] == w.hashes)
-                for d in np.unique(w.doc[hit]):
+                tags = {d: x for d, t in enumerate(run) if t and (x := spdx_tags(t))}
+                for d in np.union1d(np.unique(w.doc[hit]), np.array(list(tags), int)).astype(int):
                     lo, hi, low = int(w.first[d]), int(w.first[d + 1]), T.fold(run[d])
                     words = [low[a:b] for a, b in zip(w.start[lo:hi].tolist(), w.end[lo:hi].tolist())]
                     own = [(int(i) - lo, int(w.hashes[i])) for i in hit[w.doc[hit] == d]]
-                    for t, first, n, score in matches(words, own, index):
-                        rows.append((ids[at + int(d)], index.names[t], first, n, int(w.start[lo + first]), int(w.end[lo + first + n - 1]), round(score, 4)))
+                    found = bsd_clauses(words, [(index.names[t], first, n, score) for t, first, n, score in matches(words, own, index)])
+                    for name, begin, a, b in tags.get(int(d), ()):
+                        first, last = np.searchsorted(w.start[lo:hi], [begin if a == tags[int(d)][0][2] else a, b]).tolist()
+                        found.append((name, first, last - first, 1.0))
+                    for name, first, n, score in sorted(found, key=lambda x: x[1:3]):
+                        rows.append((ids[at + int(d)], name, first, n, int(w.start[lo + first]), int(w.end[lo + first + n - 1]), round(score, 4)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["doc_id", "license", "start_word", "n_words", "start", "end", "score"])
 
