@@ -257,12 +257,12 @@ def budget_proportional(spark, d):
 
 @query()
 def budget_mmr(spark, d):
-    return budget.mmr(ranking.top(_chunks(spark, d), 500), 8192).select("node_id", "label")
+    return budget.mmr(_chunks(spark, d), 8192).select("node_id", "label")
 
 
 @query()
 def budget_submodular(spark, d):
-    return budget.submodular(ranking.top(_chunks(spark, d), 500), 8192).select("node_id", "label")
+    return budget.submodular(_chunks(spark, d), 8192).select("node_id", "label")
 
 
 @query("SELECT n_nationkey AS node_id, round(CASE WHEN lower('nation ' || n_name) LIKE '%united states%' THEN 0.2 ELSE 0 END + 0.75 * ((CASE WHEN list_contains(regexp_extract_all(lower('nation ' || n_name), '[a-z0-9]+'), 'united') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(regexp_extract_all(lower('nation ' || n_name), '[a-z0-9]+'), 'states') THEN 1 ELSE 0 END)) / 2, 6) AS score FROM nation")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,51 +67,59 @@ def proportional(chunks: DataFrame, tokens: int, shares: tuple[float, float, flo
     return chunks.join(F.broadcast(picked), "node_id", "left_semi")
 
 
-def _relevance(scores: list[float]) -> list[float]:
-    low, high = min(scores), max(scores)
-    return [(s - low) / (high - low) for s in scores] if high - low > 1.1920929e-07 else [1.0] * len(scores)
+def _relevance(scores: np.ndarray) -> np.ndarray:
+    low, high = scores.min(), scores.max()
+    return (scores - low) / (high - low) if high - low > 1.1920929e-07 else np.ones(len(scores))
+
+
+def _arrays(labels: list, scores: list[float], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label numbers, relevance and sizes."""
+    return pd.factorize(np.array(labels, object), use_na_sentinel=False)[0], _relevance(np.array(scores, np.float64)), np.array(sizes, np.int64)
 
 
 def pick_mmr(labels: list, scores: list[float], sizes: list[int], tokens: int, lam: float) -> list[int]:
     """Indices in order of maximal marginal relevance, where chunks of a label are alike."""
+    if not len(scores):
+        return []
     lam = min(max(lam, 0.0), 1.0)
-    rel = _relevance(scores) if scores else []
-    left, used, taken, seen = list(range(len(scores))), 0, [], set()
-    while True:
-        best, at = None, -1
-        for r, i in enumerate(left):
-            if sizes[i] > 0 and used + sizes[i] > tokens:
-                continue
-            value = lam * rel[i] - (1 - lam) * (labels[i] in seen)
-            if best is None or value > best:
-                best, at = value, r
-        if best is None:
-            return taken
-        i = left[at]
-        left[at] = left[-1]
-        left.pop()
+    label, rel, size = _arrays(labels, scores, sizes)
+    value, left, n, used, taken, seen = lam * rel, np.arange(len(rel)), len(rel), 0, [], set()
+    while n:
+        fit = (size[:n] <= 0) | (used + size[:n] <= tokens)
+        if not fit.any():
+            break
+        at = int(np.where(fit, value[:n], -np.inf).argmax())
+        i, own = int(left[at]), int(label[at])
         taken.append(i)
-        used += sizes[i]
-        seen.add(labels[i])
+        used += int(size[at])
+        n -= 1
+        for x in (left, label, size, value):
+            x[at] = x[n]
+        if own not in seen:
+            seen.add(own)
+            value[:n][label[:n] == own] -= 1 - lam
+    return taken
 
 
 def pick_submodular(labels: list, scores: list[float], sizes: list[int], tokens: int, alpha: float) -> list[int]:
     """Indices in order of gain alpha * relevance + (1 - alpha) * chunks newly covered by their label."""
+    if not len(scores):
+        return []
     alpha = min(max(alpha, 0.0), 1.0)
-    rel = _relevance(scores) if scores else []
-    count = pd.Series(labels).value_counts().to_dict() if labels else {}
-    covered: set = set()
-    used, taken, left = 0, [], set(range(len(scores)))
-    while left:
-        fit = [i for i in left if not (sizes[i] > 0 and used + sizes[i] > tokens)]
-        if not fit:
-            break
-        i = min(fit, key=lambda j: (-(alpha * rel[j] + (1 - alpha) * (0 if labels[j] in covered else count[labels[j]])), j))
-        left.discard(i)
+    label, rel, size = _arrays(labels, scores, sizes)
+    gain, covered = alpha * rel + (1 - alpha) * np.bincount(label)[label], set()
+    open_, used, taken = np.ones(len(rel), bool), 0, []
+    while True:
+        fit = open_ & ((size <= 0) | (used + size <= tokens))
+        if not fit.any():
+            return taken
+        i = int(np.where(fit, gain, -np.inf).argmax())
+        open_[i] = False
         taken.append(i)
-        used += sizes[i]
-        covered.add(labels[i])
-    return taken
+        used += int(size[i])
+        if (own := int(label[i])) not in covered:
+            covered.add(own)
+            gain[label == own] = alpha * rel[label == own]
 
 
 def _sequential(chunks: DataFrame, pick) -> DataFrame:
@@ -119,7 +128,8 @@ def _sequential(chunks: DataFrame, pick) -> DataFrame:
         chosen = pick(t["label"].tolist(), t["score"].tolist(), t["tokens"].tolist()) if len(t) else []
         return pd.DataFrame({"node_id": t["node_id"].iloc[chosen].astype("int64"), "pick": range(1, len(chosen) + 1)})
 
-    picked = in_one_task(chunks.select("node_id", "label", "score", "tokens"), step, "node_id long, pick int")
+    # only these columns go to the one task; what they are made of is read in parallel
+    picked = in_one_task(chunks.select("node_id", "label", "score", "tokens").repartition(1), step, "node_id long, pick int")
     return chunks.join(picked, "node_id")
 
 
