@@ -132,10 +132,10 @@ def acl_filter(spark, d):
 
 
 # ---- joins
-@query(f"WITH {TRADE} SELECT a AS node_id, b AS neighbor, w AS weight FROM u WHERE a < 5")
+@query(f"WITH {TRADE} SELECT a AS node_id, b AS neighbor, w AS weight FROM u")
 def neighbors_both(spark, d):
     g = tables.trade(spark, d)
-    return joins.neighbors(g, g.nodes.where("node_id < 5"), "both").select("node_id", "neighbor", "weight")
+    return joins.neighbors(g, g.nodes, "both").select("node_id", "neighbor", "weight")
 
 
 @query(f"WITH {KNOWLEDGE} SELECT ke.src AS node_id, count(*) AS n FROM ke WHERE vf <= 800000000000 AND label = 'contains' GROUP BY 1")
@@ -297,11 +297,14 @@ def jaro_winkler(spark, d):
     return score(pairs.select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), text.jaro_winkler("n_name", "r_name").alias("score")))
 
 
-@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS cosine, round(1 - list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS ip FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE x.label = 3")
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS cosine, round(1 - list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS ip FROM embeddings x, embeddings y WHERE x.vec_id % 100 = 0")
 def vector_distances(spark, d):
-    e = tables.table(spark, d, "embeddings").where("label = 3")
-    x, y = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(vectors.cosine_distance(F.col("va"), F.col("vb")), 5).alias("cosine"), F.round(vectors.inner_product_distance(F.col("va"), F.col("vb")), 5).alias("ip"))
+    found = {}
+    for metric in ("cosine", "ip"):
+        e = tables.embeddings(spark, d)
+        every = search.distances(e, e.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vec"), metric)
+        found[metric] = every.select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), F.round("distance", 5).alias(metric))
+    return found["cosine"].join(found["ip"], ["a", "b"])
 
 
 # ---- traversal and paths
@@ -593,13 +596,13 @@ def condense(spark, d):
     return importance.condense(tables.knowledge(spark, d), NOW, 0.0003).nodes.agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRADE}, x AS (SELECT user_id % 25 AS id, max(epoch_us(ts) // 1000) AS t FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT v.id AS node_id FROM v LEFT JOIN x USING (id) ORDER BY coalesce(t, 0), v.id LIMIT 6")
+@query(f"WITH {TRADE}, x AS (SELECT user_id % 25 AS id, max(epoch_us(ts) // 1000) AS t FROM events GROUP BY 1) SELECT v.id AS node_id FROM v LEFT JOIN x USING (id) ORDER BY coalesce(t, 0), v.id LIMIT 6")
 def lru_eviction(spark, d):
     from dataclasses import replace
 
     from .model import Settings
 
-    access = tables.table(spark, d, "events").where("user_id % 2 = 0").select((F.col("user_id") % 25).alias("node_id"), tables.millis("ts").alias("accessed_at"))
+    access = tables.table(spark, d, "events").select((F.col("user_id") % 25).alias("node_id"), tables.millis("ts").alias("accessed_at"))
     return importance.evictable(replace(tables.trade(spark, d), settings=Settings(max_nodes=20, eviction="lru")), access)
 
 
@@ -610,17 +613,17 @@ def alias_resolution(spark, d):
 
 
 # ---- search and retrieval
-@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
 def vector_search(spark, d):
     e = tables.embeddings(spark, d)
-    queries = e.where("node_id < 20").select(F.col("node_id").alias("query_id"), "vec")
+    queries = e.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vec")
     return search.nearest(e, queries, 10).select("query_id", "node_id", F.round(F.abs("distance"), 5).alias("distance"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS node_id, list_cosine_distance(q, embedding::DOUBLE[]) AS d FROM q, embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM x) SELECT query_id, node_id, round(d, 5) AS distance FROM r WHERE rank <= 10")
 def filtered_vector_search(spark, d):
     g = tables.library(spark, d)
-    queries = g.embeddings.where("node_id < 5").select(F.col("node_id").alias("query_id"), "vec")
+    queries = g.embeddings.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vec")
     return search.nearest_where(g, queries, 10, properties={"lang": "en"}).select("query_id", "node_id", F.round(F.abs("distance"), 5).alias("distance"))
 
 
@@ -684,13 +687,13 @@ def key_resolution(spark, d):
     return resolve.match_key(g, g.nodes.select(F.col("node_id").alias("query_id"), "entity_key"))
 
 
-@query("WITH x AS (SELECT a.vec_id AS q, b.vec_id AS n, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, n) AS k FROM x) SELECT q AS query_id, n AS node_id FROM r WHERE k = 1 AND s > 0.92")
+@query("WITH x AS (SELECT a.vec_id AS q, b.vec_id AS n, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, n) AS k FROM x) SELECT q AS query_id, n AS node_id FROM r WHERE k = 1 AND s > 0.92")
 def vector_resolution(spark, d):
     e = tables.embeddings(spark, d)
     from .model import Graph
 
     g = Graph(None, None, e)
-    return resolve.match_vector(g, e.where("node_id < 50").select(F.col("node_id").alias("query_id"), "vec")).select("query_id", "node_id")
+    return resolve.match_vector(g, e.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vec")).select("query_id", "node_id")
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import csv_type
 from ..model import Graph
-from .aggregates import degree_distribution, text_statistics
+from .aggregates import degree_distribution, edge_label_counts, label_counts, text_statistics
 from .joins import dangling, endpoint_labels
 
 BYTES = {"node": 64, "edge": 96, "term": 128}
@@ -21,13 +21,20 @@ def stats(graph: Graph) -> DataFrame:
 
 
 def detailed_stats(graph: Graph) -> DataFrame:
-    """One row: counts, degree distribution and a memory estimate."""
+    """One row: counts, degree distribution, nodes by label and edges by type ("label=n, ..."), and a memory estimate in bytes."""
     from .search import node_documents
 
+    def listed(counts: DataFrame, name: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct("label", "n")))
+        return counts.agg(F.array_join(F.transform(pairs, lambda p: F.concat(F.coalesce(p["label"], F.lit("unknown")), F.lit("="), p["n"].cast("string"))), ", ").alias(name))
+
     vectors = graph.embeddings.agg(F.count("*").alias("vectors"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("_floats")) if graph.embeddings is not None else graph.spark.createDataFrame([(0, 0)], "vectors long, _floats long")
-    postings, _ = text_statistics(node_documents(graph))
+    postings, corpus = text_statistics(node_documents(graph))
     terms = postings.agg(F.count_distinct("term").alias("terms"))
-    row = stats(graph).crossJoin(degree_distribution(graph)).crossJoin(vectors).crossJoin(terms)
+    temporal = graph.nodes.agg(F.count(F.when(F.col("tx_from") > 0, 1)).alias("temporal_nodes"))
+    row = stats(graph).crossJoin(degree_distribution(graph).drop("avg_degree"))
+    for part in (vectors, corpus.select(F.col("n").alias("text_indexed")), terms, temporal, listed(label_counts(graph), "labels"), listed(edge_label_counts(graph), "edge_types")):
+        row = row.crossJoin(part)
     memory = BYTES["node"] * F.col("nodes") + BYTES["edge"] * F.col("edges") + 4 * F.col("_floats") + BYTES["term"] * F.col("terms")
     return row.withColumn("memory_bytes", memory).drop("_floats")
 

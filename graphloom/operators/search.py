@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch
 from ..functions.text import search_tokens
 from ..model import Graph
+from ..runtime import new_path
 from .aggregates import text_statistics
 
 K1, B = 1.2, 0.75
-_QUERY_BLOCK = 1024
+#: Rows that an index's centres are fitted on, at most.
+INDEX_SAMPLE = 100_000
+_BLOCK_BYTES = 16 << 20  # of queries, or of rows, that meet at once in a worker
+_STEP = 2048
 
 
 def check_dimensions(embeddings: DataFrame, dimensions: int) -> None:
@@ -23,59 +30,162 @@ def check_dimensions(embeddings: DataFrame, dimensions: int) -> None:
         raise DimensionMismatch(f"vectors must have {dimensions} dimensions")
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """(query_id, node_id, distance, rank): the k nearest of embeddings (node_id, vec) to each of queries (query_id, vec), exactly.
+def _query_files(queries: DataFrame, by: Column, width: int, rows: int) -> tuple[str, int]:
+    """(folder of queries (query_id, vec) written by block, number of blocks), each block of about _BLOCK_BYTES."""
+    blocks = max(1, -(-rows * (4 * width + 8) // _BLOCK_BYTES))
+    path = new_path(queries.sparkSession, "queries")
+    queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<float>").alias("vec"), F.pmod(by, F.lit(blocks)).alias("block")).repartition("block").write.partitionBy("block").parquet(path)
+    return path, blocks
 
-    Queries go to the embeddings as blocks of rows, joined by a cross join, so neither side is collected; each task
-    multiplies its rows with a block as matrices and keeps k a query before anything is shuffled.
-    """
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
+
+def _read_block(folder: str, key: str, value: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, matrix) of a block of queries in the shared folder."""
+    where, root = fs.FileSystem.from_uri(folder)
+    at = f"{root}/{key}={value}"
+    if where.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    t = ds.dataset(at, filesystem=where, format="parquet").to_table(columns=["query_id", "vec"])
+    return (t["query_id"].to_numpy(), _matrix(t["vec"])) if t.num_rows else None
+
+
+def _distance(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    product = q @ x.T
+    if metric == "ip":
+        return 1 - product
+    if metric == "cosine":
+        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        return np.where(length > 0, 1 - product / np.where(length > 0, length, 1), 1.0)
+    return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * product, 0)
+
+
+def _top(ids: np.ndarray, q: np.ndarray, node: np.ndarray, x: np.ndarray, k: int | None, metric: str) -> pa.RecordBatch:
+    """The k nearest rows of x (all, without k) to each of q."""
+    best, of = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    for at in range(0, len(node), _STEP):
+        d = _distance(q, x[at : at + _STEP], metric)
+        best, of = np.concatenate((best, d), 1), np.concatenate((of, np.broadcast_to(node[at : at + _STEP], d.shape)), 1)
+        if k is not None:
+            order = np.lexsort((of, best), axis=1)[:, :k]
+            best, of = np.take_along_axis(best, order, 1), np.take_along_axis(of, order, 1)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(of.ravel()), pa.array(best.ravel())], ["query_id", "node_id", "distance"])
+
+
+def _against_all(embeddings: DataFrame, queries: DataFrame, k: int | None, metric: str) -> DataFrame:
+    """Blocks of queries lie as files in the shared folder; each task reads them one after the other, a run of its rows at a time."""
     if metric not in ("cosine", "l2", "ip"):
         raise ValueError(f"no metric {metric}")
-    blocks = queries.select((F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(-(-queries.count() // _QUERY_BLOCK))))).alias("block"), "query_id", F.col("vec").cast("array<float>").alias("vec"))
-    blocks = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
+    rows, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    folder, blocks = _query_files(queries, F.xxhash64("query_id"), width, rows)
+
+    def meet(node: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b in range(blocks):
+            if found := _read_block(folder, "block", b):
+                yield _top(*found, np.concatenate(node), np.concatenate(x), k, metric)
 
-    def block_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, x, size = [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            node, lists = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            for b in np.unique(block):
-                rows = np.flatnonzero(block == b)
-                if b not in held:
-                    first = int(rows[0])
-                    ids = np.array(batch.column(3)[first].as_py(), np.int64)
-                    held[b] = (ids, np.array(batch.column(4)[first].as_py(), np.float64).reshape(len(ids), -1))
-                    best[b] = (np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64))
-                q = held[b][1]
-                x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-                product = q @ x.T
-                if metric == "ip":
-                    d = 1 - product
-                elif metric == "cosine":
-                    length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    d = np.where(length > 0, 1 - product / np.where(length > 0, length, 1), 1.0)
-                else:
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * product, 0)
-                every = np.concatenate((best[b][0], d), 1)
-                ids = np.concatenate((best[b][1], np.broadcast_to(node[rows], d.shape)), 1)
-                order = np.lexsort((ids, every), axis=1)[:, :k]
-                best[b] = (np.take_along_axis(every, order, 1), np.take_along_axis(ids, order, 1))
-        for b, (d, ids) in best.items():
-            n = d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held[b][0], n)), pa.array(ids.ravel()), pa.array(d.ravel())], ["query_id", "node_id", "distance"])
-
-    pairs = embeddings.select("node_id", "vec").crossJoin(F.broadcast(blocks) if _small(queries) else blocks).select("block", "node_id", "vec", "ids", "flat")
-    found = pairs.mapInArrow(block_top, "query_id long, node_id long, distance double")
+            if batch.num_rows:
+                node.append(batch.column(0).to_numpy(zero_copy_only=False))
+                x.append(_matrix(batch.column(1)))
+                size += x[-1].nbytes
+            if size > _BLOCK_BYTES:
+                yield from meet(node, x)
+                node, x, size = [], [], 0
+        if node:
+            yield from meet(node, x)
+
+    return embeddings.where("vec IS NOT NULL").select("node_id", "vec").mapInArrow(make, "query_id long, node_id long, distance double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _small(queries: DataFrame) -> bool:
-    rows, width = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
-    return rows * (8 * (width or 0) + 32) <= 64 << 20
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(query_id, node_id, distance, rank): the k nearest of embeddings (node_id, vec) to each of queries (query_id, vec), exactly.
+
+    A row carries its own vector only; each task keeps k a query before anything is shuffled.
+    """
+    return _ranked(_against_all(embeddings, queries, k, metric), k)
+
+
+def distances(embeddings: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(query_id, node_id, distance) of every query with every row."""
+    return _against_all(embeddings, queries, None, metric)
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """An inverted file: every row (list, node_id, vec), and the lists' centres; lists too large for a task are in several parts."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    metric: str
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+        """(query_id, node_id, distance, rank) among the rows of the lists nearest to each query, a quarter of them without `probes`."""
+        centres, metric, n = self.centres, self.metric, len(self.centres)
+        probes = min(n, max(8, -(-n // 4)) if probes is None else probes)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column(1))
+                near = np.argsort(_distance(x, centres, metric), axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, probes), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), probes))), batch.column(1).take(pa.array(np.repeat(np.arange(len(x)), probes))), pa.array(near.ravel().astype(np.int64))], ["query_id", "vec", "list"])
+
+        path = new_path(queries.sparkSession, "probes")
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(choose, "query_id long, vec array<float>, list long")
+        asked.repartition("list").write.partitionBy("list").parquet(path)
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, None
+            for batch in batches:
+                of = batch.column(0).to_numpy(zero_copy_only=False)
+                for one in np.unique(of):
+                    if one != at:
+                        at, held = one, _read_block(path, "list", int(one))
+                    if held:
+                        mine = np.flatnonzero(of == one)
+                        yield _top(*held, batch.column(1).to_numpy(zero_copy_only=False)[mine], _matrix(batch.column(2).take(pa.array(mine))), k, metric)
+
+        return _ranked(self.rows.mapInArrow(make, "query_id long, node_id long, distance double"), k)
+
+
+def vector_index(embeddings: DataFrame, lists: int | None = None, metric: str = "cosine", sample: int = INDEX_SAMPLE, rounds: int = 8) -> VectorIndex:
+    """An index of every row of embeddings (node_id, vec): k-means centres are fitted on at most `sample` rows, drawn by a hash of their ids.
+
+    Without `lists` there are about the root of the number of rows, at most 4,096.
+    """
+    some = embeddings.where("vec IS NOT NULL").select("node_id", F.col("vec").cast("array<float>").alias("vec"))
+    n = some.count()
+    drawn = some.where(F.pmod(F.xxhash64(F.lit(5), "node_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * sample / max(1, n)) * (1 << 30)))).orderBy(F.xxhash64(F.lit(5), "node_id"), "node_id").limit(sample).toArrow()
+    x = _matrix(drawn["vec"])
+    lists = min(len(x), lists or max(1, min(4096, round(n**0.5))))
+    centres = x[:lists].copy()
+    for _ in range(rounds if lists else 0):
+        near = np.concatenate([np.argmin(_distance(x[i : i + _STEP], centres, metric), axis=1) for i in range(0, len(x), _STEP)])
+        total, size = np.zeros_like(centres), np.bincount(near, minlength=lists)
+        np.add.at(total, near, x)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _matrix(batch.column(1))
+            near = np.argmin(_distance(own, centres, metric), axis=1) if len(own) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64)), *batch.columns], ["list", "node_id", "vec"])
+
+    path = new_path(embeddings.sparkSession, "vector-index")
+    # a salt splits a list that holds a large share of the rows; files stay sorted by list
+    placed = some.mapInArrow(assign, "list long, node_id long, vec array<float>") if lists else some.select(F.lit(0).cast("long").alias("list"), "node_id", "vec")
+    placed.repartition("list", F.pmod(F.xxhash64("node_id"), F.lit(max(1, n // 10_000_000)))).sortWithinPartitions("list").write.parquet(path)
+    return VectorIndex(embeddings.sparkSession.read.parquet(path), centres, metric)
 
 
 def nearest_where(graph: Graph, queries: DataFrame, k: int = 10, labels: list[str] | None = None, properties: dict[str, str] | None = None, metric: str = "cosine", oversample: int | None = None) -> DataFrame:
@@ -116,5 +226,3 @@ def node_documents(graph: Graph) -> DataFrame:
     """(node_id, text): the visible string properties of each node, in order of their keys."""
     values = F.filter(F.array_sort(F.map_entries(F.map_filter(F.col("props"), lambda k, v: ~k.startswith("_") & v.isNotNull()))), lambda e: e["value"].isNotNull())
     return graph.nodes.select("node_id", F.array_join(F.transform(values, lambda e: e["value"]), " ").alias("text"))
-
-
