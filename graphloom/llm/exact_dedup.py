@@ -1,17 +1,23 @@
 """Exact dedup by Grace hash.
 
-Rows are partitioned by 64 bits of their text, first across the cluster (the
-shuffle is the outermost level of spill files), then inside a task: contents go
-into an open-addressing table until it holds TABLE_BYTES; from then on the table
-is closed, rows of contents that it has are settled, and all others are
-partitioned by further hash bits to spill files in the shared folder, each of
-which is processed the same way, until a bucket fits.  Slots compare complete
-contents, never only hashes.  A bucket of many copies of one text always fits,
-as a table holds each content once.
+Map tasks hash complete texts into an open-addressing table and hand on each
+content once, with its least doc_id and how often it came, so a hot text costs one
+record a task; past TABLE_BYTES the table is closed and contents that it doesn't have are
+handed on as they come.  The records are partitioned by 64 bits of their text, first across the
+cluster (the shuffle is the outermost level of spill files), then inside a task:
+contents go into an open-addressing table until it holds TABLE_BYTES; from then on
+it is closed, records of contents that it has are settled, and all others are
+partitioned by further hash bits to spill files in the shared folder, each of which
+is processed the same way, until a bucket fits.  Slots compare complete contents,
+never only hashes.  A worker holds contents and three numbers for each, and nothing
+a row.  Rows then meet their content by its 64 bits, in which only numbers move; where
+two contents share these bits (a collision), rows of both are compared by content.
 
 Defined results: null is no content, so each null text is a group of its own;
-the empty text is a content; of a group the row with the least doc_id (nulls
-last) stays, and of rows repeated whole exactly one; further columns pass through.
+the empty text is a content; very long texts are compared whole; of a group the row
+with the least doc_id (nulls last) stays, and of ties and rows repeated whole exactly
+one; an empty table gives an empty result; further columns pass through, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import keep_one, shared_folder, text_key
+from ._cluster import cut, file_key, keep_one, shared_folder, sized, text_key
 
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 FANOUT = 16
 _NO_ID = np.iinfo(np.int64).max
-_OUT = ["doc_id", "th", "group_id", "group_size", "keep"]
+_RECORD = ["th", "text", "least", "n"]
 
 
 class ContentTable:
@@ -41,6 +47,8 @@ class ContentTable:
         self.slot = [-1] * slots
         self.hashes: list[int] = []
         self.contents: list[str] = []
+        self.least: list[int] = []
+        self.n: list[int] = []
         self.bytes = 0
 
     def find(self, h: int, content: str) -> tuple[int, int]:
@@ -53,12 +61,14 @@ class ContentTable:
             at = (at + 1) & mask
         return -1, at
 
-    def add(self, h: int, content: str, at: int) -> int:
+    def add(self, h: int, content: str, at: int, least: int = _NO_ID, n: int = 0) -> int:
         i = len(self.contents)
         self.slot[at] = i
         self.hashes.append(h)
         self.contents.append(content)
-        self.bytes += len(content) + 120
+        self.least.append(least)
+        self.n.append(n)
+        self.bytes += 4 * len(content) + 200  # at most, with what Python adds
         if 2 * i > len(self.slot):
             self.slot = [-1] * (2 * len(self.slot))
             mask = len(self.slot) - 1
@@ -69,67 +79,57 @@ class ContentTable:
                 self.slot[at] = j
         return i
 
-
-def _settle(table: ContentTable, ids: list[np.ndarray], index: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not ids:
-        return
-    n = len(table.contents)
-    least, size = np.full(n, _NO_ID), np.zeros(n, np.int64)
-    for d, i in zip(ids, index):
-        np.minimum.at(least, i, d)
-        np.add.at(size, i, 1)
-    th = np.array(table.hashes, np.uint64).view(np.int64)
-    kept = np.zeros(n, bool)
-    for d, i in zip(ids, index):
-        keep = np.zeros(len(i), bool)
-        cand = np.flatnonzero((d == least[i]) & ~kept[i])
-        _, one = np.unique(i[cand], return_index=True)
-        keep[cand[one]] = True
-        kept[i[keep]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == _NO_ID), pa.array(th[i]), pa.array(least[i], mask=least[i] == _NO_ID), pa.array(size[i]), pa.array(keep)], _OUT)
+    def take(self, batch: pa.RecordBatch, table_bytes: int) -> np.ndarray:
+        """Which records (th, text, least, n) of a batch are not in the table, as it is closed."""
+        rest, least, n = [], self.least, self.n
+        for j, (h, text, d, k) in enumerate(zip(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64).tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            i, slot = self.find(h, text)
+            if i >= 0:
+                n[i] += k
+                if d < least[i]:
+                    least[i] = d
+            elif self.bytes > table_bytes:
+                rest.append(j)
+            else:
+                self.add(h, text, slot, d, k)
+        return np.array(rest, np.int64)
+
+    def records(self, texts: bool) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.contents), 1000):
+            b = slice(a, a + 1000)
+            columns = {"th": pa.array(np.array(self.hashes[b], np.uint64).view(np.int64)), "text": pa.array(self.contents[b], pa.string()), "least": pa.array(self.least[b], pa.int64()), "n": pa.array(self.n[b], pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in _RECORD if texts or c != "text"], [c for c in _RECORD if texts or c != "text"])
+
+
+def combine(batches: Iterable[pa.RecordBatch], table_bytes: int = TABLE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Records (th, text, least, n) with each content once, as long as the table takes contents."""
+    table = ContentTable()
+    for batch in batches:
+        rest = table.take(batch, table_bytes)
+        if len(rest):
+            yield pa.RecordBatch.from_arrays(batch.take(pa.array(rest)).columns, _RECORD)
+    yield from table.records(True)
 
 
 def grace(batches: Iterable[pa.RecordBatch], folder: str, table_bytes: int = TABLE_BYTES, level: int = 0) -> Iterator[pa.RecordBatch]:
-    """Groups of batches of (doc_id, th, text); folder is where spill files may go, as a URI."""
-    table, closed = ContentTable(), False
-    ids: list[np.ndarray] = []
-    index: list[np.ndarray] = []
+    """(th, least, n) of each content of batches of (th, text, least, n); folder is where spill files may go, as a URI."""
+    table = ContentTable()
     where, root = fs.FileSystem.from_uri(folder)
-    mine, files, schema = f"{root}/grace-{uuid.uuid4().hex}", {}, None
+    mine, files = f"{root}/grace-{uuid.uuid4().hex}", {}
     try:
         for batch in batches:
-            d = batch.column(0).fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
-            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = batch.column(2).to_pylist()
-            at = np.full(len(texts), -1, np.int64)
-            for j, (x, text) in enumerate(zip(h.tolist(), texts)):
-                if text is None:
-                    continue
-                i, slot = table.find(x, text)
-                if i < 0 and not closed:
-                    i = table.add(x, text, slot)
-                    closed = table.bytes > table_bytes
-                at[j] = i
-            null = np.fromiter((t is None for t in texts), bool, len(texts))
-            if null.any():
-                own = d[null]
-                yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == _NO_ID), pa.array(h[null].view(np.int64)), pa.array(own, mask=own == _NO_ID), pa.array(np.ones(len(own), np.int64)), pa.array(np.ones(len(own), bool))], _OUT)
-            known = at >= 0
-            if known.any():
-                ids.append(d[known])
-                index.append(at[known])
-            rest = np.flatnonzero(~known & ~null)
+            rest = table.take(batch, table_bytes)
             if len(rest):
-                schema = batch.schema
-                part = (T.mix(h[rest] + np.uint64(0x51ED2701 * (level + 1))) % np.uint64(FANOUT)).astype(np.int64)
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[rest]
+                part = (T.mix(h + np.uint64(0x51ED2701 * (level + 1))) % np.uint64(FANOUT)).astype(np.int64)
                 for p in np.unique(part):
                     if int(p) not in files:
                         where.create_dir(mine, recursive=True)
                         sink = where.open_output_stream(f"{mine}/{p}.arrow")
-                        files[int(p)] = (sink, ipc.new_stream(sink, schema, options=ipc.IpcWriteOptions(compression="zstd")))
+                        files[int(p)] = (sink, ipc.new_stream(sink, batch.schema, options=ipc.IpcWriteOptions(compression="zstd")))
                     files[int(p)][1].write_batch(batch.take(pa.array(rest[part == p])))
-        yield from _settle(table, ids, index)
-        del table, ids, index
+        yield from table.records(False)
+        del table
         for p in sorted(files):
             files[p][1].close()
             files[p][0].close()
@@ -143,18 +143,34 @@ def grace(batches: Iterable[pa.RecordBatch], folder: str, table_bytes: int = TAB
 
 
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """A row for each row of docs: doc_id, th, group_id (the group's least doc_id), group_size, keep."""
+    """A row for each row of docs: doc_id, th, file, group_id (the group's least doc_id), group_size, keep."""
     folder = shared_folder(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
-    # null texts match nothing; spread them instead of sending all to one partition
-    spread = F.when(F.col("text").isNull(), F.xxhash64("doc_id")).otherwise(F.col("th"))
-    schema = "doc_id long, th long, group_id long, group_size long, keep boolean"
-    return rows.repartition(spread).mapInArrow(lambda batches: grace(batches, folder, table_bytes), schema)
+    doc_id = F.col("doc_id").cast("long")
+    records = docs.where("text IS NOT NULL").select(text_key().alias("th"), "text", F.coalesce(doc_id, F.lit(int(_NO_ID))).alias("least"), F.lit(1).cast("long").alias("n"))
+    combined = records.mapInArrow(lambda batches: combine(batches, table_bytes), "th long, text string, least long, n long")
+    contents = cut(combined.repartition("th").mapInArrow(lambda batches: grace(batches, folder, table_bytes), "th long, least long, n long"))
+    shared = cut(contents.groupBy("th").count().where("count > 1").select(F.col("th").alias("_th")))  # 64 bits that several contents have
+    some = shared.count()
+    rows = docs.select(doc_id.alias("doc_id"), text_key().alias("th"), file_key().alias("file"), F.col("text").isNull().alias("absent"), *([F.col("text").alias("_text")] if some else []))
+    if some:
+        rows = rows.join(sized(shared, some, 16), F.col("th") == F.col("_th"), "left").withColumn("same", F.when(F.col("_th").isNotNull(), F.col("_text"))).drop("_th", "_text")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    key = ["th", "same"] if some else ["th"]
+    # of rows with the least id one stays
+    first = rows.where("NOT absent").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("own"))
+    if some:  # counted by content right here
+        groups = first.select(F.col("th").alias("t"), F.col("same").alias("s"), F.col("first"), F.col("own").alias("n"))
+    else:
+        groups = first.join(contents, "th").select(F.col("th").alias("t"), F.lit(None).cast("string").alias("s"), "first", "n")
+    match = (rows["th"] == groups["t"]) & (rows["same"].eqNullSafe(groups["s"]) if some else F.lit(True))
+    known = rows.where("NOT absent").join(groups, match).select("doc_id", "th", "file", F.col("first")["doc_id"].alias("group_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first")["row"]).alias("keep"))
+    alone = rows.where("absent").select("doc_id", "th", "file", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    return known.unionByName(alone)
 
 
 def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, group_id, group_size, keep for each row of docs."""
-    return exact_groups(docs, table_bytes).drop("th")
+    return exact_groups(docs, table_bytes).drop("th", "file")
 
 
 def drop_exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
