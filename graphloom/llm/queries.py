@@ -39,7 +39,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,18 +125,22 @@ def test_chat_turn_rows(spark):
 
 
 # ---- PII
+KEY = b"of the tests"
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail Ann.Lee@mail.example.com or ann.lee@mail.example.com, call +1 (663) 555-6869.", "en", "s"),
         (2, "ann.lee@mail.example.com from 10.1.2.3, card 4316 5226 7852 5456 and 4316522678525456", "en", "s"),
-        (3, None, "en", "s"), (4, "", "en", "s"), (5, "nothing here 12 but v1.2.3", "en", "s"), (6, "Mary Smith met JAMES and Иван Петров; Mary Smith left", "en", "s"),
+        (3, None, "en", "s"), (4, "", "en", "s"), (5, "nothing here 12 but v1.2.3", "en", "s"), (6, "Mary Smith met JAMES DEAN and Иван Петров; Mary Smith left", "en", "s"),
         (7, words(30_000) + " 10.1.2.3", "en", "s"), (2, "ann.lee@mail.example.com from 10.1.2.3, card 4316 5226 7852 5456 and 4316522678525456", "en", "s"), (None, "x@y.example.com", "en", "s"), (8, "4111 1111 1111 1111", "en", "s"),
     ]
-    d = docs(spark, rows, clash=True)
-    out = pii.pseudonymize(d)
-    assert out.columns == [*d.columns, "pii_entities"] and out.count() == len(rows)
+    d = docs(spark, rows, clash=True).selectExpr("*", "'own' AS pii_entities")
+    out = pii.pseudonymize(d, KEY)
+    assert out.columns == [*d.columns, "_pii_entities"] and out.count() == len(rows)
     got = {r["doc_id"]: r for r in out.collect()}
-    for raw in ("ann.lee@", "10.1.2.3", "4316522678525456", "555-6869", "Mary Smith", "Петров", "x@y.example"):
+    assert {r["pii_entities"] for r in got.values()} == {"own"}
+    for raw in ("ann.lee@", "10.1.2.3", "4316522678525456", "555-6869", "Mary", "Smith", "James", "Dean", "Петров", "x@y.example"):
         assert not any(raw.lower() in (r["text"] or "").lower() for r in got.values())
     mails = re.findall(r"[\w.]+@[\w.]+\.com", got[1]["text"] + " " + got[2]["text"])
     assert len({m.lower() for m in mails}) == 1 and mails[0][0].isupper() and mails[1][0].islower()
@@ -146,29 +150,83 @@ def test_surrogates(spark):
     cards = re.search(r"card ([\d ]{19}) and (\d{16})", got[2]["text"])
     assert cards[1].replace(" ", "") == cards[2]
     assert pii.luhn(got[8]["text"].replace(" ", "")) == 0
-    people = re.match(r"(\w+ \w+) met JAMES and (\w+ \w+); (\w+ \w+) left", got[6]["text"])
-    assert people[1] == people[3] and people[1].split()[0] in pii.GIVEN["latin", "f"] and people[2].split()[0] in pii.GIVEN["cyrillic", "m"]
-    assert [got[i]["text"] for i in (3, 4, 5)] == [None, "", rows[4][1]] and got[5]["pii_entities"] == 0
-    assert pii.pseudonymize(d.limit(0)).count() == 0
-
-
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    found = spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(400)] + [("name", f"mary name{i}") for i in range(1500)], "kind string, form string")
-    rows = pii.assign(found).collect()
-    assert len(rows) == 1900 == len({(r["kind"], r["new"]) for r in rows})
+    people = re.match(r"(\w+ \w+) met ([A-Z]+ [A-Z]+) and (\w+ \w+); (\w+ \w+) left", got[6]["text"])
+    assert people[1] == people[4] and people[1].split()[0] in pii.GIVEN["latin", "f"] and people[3].split()[0] in pii.GIVEN["cyrillic", "m"] and people[2].split()[0].title() in pii.GIVEN["latin", "m"]
+    assert got[6]["_pii_entities"] == 4
+    assert [got[i]["text"] for i in (3, 4, 5)] == [None, "", rows[4][1]] and got[5]["_pii_entities"] == 0
+    assert pii.pseudonymize(d.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymize(d, b"")
+
+
+def test_names_and_their_parts():
+    def parts(t):
+        return [t[a:b] for a, b, *_ in pii.find(t)]
+
+    assert parts("Mary Smith-Jones, MARY SMITH, John O'Neil and Fatima Khan") == ["Mary", "Smith", "Jones", "MARY", "SMITH", "John", "Neil", "Fatima", "Khan"]
+    assert parts("Jean-Pierre van der Berg, Frau Müller, Mr. Tanaka and John Q. Public") == ["Jean", "Pierre", "Berg", "Müller", "Tanaka", "John", "Q", "Public"]
+    assert parts("Mary Ann Smith asked. Smith's son and Mary knew.") == ["Mary", "Ann", "Smith", "Smith", "Mary"]
+    assert parts("Anna Green saw Green. Green grass. Mark the day; Mr. President, MARK ALL") == ["Anna", "Green", "Green"]
+    assert parts("Smith alone, and mary smith") == []
+    new = pii.replace("Mr. Smith and Mary Smith-Jones, JOHN SMITH, Мария Иванова", KEY, {})[0]
+    m = re.fullmatch(r"Mr\. (\w+) and (\w+) (\w+)-(\w+), ([A-Z]+) ([A-Z]+), (\w+) (\w+)", new)
+    assert m[1] == m[3] == m[6].title() and m[3] != m[4] and m[8].endswith(("ова", "ева"))
+    for names in pii.GIVEN.values():  # a cycle: nobody keeps a name, no two get the same
+        own = [n.casefold() for n in names]
+        got = [pii.surrogate("given", n, KEY) for n in own]
+        assert sorted(got) == sorted(own) and not any(x == y for x, y in zip(own, got))
+
+
+def test_surrogates_stay_distinct(spark):
+    found = spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(400)] + [("family", f"name{i}") for i in range(3000)] + [("ssn", f"{i:09d}") for i in range(1000)], "kind string, form string")
+    rows = pii.assign(found, KEY).collect()
+    assert len(rows) == 4400 == len({(r["kind"], r["new"]) for r in rows}) and any(r["attempt"] for r in rows)
     forms = {(r["kind"], r["form"]) for r in rows}
     assert not any((r["kind"], r["new"]) in forms for r in rows)
-    assert sorted(map(tuple, pii.assign(found).collect())) == sorted(map(tuple, rows))
+    assert all(r["new"] == pii.surrogate(r["kind"], r["form"], KEY, r["attempt"]) for r in rows)
+
+
+def test_surrogates_against_brute_force(spark, sf_dir, tmp_path, monkeypatch):
+    from graphloom.llm import _cluster
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = d.collect()
+    forms = sorted({x[2:4] for r in table for x in pii.find(r["text"])})
+    extra = [pii.surrogate("ip", f, KEY) for k, f in forms if k == "ip"][:3]  # entities that some surrogates equal
+    more = docs(spark, [(900_000 + i, f"host {x} and {x}", "en", "s") for i, x in enumerate(extra)])
+    d.unionByName(more).write.parquet(str(tmp_path / "docs"))
+    d = spark.read.parquet(str(tmp_path / "docs"))
+    table = d.collect()
+    forms = {x[2:4] for r in table for x in pii.find(r["text"]) if x[2] not in ("given", "initial")}
+    tried = dict.fromkeys(forms, 0)
+    while True:  # the same rule, one entity at a time
+        owner = {}
+        for k, f in sorted(tried, key=lambda e: (tried[e], e)):
+            owner.setdefault((k, pii.surrogate(k, f, KEY, tried[k, f])), (k, f))
+        again = [e for e in tried if owner[e[0], pii.surrogate(*e, KEY, tried[e])] != e or (e[0], pii.surrogate(*e, KEY, tried[e])) in forms]
+        if not again:
+            break
+        for e in again:
+            tried[e] += 1
+    assert any(tried.values())
+    brute = {r["doc_id"]: pii.replace(r["text"], KEY, tried) for r in table}
+    for bound in (64 << 20, 0):
+        monkeypatch.setattr(_cluster, "BROADCAST_BYTES", bound) if bound else monkeypatch.setattr(_cluster, "BROADCAST_BYTES", 1)
+        out = pii.pseudonymize(d, KEY)
+        assert {r["doc_id"]: (r["text"], r["pii_entities"]) for r in out.collect()} == brute
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_every_entity_is_let_through_to_the_patterns(spark):
     raw = [
         "+49 30 12 34 56", "+45 12 34 56 78", "+33 12 34 56 78 90", "+33 6 12 34 56 78", "+33-6-12-34-56-78", "+33.6.12.34.56.78", "+49 30 12 34 56 78 90", "+4930123456", "+12 34 56", "(663) 555-6869", "663 555 6869",
-        "٦٦٣-٥٥٥-٦٨٦٩", "+٣٣ ٦ ١٢ ٣٤ ٥٦ ٧٨", "a@b.example.com", "10.1.2.3", "4111 1111 1111 1111", "3782 822463 10005", "078-05-1120", "DE89 3704 0044 0532 0130 00", *(n + " Xylo" for n in pii._given), "Mary Xylo",
+        "٦٦٣-٥٥٥-٦٨٦٩", "+٣٣ ٦ ١٢ ٣٤ ٥٦ ٧٨", "a@b.example.com", "10.1.2.3", "4111 1111 1111 1111", "3782 822463 10005", "078-05-1120", "DE89 3704 0044 0532 0130 00",
     ]
     assert [x for x in raw if [(a, b) for a, b, *_ in pii.find("at " + x + " so")] != [(3, 3 + len(x))]] == []
-    out = pii.pseudonymize(docs(spark, [(i, "at " + x + " so", "en", "s") for i, x in enumerate(raw)])).collect()
-    assert [r["text"] for r in out if r["pii_entities"] != 1 or raw[r["doc_id"]] in r["text"]] == []
+    named = [*(n + " Xylo" for n in pii._forms), "Mary\u00a0Xylo", "Anne-Marie Xylo", *(t + " Xylo" for t in ("Mr.", "Mrs", "Dr.", "Frau", "Señora", "Mlle.", "г.", "г-жа."))]
+    assert [x for x in named if not pii.find("at " + x + " so")] == []
+    out = pii.pseudonymize(docs(spark, [(i, "at " + x + " so", "en", "s") for i, x in enumerate(raw + named)]), KEY).collect()
+    assert [r["text"] for r in out if r["pii_entities"] != 1 or (raw + named)[r["doc_id"]] in r["text"]] == []
     assert pii.find("x +1 2 3 4 and +1 555 123 4567 2 times")[0][:2] == (15, 30)
 
 
