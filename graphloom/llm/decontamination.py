@@ -6,16 +6,22 @@ a window whose hash is in the set is verified word by word before it counts.
 Matching windows are merged to spans.  A document that is mostly test material
 goes; from any other only the spans are cut out.
 
-Defined results: null, empty and too short texts are clean and pass unchanged;
-items of fewer than ``n`` words count as one window of their own length if they
-have at least ``min_words`` words, and are ignored otherwise; an empty benchmark
-leaves everything unchanged; repeated rows are judged row by row; further columns
-pass through, whatever they are called.
+A benchmark whose set may be broadcast is met in one scan.  Of a larger one only a
+bitmap of its hashes is broadcast (of a fixed size); the windows that it lets
+through, with their words, are joined to the table of its n-grams, and what was found
+comes back to the documents in a second scan, whatever the benchmark's size.
+
+Defined results: null, empty and too short texts are clean and pass unchanged, very
+long texts are taken whole; items of fewer than ``n`` words count as one window of
+their own length if they have at least ``min_words`` words, and are ignored otherwise;
+an empty benchmark leaves everything unchanged, an empty table gives an empty result;
+an n-gram of several items (ties) counts for each of them; repeated rows are judged row
+by row; further columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import BROADCAST_BYTES, cut, fresh, sized, text_key
+from ._cluster import BROADCAST_BYTES, attached, cut, file_key, fresh, text_key
 
 N_GRAM = 8
 MIN_WORDS = 5
 DROP_SHARE = 0.5
 _BITS = 22
+_WIDE_BITS = 29  # of the bitmap for a benchmark that is too large to broadcast: 64 MB a size of n-gram
 _GRAM_BYTES = 400  # of one n-gram with its words, on the driver and in a worker
 
 
@@ -103,44 +110,86 @@ def _cut_out(text: str, covered: np.ndarray, start: np.ndarray) -> str:
     return "".join(parts)
 
 
-def _parts(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
-    """((item, text, part), number of parts): each part's set of n-grams is small enough to broadcast."""
+def _items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """((item, text), bytes that their set of n-grams takes at most)."""
     items = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("long"), F.lit(-1)).alias("item"), F.col(text).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    parts = max(1, -(-total * _GRAM_BYTES // BROADCAST_BYTES))
-    return items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), parts
+    words = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0))).first()[0]
+    return items, words * _GRAM_BYTES
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, make, schema) -> DataFrame:
-    """make over batches of docs, with a function that finds the hits of a run of texts.
+def _grams_of(items: DataFrame, n: int, min_words: int) -> DataFrame:
+    """(size, gram, item): the n-grams of items, words joined by a space."""
 
-    A benchmark whose set may be broadcast is met in one scan.  A larger one is taken part by part, a scan each, and
-    what the parts found, which is little, is joined to the documents.
-    """
-    spark = docs.sparkSession
-    items, parts = _parts(benchmark)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = GramSet([(item, text)], n, min_words).words
+                out += [(size, h, " ".join(g), item) for size, by_hash in grams.items() for h, of in by_hash.items() for g in of]
+            kinds = [pa.int64(), pa.uint64(), pa.string(), pa.int64()]
+            size, h, gram, of = (pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds))
+            yield pa.RecordBatch.from_arrays([size, h.view(pa.int64()), gram, of], ["size", "hash", "gram", "item"])
+
+    return items.mapInArrow(make, "size long, hash long, gram string, item long").distinct()
+
+
+def _bitmap(grams: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """(bits of the hashes of each size of n-gram, number of hash bits), at most _WIDE_BITS of them whatever there is."""
+    n = max(1, grams.count())
+    bits = min(_WIDE_BITS, max(16, int(n).bit_length() + 5))
+    found = grams.select("size", F.shiftrightunsigned("hash", 64 - bits).alias("at")).distinct()
+    # bytes of the bitmap that aren't 0, so that what comes to the driver is bounded by its size
+    rows = found.groupBy("size", (F.shiftright("at", 3)).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(at % 8 AS INT))")).alias("set")).toArrow()
+    out: dict[int, np.ndarray] = {}
+    sizes, byte, value = (rows[c].to_numpy() for c in ("size", "byte", "set"))
+    for size in np.unique(sizes):
+        own = np.zeros((1 << bits) // 8, np.uint8)
+        own[byte[sizes == size]] = value[sizes == size]
+        out[int(size)] = own
+    return out, bits
+
+
+def _windows_let_through(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps, bits = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            for at, run in T.chunks(batch.column(3).to_pylist()):
+                w, folded = T.split_words(run), {}
+                for size, own in maps.items():
+                    hashes, first = w.windows(size)
+                    place = hashes >> np.uint64(64 - bits)
+                    for i in first[(own[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0].tolist():
+                        d = int(w.doc[i])
+                        low = folded.get(d) or folded.setdefault(d, T.fold(run[d]))
+                        out.append((*keys[at + d], i - int(w.first[d]), size, " ".join(low[w.start[j] : w.end[j]] for j in range(i, i + size))))
+            kinds = [pa.int64()] * 5 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["doc_id", "th", "file", "at", "size", "gram"])
+
+    return scan
 
-    def grams(part: int):
-        return spark.sparkContext.broadcast(GramSet([tuple(r) for r in items.where(F.col("part") == part).select("item", "text").collect()], n, min_words))
 
-    if parts == 1:
-        shared = grams(0)
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, make, schema) -> DataFrame:
+    """make over batches of docs, with a function that finds the hits of a run of texts."""
+    spark = docs.sparkSession
+    items, size_of_set = _items(benchmark)
+    if size_of_set <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast(GramSet([tuple(r) for r in items.select("item", "text").collect()], n, min_words))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from make(batch, lambda at, run: shared.value.hits(run))
 
         return docs.mapInArrow(scan, schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_th"), "text")
-    found = None
-    for part in range(parts):
-        hits = rows.mapInArrow(_hits_of(grams(part)), "_id long, _th long, at long, size long, item long")
-        found = hits if found is None else found.unionByName(hits)
-    by_doc = cut(found.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "size")).alias("windows"), F.collect_set("item").alias("items")).select("_id", "_th", F.struct("windows", "items").alias("_hits")))
-    weight = by_doc.agg(F.coalesce(F.sum(F.size("_hits.windows") * 24 + F.size("_hits.items") * 8 + 64), F.lit(0))).first()[0]
-    side = sized(by_doc, 1, weight)
-    match = docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == side["_th"])
-    joined = docs.join(side, match, "left").select(*[docs[f"`{c}`"] for c in docs.columns], side["_hits"].alias(fresh(docs, "_hits")[0]))
+    grams = cut(_grams_of(items, n, min_words))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), file_key().alias("file"), "text")
+    maybe = rows.mapInArrow(_windows_let_through(spark.sparkContext.broadcast(_bitmap(grams))), "doc_id long, th long, file long, at long, size long, gram string")
+    hits = maybe.join(grams.select("size", "gram", "item"), ["size", "gram"])
+    found = F.struct(F.collect_set(F.struct("at", "size")).alias("windows"), F.collect_set("item").alias("items"))
+    side = cut(hits.groupBy("doc_id", "th", "file").agg(found.alias("value")))
+    weight = side.agg(F.coalesce(F.sum(F.size("value.windows") * 24 + F.size("value.items") * 8 + 64), F.lit(0))).first()[0]
+    joined = attached(docs, side, weight, fresh(docs, "_hits")[0])
 
     def scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,19 +209,6 @@ def _judged(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, make,
     return joined.mapInArrow(scan_joined, schema)
 
 
-def _hits_of(shared):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, out = batch.column(0), batch.column(1), []
-            for at, run in T.chunks(batch.column(2).to_pylist()):
-                for d, windows, items, _ in shared.value.hits(run):
-                    key = ids[at + d].as_py(), keys[at + d].as_py()
-                    out += [(*key, *w, i) for w in windows for i in items]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["_id", "_th", "at", "size", "item"])
-
-    return scan
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE) -> DataFrame:
     """A row for each contaminated document: its words, verified windows, words removed, action and text left.
 

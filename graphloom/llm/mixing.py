@@ -9,13 +9,17 @@ a source, and these residuals are combined by a reduction tree, FAN of them at a
 node, until one is left at the root and is drawn.  So each source's copies differ
 from its expectation by less than one, whatever the number of buckets.
 
-Without a total, the least one is taken at which no row is lost: the source that
-is most over-represented keeps one copy of each row, all others get more.  Draws
-are hashes of seed and row, so a task that runs again decides the same.
+Without weights, sources get rows to the power of TEMPERATURE.  Without a total, the
+least one is taken at which no row is lost: the source that is most over-represented
+keeps one copy of each row, all others get more.  Draws are hashes of seed and row, so
+a task that runs again decides the same.  Counts, weights and rates of sources are a
+table; it may have as many rows as there are hosts in a crawl.
 
 Defined results: null is a source of its own; a source without a weight has
-weight 0 and goes; weights of absent sources are ignored; repeated rows are rows;
-texts don't matter; an empty table gives an empty result; columns pass through.
+weight 0 and goes; weights of absent sources are ignored; rows alike in id and text
+(ties, rows repeated whole) are rows of their own, of which resample may take any;
+null, empty and very long texts don't matter; an empty table gives an empty result;
+columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import cut, fresh, sized, text_key, with_columns_of
+from ._cluster import BROADCAST_BYTES, attached, cut, file_key, fresh, sized, text_key, with_columns_of
 
 BUCKET_ROWS = 50_000
 FAN = 32
@@ -36,25 +40,23 @@ SEED = 17
 _EPS = 1e-9
 
 
-def tempered(counts: Mapping[str | None, int], temperature: float = TEMPERATURE) -> dict[str | None, float]:
-    """Weights in proportion to count ** temperature."""
-    power = {s: n**temperature for s, n in counts.items()}
-    return {s: x / sum(power.values()) for s, x in power.items()}
-
-
-def rates(counts: Mapping[str | None, int], weights: Mapping[str | None, float], total: float | None = None) -> dict[str | None, float]:
-    """Expected copies of each row by source."""
-    live = {s: weights.get(s, 0.0) for s, n in counts.items() if n > 0}
-    norm = sum(live.values())
+def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """(source, n, whole, p, rate) of each source: its rows, and their expected copies as a whole number, a fraction and together."""
+    counts = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
+    if weights is None:
+        weighed = counts.withColumn("w", F.pow("n", F.lit(temperature)))
+    else:
+        own = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _w double")
+        weighed = counts.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "n", F.coalesce("_w", F.lit(0.0)).alias("w"))
+    weighed = cut(weighed)
+    norm = weighed.agg(F.sum("w")).first()[0]
     if not norm:
-        return {s: 0.0 for s in live}
+        return weighed.select("source", "n", F.lit(0.0).alias("whole"), F.lit(0.0).alias("p"), F.lit(0.0).alias("rate"))
     if total is None:
-        total = max(counts[s] * norm / w for s, w in live.items() if w > 0)
-    out = {}
-    for s, w in live.items():
-        r = total * w / norm / counts[s]
-        out[s] = float(round(r)) if abs(r - round(r)) < _EPS else r
-    return out
+        total = weighed.where("w > 0").agg(F.max(F.col("n") * F.lit(norm) / F.col("w"))).first()[0]
+    r = F.lit(float(total)) * F.col("w") / F.lit(norm) / F.col("n")
+    rate = F.when(F.abs(r - F.round(r)) < _EPS, F.round(r)).otherwise(r)
+    return weighed.select("source", "n", F.floor(rate).cast("double").alias("whole"), (rate - F.floor(rate)).alias("p"), rate.alias("rate"))
 
 
 def pivot(probabilities: list[float], draws: list[float]) -> tuple[list[int], int, float]:
@@ -90,7 +92,7 @@ def _uniform(*what: Column) -> Column:
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
-    """One level: rows (doc_id, th, n, node, s, p, u) sorted by node and source; p of what stays open, bit of what is settled."""
+    """One level: rows (doc_id, th, file, n, node, s, p, u) sorted by node and source; p of what stays open, bit of what is settled."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -125,77 +127,72 @@ def _rounded(rows: DataFrame) -> DataFrame:
         if kept:
             yield settle(kept)
 
-    ordered = rows.repartition("node").sortWithinPartitions("node", "s", "doc_id", "th", "n")
-    return ordered.mapInArrow(make, "doc_id long, th long, n long, node long, s int, p double, u double, bit int")
+    ordered = rows.repartition("node").sortWithinPartitions("node", "s", "doc_id", "th", "file", "n")
+    return ordered.mapInArrow(make, "doc_id long, th long, file long, n long, node long, s long, p double, u double, bit int")
 
 
-def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> tuple[DataFrame, dict[str | None, float]]:
-    """((doc_id, th, s, whole, bit) for each row of docs, s numbering the sources; rates by source)."""
-    spark = docs.sparkSession
-    counts = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}  # a row a source
-    rate = rates(counts, tempered(counts) if weights is None else weights, total)
-    order = sorted(rate, key=lambda s: (s is None, s or ""))
-    table = sized(spark.createDataFrame([(s, i, float(np.floor(rate[s])), rate[s] - float(np.floor(rate[s]))) for i, s in enumerate(order)], "_source string, s int, whole double, p double"), len(order), 100)
-    buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("source").cast("string").alias("_source"))
+def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
+    """(doc_id, th, file, n, s, bit) for each row of docs, s being 64 bits of the source; rates as of source_rates."""
+    sources, rows_in_all = rates.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    table = sized(rates.select(F.col("source").alias("_source"), F.coalesce(F.xxhash64("source"), F.lit(0)).alias("s"), "p"), sources, 100)
+    buckets = max(1, -(-rows_in_all // bucket_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), file_key().alias("file"), F.col("source").cast("string").alias("_source"))
     rows = rows.join(table, rows["_source"].eqNullSafe(table["_source"]))
     # of rows that are alike in id and text, n tells one from another
-    alike = rows.groupBy("doc_id", "th", "s", "whole", "p").count()
-    units = alike.select("doc_id", "th", "s", "whole", "p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("n"))
-    units = units.withColumn("u", _uniform(F.lit(seed), "doc_id", "th", "n")).withColumn("node", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th", "n"), F.lit(buckets)))
-    whole = {i: int(np.floor(rate[s])) for i, s in enumerate(order)}
-    level = cut(_rounded(units.select("doc_id", "th", "n", "node", "s", "p", "u")))
+    alike = rows.groupBy("doc_id", "th", "file", "s", "p").count()
+    units = alike.select("doc_id", "th", "file", "s", "p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("n"))
+    own = ["doc_id", "th", "file", "n"]
+    units = units.withColumn("u", _uniform(F.lit(seed), "doc_id", "th", "file", "n")).withColumn("node", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th", "file", "n"), F.lit(buckets)))
+    level = cut(_rounded(units.select(*own, "node", "s", "p", "u")))
     settled, depth = [level.where("p = 0")], 1
     open_ = level.where("p > 0")
     while buckets > 1:
         buckets = -(-buckets // fan)
-        level = cut(_rounded(open_.select("doc_id", "th", "n", F.floor(F.col("node") / fan).cast("long").alias("node"), "s", "p", _uniform(F.lit(seed + 100 + depth), "doc_id", "th", "n").alias("u"))))
+        level = cut(_rounded(open_.select(*own, F.floor(F.col("node") / fan).cast("long").alias("node"), "s", "p", _uniform(F.lit(seed + 100 + depth), *own).alias("u"))))
         settled.append(level.where("p = 0"))
         open_, depth = level.where("p > 0"), depth + 1
-    root = open_.withColumn("bit", (_uniform(F.lit(seed + 99), "doc_id", "th", "n") < F.col("p")).cast("int"))
-    parts = [*settled, root]
-    out = parts[0]
-    for x in parts[1:]:
+    root = open_.withColumn("bit", (_uniform(F.lit(seed + 99), *own) < F.col("p")).cast("int"))
+    out = root
+    for x in settled:
         out = out.unionByName(x)
-    certain = F.lit(0)
-    for i, k in whole.items():
-        certain = F.when(F.col("s") == i, F.lit(k)).otherwise(certain)
-    return out.select("doc_id", "th", "n", "s", certain.alias("whole"), "bit"), {s: rate[s] for s in order}
+    return out.select(*own, "s", "bit")
 
 
 def mixture(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """doc_id, source, rate (expected copies) and copies for each row of docs."""
-    found, rate = copies(docs, weights, total, seed, bucket_rows, fan)
-    names = sized(docs.sparkSession.createDataFrame([(i, s, r) for i, (s, r) in enumerate(rate.items())], "s int, source string, rate double"), len(rate), 100)
-    return found.join(names, "s").select("doc_id", "source", "rate", (F.col("whole") + F.col("bit")).cast("long").alias("copies"))
+    rates = cut(source_rates(docs, weights, total))
+    names = sized(rates.select(F.coalesce(F.xxhash64("source"), F.lit(0)).alias("s"), "source", "rate", "whole"), rates.count(), 100)
+    return copies(docs, rates, seed, bucket_rows, fan).join(names, "s").select("doc_id", "source", "rate", (F.col("whole") + F.col("bit")).cast("long").alias("copies"))
 
 
 def resample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
-    """docs, all columns, each row as often as it has copies."""
-    found, rate = copies(docs, weights, total, seed, bucket_rows, fan)
-    by_row = cut(found.groupBy("doc_id", "th").agg(F.sum(F.col("whole") + F.col("bit")).alias("total"), F.sum("bit").alias("bits"), F.count("*").alias("alike")))
-    plain, n_extra, n_alike = by_row.agg(F.count("*"), F.coalesce(F.sum((F.col("bits") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("alike") > 1).cast("long")), F.lit(0))).first()
-    if not plain:
+    """docs, all columns, each row as often as it has copies; rows are copied where they lie."""
+    rates = cut(source_rates(docs, weights, total))
+    sources = rates.count()
+    if not sources:
         return docs
-    whole = F.lit(0)
-    for s, r in rate.items():
-        whole = F.when(docs["source"].cast("string").eqNullSafe(F.lit(s)), F.lit(int(np.floor(r)))).otherwise(whole)
-    key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
-    id_, th_, bits_, total_, copies_ = fresh(docs, "_id", "_th", "_bits", "_total", "_copies")
-
-    def side(rows: DataFrame, n: int) -> tuple[DataFrame, Column]:
-        ids = sized(rows.select(F.col("doc_id").alias(id_), F.col("th").alias(th_), F.col("bits").alias(bits_), F.col("total").alias(total_)), n, 48)
-        return ids, docs["doc_id"].cast("long").eqNullSafe(ids[id_]) & (key == ids[th_])
-
-    def repeated(rows: DataFrame, n: Column) -> DataFrame:
-        times = F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-        return with_columns_of(rows.withColumn(copies_, F.explode(times)), docs)
-
-    once = docs.join(*side(by_row.where("alike > 1"), n_alike), "left_anti") if n_alike else docs
-    extra, match = side(by_row.where("bits > 0 AND alike = 1"), n_extra)
-    out = repeated(once.join(extra, match, "left"), whole + F.coalesce(F.col(bits_), F.lit(0)))
-    if n_alike:  # rows alike in id and text: any of them stands for all
-        ids, match = side(by_row.where("alike > 1"), n_alike)
-        again = docs.join(ids, match).dropDuplicates([id_, th_])
-        out = out.union(repeated(again, F.col(total_)))
-    return out
+    few = sources * 100 <= BROADCAST_BYTES
+    whole_, value_, copies_, key_ = fresh(docs, "_whole", "_value", "_copies", "_s")
+    names = sized(rates.select(F.coalesce(F.xxhash64("source"), F.lit(0)).alias(key_), F.col("whole").cast("long").alias(whole_)), sources, 100)
+    rows = cut(copies(docs, rates, seed, bucket_rows, fan).join(names, F.col("s") == F.col(key_)).select("doc_id", "th", "file", "bit", (F.col("bit") + F.col(whole_)).alias("copies")))
+    by_row = cut(rows.groupBy("doc_id", "th").agg(F.count("*").alias("alike"), F.sum("bit").cast("long").alias("bit"), F.sum("copies").alias("copies"), F.min("file").alias("file")))
+    # the whole part is known where the row lies, if the table of sources may go there
+    plain = by_row.where("alike = 1 AND bit > 0" if few else "alike = 1").select("doc_id", "th", "file", F.col("bit" if few else "copies").alias("value"))
+    n_plain, n_alike = plain.count(), by_row.where("alike > 1").count()
+    side = plain
+    if n_alike:  # copies of all rows alike, as a negative number
+        again = by_row.where("alike > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (-1 - F.col("copies")).alias("value"))
+        side = side.unionByName(rows.select("doc_id", "th", "file").distinct().join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "file", "value"))
+    marked = attached(docs, side, (n_plain + n_alike) * 40, value_)
+    if few:
+        marked = marked.join(names, F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0)) == F.col(key_), "left")
+    certain = F.coalesce(F.col(whole_), F.lit(0)) if few else F.lit(0)
+
+    def repeated(some: DataFrame, n: Column) -> DataFrame:
+        times = F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+        return with_columns_of(some.withColumn(copies_, F.explode(times)), docs)
+
+    value = F.coalesce(F.col(value_), F.lit(0))
+    alone = repeated(marked.where(value >= 0), certain + value)
+    # of rows alike in id and text any stands for all
+    return alone.union(repeated(marked.where(value < 0).dropDuplicates(["doc_id", "text"]), -1 - value)) if n_alike else alone

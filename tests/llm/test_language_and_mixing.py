@@ -83,3 +83,63 @@ def test_default_loses_no_row_and_awkward_rows(spark):
 def test_a_source_without_weight_goes(spark):
     d = docs(spark, [(1, "a", "en", "x"), (2, "b", "en", "y")])
     assert [r["doc_id"] for r in mixing.resample(d, {"x": 1.0, "absent": 5.0}, 2.0).collect()] == [1, 1]
+
+
+def _brute(rows, weights, total, buckets, fan, seed=mixing.SEED):
+    """Copies by the same rule, one row at a time, with the engine's hashes (doc_id, th, file, n) -> (u of each level, bucket)."""
+    out, open_ = {}, {}
+    counts = Counter(r["source"] for r in rows)
+    norm = sum(weights.get(s, 0) for s in counts)
+    for r in rows:
+        rate = total * weights.get(r["source"], 0) / norm / counts[r["source"]]
+        r["rate"] = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
+        out[r["key"]] = int(r["rate"])
+        open_[r["key"]] = r["rate"] - int(r["rate"])
+    level = 0
+    of = {r["key"]: r for r in rows}
+    node = {k: r["node"] for k, r in of.items()}
+    while True:
+        for b, s in sorted({(node[k], of[k]["s"]) for k in open_}):
+            own = sorted(k for k in open_ if node[k] == b and of[k]["s"] == s)
+            bits, held, left = mixing.pivot([open_[k] for k in own], [of[k]["u"][level] for k in own])
+            for i, k in enumerate(own):
+                out[k] += bits[i]
+                if i == held:
+                    open_[k] = left
+                else:
+                    del open_[k]
+        if buckets == 1:
+            break
+        buckets, level = -(-buckets // fan), level + 1
+        node = {k: node[k] // fan for k in open_}
+    for k, p in open_.items():
+        out[k] += of[k]["last"] < p
+    return out
+
+
+def test_mixing_against_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = docs(spark, [(i, f"t {i}", "en", "abc"[(i > 60) + (i > 90)]) for i in range(100)])
+    weights, total, buckets, fan, seed = {"a": 0.2, "b": 0.3, "c": 0.5}, 77.0, 10, 3, mixing.SEED
+    own = [F.col("doc_id"), F.xxhash64("text"), F.lit(0).cast("long"), F.lit(1).cast("long")]
+    u = [mixing._uniform(F.lit(seed), *own), *(mixing._uniform(F.lit(seed + 100 + k), *own) for k in (1, 2, 3))]
+    rows = d.select("doc_id", "source", F.xxhash64("source").alias("s"), F.xxhash64("text").alias("th"), F.array(*u).alias("u"), mixing._uniform(F.lit(seed + 99), *own).alias("last"), F.pmod(F.xxhash64(F.lit(seed + 1), *own), F.lit(buckets)).alias("node"))
+    table = [{**r.asDict(), "key": (r["doc_id"], r["th"])} for r in rows.collect()]
+    want = {k[0]: n for k, n in _brute(table, weights, total, buckets, fan).items()}
+    assert {r["doc_id"]: r["copies"] for r in mixing.mixture(d, weights, total, bucket_rows=10, fan=3).collect()} == want
+    assert Counter(r["doc_id"] for r in mixing.resample(d, weights, total, bucket_rows=10, fan=3).collect()) == Counter(want)
+
+
+def test_resample_in_place_and_with_many_sources(spark, table, tmp_path, monkeypatch):
+    from graphloom.llm import _cluster
+
+    table.unionByName(table.limit(4)).repartition(3).write.parquet(str(tmp_path / "docs"))
+    d = spark.read.parquet(str(tmp_path / "docs"))
+    usual = Counter(r["doc_id"] for r in mixing.resample(d, total=2500.0).collect())
+    assert sum(usual.values()) in range(2490, 2511)
+    for module, bound in ((_cluster, 1), (mixing, 1)):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", bound)
+        assert Counter(r["doc_id"] for r in mixing.resample(d, total=2500.0).collect()) == usual
+    table.write.parquet(str(tmp_path / "once"))
+    assert "Exchange" not in mixing.resample(spark.read.parquet(str(tmp_path / "once")), total=2500.0)._jdf.queryExecution().executedPlan().toString()

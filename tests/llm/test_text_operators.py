@@ -70,6 +70,8 @@ def test_benchmark_beyond_the_broadcast_bound(spark, benchmark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 1000)
     assert sorted(map(tuple, decontamination.contamination(d, benchmark).collect()), key=str) == want
     assert sorted((r["doc_id"], r["text"]) for r in decontamination.decontaminate(d, benchmark).collect()) == left
+    monkeypatch.setattr(decontamination, "_WIDE_BITS", 4)  # nearly every window is let through, and then fails
+    assert sorted(map(tuple, decontamination.contamination(d, benchmark).collect()), key=str) == want
 
 
 # ---- secrets
