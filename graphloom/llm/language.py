@@ -7,14 +7,17 @@ one machines, one for each pair of its languages, vote, and the sum of their
 margins settles a tie.  A gate before them rejects texts of no known language:
 those without letters and those whose 3-grams were mostly never seen in training.
 
-Machines are fitted on a bounded sample of labelled rows: at most PER_LANGUAGE a
-language, drawn by a hash of doc_id; features are counted on the executors.
-Each sampled text also gives short pieces, so that short texts are in domain.
-
-Defined results: null, empty and letterless texts are "und" and not accepted;
-equal texts get equal results; without any labelled row every text is "und";
-with one language every text of known 3-grams is that language.  Rows keep their
-columns; a null ``lang`` is filled in by ``accept_known``.
+Machines are fitted on a bounded sample of labelled rows: at most PER_LANGUAGE of each
+of the MOST_LANGUAGES labels with the most rows, drawn by a hash of doc_id; features are
+counted on the executors.  Each sampled text also gives short pieces, so that short texts
+are in domain.  Every row of the table is judged, whole.
+
+Defined results: null, empty and letterless texts are "und" and not accepted; equal
+texts and repeated rows get equal results, very long ones are read whole; of languages
+with equal votes and margins the first by name is taken; without any labelled row every
+text is "und", an empty table gives an empty result; with one language every text of
+known 3-grams is that language.  Rows keep their columns, whatever they are called; a
+null ``lang`` is filled in by ``accept_known``.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from . import _text as T
 
 #: Bound of the labelled sample, rows a language.
 PER_LANGUAGE = 250
+#: Bound of the languages that machines are fitted for.
+MOST_LANGUAGES = 128
 PIECES, PIECE_CHARS = 3, 60
-BITS = 12
+BITS = 14
 SEEN_BITS = 20
 LEAST_SEEN = 0.5
 UNKNOWN = "und"
@@ -177,14 +182,10 @@ def _seen_of(texts: list[str]) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """(language, buckets, frequencies, hashes of 3-grams) of sampled texts and pieces of them."""
-    named = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
-    if not counts:
-        return []
+    named = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(per_language + 4 * per_language**0.5) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (per_language + 4 * per_language**0.5) / n))).otherwise(share)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +198,8 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
             kinds = [pa.string(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["lang", "u", "j", "ids", "freq", "seen"])
 
-    sample = named.select("lang", draw.alias("u"), "text").where(F.col("u") < share)
+    drawn = named.select("lang", draw.alias("u"), "text")
+    sample = drawn.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (F.col("u") < F.col("share"))).select("lang", "u", "text")  # at most MOST_LANGUAGES rows are broadcast
     rows = sample.mapInArrow(make, "lang string, u double, j int, ids array<int>, freq array<float>, seen array<int>").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["lang"][i].as_py(), rows["u"][i].as_py(), rows["j"][i].as_py()))
     taken: dict[str, list[float]] = {}
@@ -213,19 +215,42 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 80, c: float = 20.0) -> tuple[np.ndarray, float]:
+@dataclass
+class Rows:
+    """A sparse matrix by rows: row i has values[first[i]:first[i + 1]] in the columns ids[first[i]:first[i + 1]]."""
+
+    ids: np.ndarray
+    values: np.ndarray
+    first: np.ndarray
+    width: int
+
+    def of(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.first)[rows]
+        first = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(first[-1]) + np.repeat(self.first[:-1][rows] - first[:-1], size)
+        return Rows(self.ids[at], self.values[at], first, self.width)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.append(self.values * w[self.ids], 0), self.first[:-1]) * (np.diff(self.first) > 0)
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ids, self.values * np.repeat(g, np.diff(self.first)), self.width)
+
+
+def _svm(x: Rows, y: np.ndarray, rounds: int = 80, c: float = 20.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine for y = +-1, classes weighted alike, by accelerated gradient descent."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    w, b = np.zeros(x.width), 0.0
     vw, vb, t = w.copy(), b, 1.0
-    lip = 1.0 + 2 * c * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum())
+    squares = Rows(x.ids, x.values**2, x.first, x.width).times(np.ones(x.width))
+    lip = 1.0 + 2 * c * float((weight * (squares + 1)).sum())
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ vw + np.float32(vb))).astype(np.float32)
-        g = (-2 * c * weight * y * slack).astype(np.float32)
-        new_w, new_b = vw - (vw + x.T @ g) / np.float32(lip), vb - float(g.sum()) / lip
+        slack = np.maximum(0, 1 - y * (x.times(vw) + vb))
+        g = -2 * c * weight * y * slack
+        new_w, new_b = vw - (vw + x.transposed_times(g)) / lip, vb - float(g.sum()) / lip
         new_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
         k = (t - 1) / new_t
-        vw, vb = new_w + np.float32(k) * (new_w - w), new_b + k * (new_b - b)
+        vw, vb = new_w + k * (new_w - w), new_b + k * (new_b - b)
         w, b, t = new_w, new_b, new_t
     return w, b
 
@@ -239,32 +264,32 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     family_of = np.array([families.index(f) for f in family_name], np.int64)
     seen = np.zeros(1 << SEEN_BITS, bool)
     width = 3 << BITS
-    used = np.unique(np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)]))  # buckets that occur; the others' weights are 0
-    x = np.zeros((len(rows), len(used)), np.float32)
+    ids = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)])
+    used = np.unique(ids)  # buckets that occur; the others' weights are 0
+    x = Rows(np.searchsorted(used, ids), np.concatenate([r[2] for r in rows] or [np.zeros(0)]).astype(np.float64), np.concatenate(([0], np.cumsum([len(r[1]) for r in rows]))).astype(np.int64), len(used))
     label = np.array([languages.index(r[0]) for r in rows], np.int64)
-    for i, (_, ids, freq, grams) in enumerate(rows):
-        x[i, np.searchsorted(used, ids)] = freq
-        seen[grams] = True
-    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5).astype(np.float32) if len(rows) else np.ones(len(used), np.float32)
-    x *= scale
+    for r in rows:
+        seen[r[3]] = True
+    scale = 1 / np.sqrt(x.transposed_times(np.ones(len(rows))) / len(rows) + 1e-5) if len(rows) else np.ones(len(used))
+    x.values *= scale[x.ids]
     pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of[a] == family_of[b]]
     columns, bias = [], []
     done: dict[bytes, tuple[np.ndarray, float]] = {}
     for f in range(len(families)):
         inside = family_of[label] == f
         if inside.all():
-            w, b = np.zeros(len(used), np.float32), 1.0
+            w, b = np.zeros(len(used)), 1.0
         else:
             key, other = inside.tobytes(), (~inside).tobytes()
             if other in done:
                 w, b = -done[other][0], -done[other][1]
             else:
-                w, b = done[key] = _svm(x, np.where(inside, 1, -1).astype(np.float32))
+                w, b = done[key] = _svm(x, np.where(inside, 1.0, -1.0))
         columns.append(w * scale)
         bias.append(b)
     for a, b in pairs:
         rows_of = np.flatnonzero((label == a) | (label == b))
-        w, c = _svm(x[rows_of], np.where(label[rows_of] == a, 1, -1).astype(np.float32))
+        w, c = _svm(x.of(rows_of), np.where(label[rows_of] == a, 1.0, -1.0))
         columns.append(w * scale)
         bias.append(c)
     weights = np.zeros((width, len(columns)), np.float32)

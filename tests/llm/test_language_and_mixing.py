@@ -1,9 +1,11 @@
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from graphloom.llm import language, mixing
+from graphloom.llm import _text, language, mixing
 
 from .helpers import docs, words
 
@@ -35,6 +37,64 @@ def test_rejects_and_awkward_rows(spark, table):
     assert language.identify(d.limit(0), model).count() == 0
 
 
+def _mixed(h):
+    h ^= h >> 15
+    h = h * 0x2C1B3C6D & 0xFFFFFFFF
+    return h ^ h >> 13
+
+
+def _brute_language(text, model):
+    """The same decision, a character and a machine at a time."""
+    low = _text.fold(text)
+    kept, gap = [], False
+    for c in low + "\n":
+        if c.isalpha():
+            kept.append(ord(c))
+            gap = True
+        elif gap:
+            kept.append(32)
+            gap = False
+    score, seen, total = list(model.bias), 0, 0
+    h1 = [(c + 0x9E37) * 0x85EBCA6B & 0xFFFFFFFF for c in kept]
+    rows = {1: h1}
+    for n in (2, 3):
+        rows[n] = [(rows[n - 1][i] * 0x01000193 & 0xFFFFFFFF) ^ ((kept[i + n - 1] + n) * 0xC2B2AE35 & 0xFFFFFFFF) for i in range(len(kept) - n + 1)]
+    for n, hashes in rows.items():
+        for h in map(_mixed, hashes):
+            for j, w in enumerate(model.weights[(h >> 32 - language.BITS) + ((n - 1) << language.BITS)].tolist()):
+                score[j] += w / len(hashes)
+            if n == 3:
+                seen, total = seen + bool(model.seen[h >> 32 - language.SEEN_BITS]), total + 1
+    if not any(c.isalpha() for c in low) or (total and seen / total < language.LEAST_SEEN):
+        return "und"
+    family = max(range(len(model.families)), key=lambda f: score[f])
+    votes = {i: 0.0 for i, f in enumerate(model.family_of) if f == family}
+    for j, (a, b) in enumerate(model.pairs):
+        m = score[len(model.families) + j]
+        if a in votes:
+            votes[a] += (m > 0) + 1e-3 * math.tanh(m)
+            votes[b] += (m <= 0) - 1e-3 * math.tanh(m)
+    return model.languages[max(votes, key=lambda i: (votes[i], -i))]
+
+
+def test_decisions_against_brute_force(spark, table):
+    model = language.train(table, 40)
+    rows = [r["text"] for r in table.orderBy("n_chars").limit(150).collect()] + ["Zwölf Boxkämpfer, 12!", "a", "?", "", "Ünïcödé tèxt ... 3", "это русский"]
+    got = model.classify(rows)[0]
+    assert got == [_brute_language(t, model) for t in rows]
+
+
+def test_rows_of_a_sparse_matrix():
+    rng = np.random.default_rng(1)
+    dense = rng.random((9, 7)) * (rng.random((9, 7)) < 0.4)
+    dense[[2, 8]] = 0
+    of, ids = np.nonzero(dense)
+    x = language.Rows(ids, dense[of, ids], np.searchsorted(of, np.arange(10)), 7)
+    w, g, some = rng.random(7), rng.random(9), np.array([8, 0, 2, 5])
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.transposed_times(g), dense.T @ g)
+    assert np.allclose(x.of(some).times(w), dense[some] @ w)
+
+
 def test_models_of_no_and_one_language(spark, table):
     assert not any(r["accepted"] for r in language.identify(table.limit(3), language.train(table.limit(0))).collect())
     only = language.train(table.where("lang = 'en'"), 20)
