@@ -3,16 +3,24 @@
 A record's fingerprint is a hash of its nested field paths ("messages[].role").
 Layouts are declared as the paths they need and where their turns are; the paths
 behind a fingerprint choose the layout once, and every record of that fingerprint
-is converted by it to canonical turns: conversation, turn, role, content.  Tables
-with a row a turn are recognised by the paths of their schema and stay in the JVM.
+is converted by it to canonical turns: conversation, turn, role, content.  A record
+may be a whole conversation or a part of one with a position.  Tables with a row a turn
+are recognised by the paths of their schema and stay in the JVM.
+
+Turns are numbered by a window over their conversation.  Conversations of more than
+HOT_ROWS turns are sorted by range instead and numbered with the offsets of their
+partitions, so that none is gathered in one task.
 
 Defined results: turns are numbered from 0 without gaps in the order of the
-record (for turn rows: by turn, nulls last, then content and role); null and
-blank contents are no turns; roles are mapped to system, user, assistant and
-tool, unknown ones are lower-cased, a null role is user; rows with a null
-conversation form one conversation; repeated rows are repeated turns; records that
-are null, malformed or of no declared layout give one row without turn, whose
-layout says which.  Further fields may be present: the most specific layout wins.
+record (of parts: by position, then content and role; for turn rows: by turn, nulls
+last, then content and role); null and blank contents (nothing but white space) are
+no turns; roles are mapped to system, user, assistant and tool, unknown ones are
+lower-cased, a null or blank role is user; each row or record with a null conversation
+is a conversation of its own; ties and repeated rows are repeated turns; very long
+contents are kept whole; records that are null, empty, malformed or of no declared
+layout give one row without turn, whose layout says which; an empty table gives an
+empty result.  Further fields and columns may be present, whatever they are called:
+the most specific layout wins.
 """
 
 from __future__ import annotations
@@ -27,9 +35,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ._cluster import cut, sized
+
 ROLES = {"human": "user", "prompter": "user", "customer": "user", "question": "user", "instruction": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatgpt": "assistant", "agent": "assistant", "answer": "assistant", "developer": "system", "function": "tool", "ipython": "tool", "observation": "tool"}
 
 
+#: White space, the same here and in the JVM.
+BLANK = " \t\n\r\x0b\x0c\u00a0\u2028\u2029\u3000"
+HOT_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where a layout's turns are: in a list of messages, or in fields of given roles (paths with dots)."""
@@ -98,11 +113,11 @@ def _content(value) -> str | None:
         value = "".join(p for p in parts if isinstance(p, str))
     elif value is not None and not isinstance(value, str):
         value = json.dumps(value, ensure_ascii=False)
-    return value if value and value.strip() else None
+    return value if value and value.strip(BLANK) else None
 
 
 def role_of(role) -> str:
-    name = str(role).strip().lower() if role is not None else "user"
+    name = str(role).strip(BLANK).lower() if role is not None else "user"
     return ROLES.get(name, name or "user")
 
 
@@ -135,20 +150,66 @@ def convert(text: str | None, cache: dict[str, Layout | None], layouts: tuple[La
     return (key, cache[key].name, turns_of(record, cache[key])) if cache[key] else (key, "unknown", [])
 
 
-def format_records(df: DataFrame, record: str, conversation: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Canonical turns of JSON records: conversation, turn, role, content, layout, fingerprint."""
+def numbered(rows: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with turn: their number from 0 in their conversation by `order`, a null conversation's 0."""
+    order_by = [F.col(c).asc_nulls_last() for c in order]
+    number = (F.row_number().over(Window.partitionBy("conversation").orderBy(*order_by)) - 1).cast("long")
+    alone = rows.where("conversation IS NULL").withColumn("turn", F.lit(0).cast("long"))
+    known = rows.where("conversation IS NOT NULL")
+    hot = cut(known.groupBy("conversation").count().where(F.col("count") > hot_rows).select(F.col("conversation").alias("_hot")))
+    n = hot.count()
+    if not n:
+        return known.withColumn("turn", number).union(alone)
+    side = sized(hot, n, 200)
+    usual = known.join(side, F.col("conversation") == F.col("_hot"), "left_anti").withColumn("turn", number)
+    by = ["conversation", *order]
+    lots = known.join(side, F.col("conversation") == F.col("_hot"), "left_semi")
+    # a checkpoint keeps the partitions and their order
+    placed = cut(lots.repartitionByRange(max(2, lots.sparkSession.sparkContext.defaultParallelism), *[F.col(c).asc_nulls_last() for c in by]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in by])).withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy("_part", "conversation").agg(F.count("*").alias("n")).collect()  # as many rows as hot conversations and partitions
+    offset, total = {}, {}
+    for part, c, k in sorted(counts, key=lambda r: (r[1], r[0])):
+        offset[part, c] = total.get(c, 0)
+        total[c] = total.get(c, 0) + k
+    shared = rows.sparkSession.sparkContext.broadcast(offset)
+    schema = S.StructType([*rows.schema, S.StructField("turn", S.LongType())])
+    names, last = rows.columns, len(rows.columns)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[str, int] = {}
+        for batch in batches:
+            turns = []
+            for c, part in zip(batch.column("conversation").to_pylist(), batch.column(last).to_pylist()):
+                if c not in at:
+                    at[c] = shared.value[part, c]
+                turns.append(at[c])
+                at[c] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(turns, pa.int64())], [*names, "turn"])
+
+    return usual.union(placed.mapInArrow(make, schema)).union(alone)
+
+
+def format_records(df: DataFrame, record: str, conversation: str, layouts: tuple[Layout, ...] = LAYOUTS, position: str | None = None) -> DataFrame:
+    """Canonical turns of JSON records: conversation, turn, role, content, layout, fingerprint.
+
+    With a position, records are parts of a conversation, which is numbered throughout; parts without turns give no row then.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, Layout | None] = {}
         for batch in batches:
             rows = []
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for c, p, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 key, name, turns = convert(text, cache, layouts)
-                rows += [(c, i, r, t, name, key) for i, (r, t) in enumerate(turns)] or [(c, None, None, None, name, key)]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["conversation", "turn", "role", "content", "layout", "fingerprint"])
+                rows += [(c, i, r, t, name, key, p) for i, (r, t) in enumerate(turns)] or [(c, None, None, None, name, key, p)]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["conversation", "at", "role", "content", "layout", "fingerprint", "position"])
 
-    return df.select(F.col(conversation).cast("string").alias("c"), F.col(record).cast("string").alias("r")).mapInArrow(make, "conversation string, turn long, role string, content string, layout string, fingerprint string")
+    rows = df.select(F.col(conversation).cast("string").alias("c"), (F.col(position) if position else F.lit(None)).cast("long").alias("p"), F.col(record).cast("string").alias("r"))
+    turns = rows.mapInArrow(make, "conversation string, at long, role string, content string, layout string, fingerprint string, position long")
+    if not position:
+        return turns.select("conversation", F.col("at").alias("turn"), "role", "content", "layout", "fingerprint")
+    return numbered(turns.where("at IS NOT NULL"), ["position", "at", "content", "role"]).select("conversation", "turn", "role", "content", "layout", "fingerprint")
 
 
 def schema_paths(kind: S.DataType, at: str = "") -> set[str]:
@@ -169,23 +230,45 @@ def format_table(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFr
     columns = {k: next((n for n in names if n in found), None) for k, names in TURN_ROWS.items()}
     key = fingerprint(found)
     if all(columns.values()):
-        role = F.lower(F.trim(F.col(columns["role"]).cast("string")))
+        role = F.lower(F.trim(F.col(f"`{columns['role']}`").cast("string"), F.lit(BLANK)))
         known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
         role = F.when(role.isNull() | (role == ""), "user").otherwise(F.coalesce(known[role], role))
-        content = F.col(columns["content"]).cast("string")
-        rows = df.select(F.col(columns["conversation"]).cast("string").alias("conversation"), F.col(columns["turn"]).cast("long").alias("at"), role.alias("role"), content.alias("content")).where(F.trim("content") != "")
-        number = F.row_number().over(Window.partitionBy("conversation").orderBy(F.col("at").asc_nulls_last(), "content", "role")) - 1
-        return rows.select("conversation", number.cast("long").alias("turn"), "role", "content", F.lit("turn_rows").alias("layout"), F.lit(key).alias("fingerprint"))
+        own = df.select(F.col(f"`{columns['conversation']}`").cast("string").alias("conversation"), F.col(f"`{columns['turn']}`").cast("long").alias("at"), role.alias("role"), F.col(f"`{columns['content']}`").cast("string").alias("content"))
+        rows = numbered(own.where(F.trim(F.col("content"), F.lit(BLANK)) != ""), ["at", "content", "role"])
+        return rows.select("conversation", "turn", "role", "content", F.lit("turn_rows").alias("layout"), F.lit(key).alias("fingerprint"))
     name = next((n for n in ("id", *TURN_ROWS["conversation"]) if n in df.columns), None)
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]))
     return format_records(df.select((F.col(name) if name else F.xxhash64(record)).cast("string").alias("c"), record.alias("r")), "r", "c", layouts)
 
 
-_known = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ROLES.items())
-CHAT_SQL = f"""
-WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conversation, turn AS pos, text AS content, lower(trim(role, ' ')) AS r FROM conversations WHERE trim(text, ' ') <> ''),
-     n AS (SELECT conversation, pos, content, CASE WHEN r IS NULL OR r = '' THEN 'user' ELSE coalesce(CASE r {_known} END, r) END AS role FROM t)
-SELECT conversation, CAST(row_number() OVER (PARTITION BY conversation ORDER BY pos NULLS LAST, content, role) - 1 AS BIGINT) AS turn, role, content,
-       'turn_rows' AS layout, '{fingerprint({"conv_id", "turn", "role", "text"})}' AS fingerprint
-FROM n
+def as_records(turns: DataFrame) -> DataFrame:
+    """(conversation, position, record) of a turn table (conv_id, turn, role, text): each turn as JSON in one of several layouts.
+
+    What a corpus of many origins looks like: six layouts in turn, of messages, of named speakers, of prompts and of instructions.
+    """
+    role, text = F.col("role"), F.col("text")
+    one = lambda who, what: F.array(F.struct(role.alias(who), text.alias(what)))
+    user, reply, system = (F.when(F.coalesce(role, F.lit("user")) == r, text) for r in ("user", "assistant", "system"))
+    of_pairs = F.coalesce(role, F.lit("user")).isin("user", "assistant", "system")
+    k = F.when(of_pairs, F.pmod(F.col("conv_id").cast("long") + F.col("turn"), F.lit(6))).otherwise(F.pmod(F.col("turn"), F.lit(4)))
+    layouts = [
+        F.struct(one("role", "content").alias("messages"), F.lit("crawl").alias("origin")),
+        F.struct(one("from", "value").alias("conversations")),
+        F.struct(F.struct(one("role", "content").alias("messages")).alias("data"), F.lit(1).alias("version")),
+        F.struct(one("speaker", "text").alias("dialog")),
+        F.struct(system.alias("system"), user.alias("prompt"), reply.alias("completion")),
+        F.struct(system.alias("system"), user.alias("instruction"), F.lit("").alias("input"), reply.alias("output")),
+    ]
+    write = [F.to_json(x, {"ignoreNullFields": "false"}) for x in layouts]
+    record = write[0]
+    for i, x in enumerate(write[1:], 1):
+        record = F.when(k == i, x).otherwise(record)
+    return turns.select(F.col("conv_id").cast("string").alias("conversation"), F.col("turn").cast("long").alias("position"), record.alias("record"))
+
+
+CHAT_SQL = """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conversation, turn, text AS content, coalesce(role, 'user') AS role,
+                  CASE (conv_id + turn) % 6 WHEN 0 THEN 'messages' WHEN 1 THEN 'from_value' WHEN 2 THEN 'nested_messages' WHEN 3 THEN 'speaker_text' WHEN 4 THEN 'prompt_completion' ELSE 'instruction_input_output' END AS layout
+           FROM conversations WHERE regexp_matches(text, '\\S'))
+SELECT conversation, CAST(row_number() OVER (PARTITION BY conversation ORDER BY turn, content, role) - 1 AS BIGINT) AS turn, role, content, layout FROM t
 """

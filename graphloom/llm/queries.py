@@ -31,7 +31,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_table(_table(spark, sf_dir, "conversations"))
+    """Every turn, written as a record of one of six layouts, and back to canonical turns by the records' fingerprints."""
+    records = chat.as_records(_table(spark, sf_dir, "conversations"))
+    return chat.format_records(records, "record", "conversation", position="position").drop("fingerprint")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

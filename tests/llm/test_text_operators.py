@@ -3,6 +3,7 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import _text, chat, decontamination, licenses, pii, secrets, tokens
 
@@ -115,17 +116,34 @@ def test_chat_layouts(spark):
 
 
 def test_chat_turn_rows(spark):
-    rows = [(1, 2, "Human", "b"), (1, 1, None, "a"), (1, None, "bot", "z"), (1, 3, "user", None), (1, 4, "user", "  "), (None, 1, "x", "n"), (2, 1, "user", "same"), (2, 1, "user", "same"), (3, 1, "system", words(30_000))]
+    rows = [(1, 2, "Human", "b"), (1, 1, None, "a"), (1, None, "bot", "z"), (1, 3, "user", None), (1, 4, "user", "  "), (1, 5, "user", "\n\t\u00a0"), (None, 1, "x", "n"), (None, 2, "x", "n"), (2, 1, "user", "same"), (2, 1, "user", "same"), (3, 1, "system", words(30_000))]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.format_table(d).collect()
     of = lambda c: [(r["turn"], r["role"], r["content"][:9]) for r in sorted((r for r in got if r["conversation"] == c), key=lambda r: r["turn"])]
     assert of("1") == [(0, "user", "a"), (1, "user", "b"), (2, "assistant", "z")]
-    assert of("2") == [(0, "user", "same"), (1, "user", "same")] and of(None) == [(0, "x", "n")]
+    assert of("2") == [(0, "user", "same"), (1, "user", "same")] and of(None) == [(0, "x", "n")] * 2
+    clashing = d.selectExpr("*", "1 AS at", "2 AS content_", "'k' AS layout", "'k' AS fingerprint", "3 AS _hot", "'c' AS conversation", "0 AS position")
+    assert sorted(map(tuple, chat.format_table(clashing).drop("fingerprint").collect()), key=str) == sorted(map(tuple, chat.format_table(d).drop("fingerprint").collect()), key=str)
+    hot = chat.numbered(d.selectExpr("CAST(conv_id AS STRING) AS conversation", "turn AS at", "role", "text AS content"), ["at", "content", "role"], 1)
+    usual = chat.numbered(d.selectExpr("CAST(conv_id AS STRING) AS conversation", "turn AS at", "role", "text AS content"), ["at", "content", "role"])
+    assert sorted(map(tuple, hot.collect()), key=str) == sorted(map(tuple, usual.collect()), key=str)
     assert chat.format_table(d.limit(0)).count() == 0
     nested = spark.createDataFrame([("k", [("user", "q"), ("model", "a")])], "id string, messages array<struct<role:string,content:string>>")
     assert [(r["conversation"], r["role"]) for r in chat.format_table(nested).orderBy("turn").collect()] == [("k", "user"), ("k", "assistant")]
 
 
+def test_chat_parts_of_conversations(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n"), (1, 5, "user", " \n"), (1, 6, "user", None), (1, None, "user", "z"), (None, 0, "user", "x"), (2, 0, "user", words(30_000)), (2, 1, "assistant", '{"a": "\\u00e9"}')]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS record", "2 AS position", "3 AS conversation")
+    for extra in range(6):  # every turn in every layout
+        records = chat.as_records(d.withColumn("conv_id", F.col("conv_id") * 6 + extra))
+        got = chat.format_records(records, "record", "conversation", position="position").collect()
+        of = lambda c: [(r["turn"], r["role"], r["content"]) for r in sorted((r for r in got if r["conversation"] == c), key=lambda r: r["turn"])]
+        assert of(str(6 + extra)) == [(0, "system", "s"), (1, "user", "q"), (2, "assistant", "a"), (3, "assistant", "a"), (4, "tool", "t"), (5, "user", "n"), (6, "user", "z")]
+        assert of(None) == [(0, "user", "x")] and of(str(12 + extra)) == [(0, "user", rows[-2][3]), (1, "assistant", rows[-1][3])]
+    assert chat.format_records(chat.as_records(d.limit(0)), "record", "conversation", position="position").count() == 0
+
+
 # ---- PII
 KEY = b"of the tests"
 
