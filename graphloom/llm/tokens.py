@@ -2,15 +2,19 @@
 
 Texts are tokenised by a byte-level BPE whose vocabulary file is a parameter; its
 bytes are broadcast, so that executors need no such file.  The table is written by
-Spark's own committed writer, sorted by (source, doc_id) within files, with token
-ids in a dictionary or delta encoding, bounded row groups and small pages with
-column and offset indexes: a reader of one source or a range of ids skips row
-groups and pages, and a reader of metadata never touches tokens.
+Spark's own committed writer, with token ids in a dictionary or delta encoding,
+bounded row groups and small pages with column and offset indexes.  Rows are laid out by
+ranges of (source, doc_id) over the files and sorted within each, so a reader of one
+source or a range of ids opens few files and skips row groups and pages in them, and a
+reader of metadata never touches tokens.  The ranges cost one shuffle of the texts; with
+layout="files" rows stay in the files' order instead and are only sorted within each.
 
 Defined results: a null text has null tokens and n_tokens 0, the empty text an
-empty list; strings of special tokens in a text are ordinary text, so that
-decoding gives back every text exactly; repeated rows are rows; further columns
-are kept as metadata (a column named tokens or n_tokens gives way).
+empty list, very long texts are tokenised whole; strings of special tokens in a text are
+ordinary text, so that decoding gives back every text exactly; null sources and ids come
+first, of ties and repeated rows, which are rows, the earlier in the input; an empty table
+gives an empty table; further columns are kept as metadata, and a new column whose name is
+taken has underscores before it.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ._cluster import new_path
+from ._cluster import fresh, new_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokeniser of the public 50k byte-level vocabulary.
@@ -49,10 +53,11 @@ def encoding(vocabulary: bytes):
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """docs without text, with n_tokens and tokens."""
+    count_, tokens_ = fresh(docs, "n_tokens", "tokens")
     with open(tokenizer, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    meta = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens")]
-    schema = S.StructType([*(docs.schema[c] for c in meta), S.StructField("n_tokens", S.IntegerType()), S.StructField("tokens", S.ArrayType(S.IntegerType(), False))])
+    meta = [c for c in docs.columns if c != "text"]
+    schema = S.StructType([*(docs.schema[c] for c in meta), S.StructField(count_, S.IntegerType()), S.StructField(tokens_, S.ArrayType(S.IntegerType(), False))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(shared.value)
@@ -68,17 +73,28 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 item = pa.field("element", pa.int32(), False)
                 validity = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()) if null.any() else None
                 lists = pa.Array.from_buffers(pa.list_(item), len(ids), [validity, pa.py_buffer(offsets.tobytes())], children=[flat])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count), lists], [*meta, "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count), lists], [*meta, count_, tokens_])
 
     return docs.select(*[f"`{c}`" for c in meta], "text").mapInArrow(make, schema)
 
 
+def laid_out(docs: DataFrame, layout: str = "range") -> DataFrame:
+    """docs in ranges of (source, doc_id) over the partitions and in order within each, or only the latter."""
+    if layout not in ("range", "files"):
+        raise ValueError(f"layout is range or files, not {layout}")
+    (row,) = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())  # splits and orders ties
+    keys = [F.col(c) for c in ("source", "doc_id") if c in docs.columns] + [F.col(row)]
+    placed = numbered.repartitionByRange(*keys) if layout == "range" else numbered
+    return placed.sortWithinPartitions(*keys).drop(row)
+
+
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> str:
-    """Write a token table; encoding of the ids is "dictionary" or "delta"."""
+    """Write a token table as it lies; encoding of the ids is "dictionary" or "delta"."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
-    keys = [c for c in ("source", "doc_id") if c in tokens.columns]
-    writer = (tokens.sortWithinPartitions(*keys) if keys else tokens).write
+    writer = tokens.write
+    lists = [f.name for f in tokens.schema if isinstance(f.dataType, S.ArrayType) and f.name.strip("_") == "tokens"]
     options = {
         "compression": "zstd",
         "parquet.block.size": row_group_bytes,
@@ -90,17 +106,17 @@ def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", row
         "parquet.columnindex.truncate.length": 64,
     }
     if encoding == "delta":
-        options["parquet.enable.dictionary#tokens.list.element"] = "false"
+        options |= {f"parquet.enable.dictionary#{name}.list.element": "false" for name in lists}
     for k, v in options.items():
         writer = writer.option(k, str(v))
     writer.parquet(path)
     return path
 
 
-def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = None, encoding: str = "dictionary") -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = None, encoding: str = "dictionary", layout: str = "range") -> DataFrame:
     """Tokenise docs, write the table to path (of its own in the shared folder unless given), and read it."""
     spark = docs.sparkSession
-    return spark.read.parquet(write_tokens(tokenize(docs, tokenizer), path or new_path(spark, "tokens"), encoding))
+    return spark.read.parquet(write_tokens(tokenize(laid_out(docs, layout), tokenizer), path or new_path(spark, "tokens"), encoding))
 
 
 def read_tokens(spark: SparkSession, path: str, source: str | None = None, ids: tuple[int, int] | None = None, columns: list[str] | None = None) -> DataFrame:
