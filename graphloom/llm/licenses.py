@@ -1,9 +1,9 @@
 """License scan by a positional rare-token index.
 
-Templates (notices, standard headers, titles and opening texts of the common
-licenses) are indexed by word position.  Each template's
-rarest words, by inverse document frequency over the templates, are its entry
-points.  A file's occurrences of such words are looked up; each posting votes for
+Templates (whole texts of the short licenses; notices, standard headers, titles and opening
+texts of the long ones) are indexed by word position.  Each template's rarest words, by
+inverse document frequency over the templates, are its entry points, more of them the
+longer it is.  A file's occurrences of such words are looked up; each posting votes for
 a template at a relative position, file position minus template position, and a
 template with enough votes at one position (within SLACK words) is compared word
 for word there and must contain its mandatory key phrases.  A BSD text is named by the
@@ -11,10 +11,11 @@ clauses that follow its conditions (BSD where there is the opening sentence alon
 The identifiers of an SPDX-License-Identifier line are found by pattern, a row each,
 named as the templates are, without -only and -or-later; exceptions are no licenses.
 
-Defined results: null, empty and other texts without a notice have no rows; a
-notice that occurs twice is found twice; where notices overlap the one with more
-matched words is reported (the first by name of equals); repeated rows report
-alike; other columns are not read.
+Defined results: null, empty and other texts without a notice have no rows, an empty
+table gives an empty result; very long texts are read whole; a notice that occurs twice is
+found twice; where notices overlap the one with more matched words is reported (of ties
+the first by name); repeated rows report alike; other columns are not read, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -33,11 +34,27 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-RARE_WORDS = 3
+RARE_WORDS = 3  # of a notice; a longer template has one more for each twenty words
 SLACK = 2
 LEAST_MATCH = 0.8
 
 _GNU = (("GPL", "General Public License", "3.0"), ("GPL", "General Public License", "2.0"), ("LGPL", "Lesser General Public License", "3.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Library General Public License", "2.0"), ("AGPL", "Affero General Public License", "3.0"))
+_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+#: Whole texts, without title and copyright line.
+BODIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY, ("permission is hereby granted", "notice shall be included")),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. " + _WARRANTY, ("permission is hereby granted", "furnished to do so the software is provided")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY, ("permission to use", "appear in all copies")),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_WARRANTY, ("permission to use", "is hereby granted the software is provided")),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", ("permission is granted to anyone", "must not be misrepresented")),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.", ("permission is hereby granted", "machine executable object code")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.", ("free and unencumbered", "public domain")),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", ("verbatim or modified copies", "changing it is allowed")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("apache license", "2 0")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla public license", "2 0")),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ("eclipse public license", "2 0")),
+)
 #: (license, notice, mandatory key phrases)
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
@@ -72,6 +89,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("permission is granted to anyone", "redistribute it freely")),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ("redistribution and use", "source code must retain", "binary form must reproduce")),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered", "public domain")),
+    *BODIES,
 )
 #: Every template's key phrases hold one of these, so a text without any of them has no notice.
 ANCHORS = r"(?i)licen[cs]e|permission|redistribution|\bcc0|\bcc[^\p{L}\p{N}]+by|public[^\p{L}\p{N}]+domain|creative[^\p{L}\p{N}]+commons"
@@ -107,11 +125,11 @@ def index_of(templates: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES
     postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
     needed = []
     for t, w in enumerate(words):
-        entry = sorted(set(w), key=lambda x: (-idf[x], x))[:RARE_WORDS]
+        entry = sorted(set(w), key=lambda x: (-idf[x], x))[: RARE_WORDS + len(w) // 20]
         places = [i for i, x in enumerate(w) if x in entry]
         for i, h in zip(places, T.word_hash([w[i] for i in places]).tolist()):
             postings[h].append((t, i))
-        needed.append(max(1, min(2, len(entry))))
+        needed.append(max(1, min(2 if len(w) < 40 else 3, len(places))))
     return Index(words, [n for n, _, _ in templates], [[_words(p) for p in ps] for _, _, ps in templates], np.sort(np.fromiter(postings, np.uint64, len(postings))), dict(postings), needed)
 
 
@@ -144,7 +162,7 @@ def matches(words: list[str], hits: list[tuple[int, int]], index: Index) -> list
             continue
         template = index.words[t]
         lo = max(0, shift - SLACK)
-        part = words[lo : max(0, shift) + len(template) + SLACK]
+        part = words[lo : max(0, shift) + len(template) + SLACK + len(template) // 10]
         matched, first, last = _best(template, part)
         score = matched / len(template)
         if score >= LEAST_MATCH and all(_holds(part[first:last], p) for p in index.phrases[t]):

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from graphloom.llm import licenses
@@ -30,3 +32,45 @@ def test_licenses_as_they_occur(spark):
     names = [[r["license"] for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: (r["start"], r["end"]))] for i in range(len(CASES))]
     assert [(t, n, want) for (t, want), n in zip(CASES, names) if n != want] == []
     assert {("before\n" + CASES[r["doc_id"]][0] + "\nafter")[r["start"] : r["end"]] for r in got if r["doc_id"] == 18} == {"SPDX-License-Identifier: MIT"}
+
+
+def _wrapped(text, prefix):
+    import textwrap
+
+    return "\n".join(prefix + line for line in textwrap.wrap(text.replace("AS IS", '"AS IS"').replace("(the Software)", '(the "Software")'), 68))
+
+
+def test_whole_licenses_are_one_notice_each(spark):
+    rows = [(i, f"Copyright (c) 2024 Some Body\n\n{_wrapped(text, prefix)}\n\nint main;", "en", "s") for i, (_, text, _) in enumerate(licenses.BODIES) for prefix in ("", "# ", " * ")]
+    names = [name for name, _, _ in licenses.BODIES]
+    got = licenses.license_findings(docs(spark, rows, clash=True)).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == sorted((i, n) for i, n in enumerate(names) for _ in range(3))
+    assert all(r["n_words"] >= 0.9 * len(licenses._words(licenses.BODIES[r["doc_id"]][1])) for r in got)
+
+
+def _brute(text, index):
+    """Every template at every word, then the same choice among overlapping notices."""
+    words, found = licenses._words(text), []
+    for t, template in enumerate(index.words):
+        for at in range(len(words)):
+            part = words[at : at + len(template) + licenses.SLACK + len(template) // 10]
+            matched, first, last = licenses._aligned(template, part)
+            if first == 0 and matched / len(template) >= licenses.LEAST_MATCH and all(licenses._holds(part[first:last], p) for p in index.phrases[t]):
+                found.append((-matched, index.names[t], at, last))
+    taken = []
+    for m, name, at, n in sorted(found):
+        if all(at >= b + k or at + n <= b for _, b, k in taken):
+            taken.append((name, at, n))
+    return sorted((name, at) for name, at, _ in taken)
+
+
+def test_notices_against_brute_force(spark, sf_dir):
+    index = licenses.index_of()
+    table = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if re.search("licen|permission", r["text"], re.I)][:25]
+    mixed = [f"{words(7)} {licenses.TEMPLATES[i][1]} {words(9)} {licenses.TEMPLATES[-i - 1][1]}. {licenses.TEMPLATES[i][1]}" for i in range(0, 40, 5)]
+    rows = [(r["doc_id"], r["text"], "en", "s") for r in table] + [(10_000_000 + i, t, "en", "s") for i, t in enumerate(mixed)] * 2
+    got = licenses.license_findings(docs(spark, rows)).where("NOT license LIKE 'BSD%'").collect()
+    for i, text, *_ in {r[0]: r for r in rows}.values():
+        own = sorted({(r["license"], r["start_word"]) for r in got if r["doc_id"] == i})
+        assert own == [x for x in _brute(text, index) if not x[0].startswith("BSD")], text[:200]
+    assert table and len(got) > len(mixed)

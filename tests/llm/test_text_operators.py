@@ -301,7 +301,52 @@ def test_tokens_round_trip(spark, sf_dir, tmp_path, encoding):
     assert "PushedFilters: [IsNotNull(source)" in plan and "tokens:array" not in plan.split("ReadSchema")[1]
 
 
+def _brute_bpe(text, ranks):
+    """Byte pairs merged by rank, the least first, in each piece of the pre-tokeniser."""
+    import regex
+
+    out = []
+    for piece in regex.findall(tokens.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        out += [ranks[x] for x in parts]
+    return out
+
+
+def test_tokens_against_brute_force_and_range_layout(spark, sf_dir, tmp_path):
+    import base64
+
+    with open(tokens.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f.read().splitlines() if line)}
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = ["", " ", "\n\n x", "don't  STOP 12345 --- é漢🙂\u00a0 ", "<|endoftext|>"]
+    short = d.orderBy("n_chars").limit(60).union(docs(spark, [(-i, t, "en", "s") for i, t in enumerate(odd)]))
+    got = {r["doc_id"]: r["tokens"] for r in tokens.tokenize(short).collect()}
+    assert got == {r["doc_id"]: _brute_bpe(r["text"], ranks) for r in short.collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.token_table(d.union(d.where("doc_id < 3")), path=str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = []
+    for p in (tmp_path / "t").glob("*.parquet"):
+        t = pq.read_table(p, columns=["source", "doc_id"]).to_pylist()
+        keys = [(r["source"], r["doc_id"]) for r in t]
+        assert keys == sorted(keys)
+        spans += [(keys[0], keys[-1])] if keys else []
+    spans.sort()
+    assert len(spans) > 2 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "t").glob("*.parquet")) == d.count() + 3
+    by_files = tokens.token_table(d, layout="files")
+    assert sorted(map(str, by_files.collect())) == sorted(map(str, tokens.token_table(d).collect()))
+
+
 def test_tokens_empty_table_and_clashing_names(spark):
     d = docs(spark, [(1, "x", "en", "s")], clash=True)
     assert tokens.token_table(d.limit(0)).count() == 0
-    assert tokens.token_table(d).select("tokens", "n_tokens", "group_id").first()["n_tokens"] == 1
+    own = tokens.token_table(d).first()
+    assert (own["_n_tokens"], own["n_tokens"], own["tokens"]) == (1, "9", "8") and len(own["_tokens"]) == 1
