@@ -8,14 +8,16 @@ such a word is one too, whatever it is made of, and so is the body of a PEM priv
 key, as a whole.  Quoted values under 16 characters must hold more than letters, as
 a word can't be told from a password of letters.  A candidate's
 novelty is what it costs to compress once a compressor knows the code around it
-(the candidate itself taken out) and a dictionary of identifiers: the marginal
+(CONTEXT_CHARS on either side, the candidate itself taken out) and a dictionary of identifiers: the marginal
 compressed bytes over those of a random string of its alphabet and length.  Words,
 identifiers, placeholders and repeats cost little; random strings cost as much as
 others of their kind, whatever their length, and are reported.
 
-Defined results: null and empty texts have no findings; the same string is found
-at each place it occurs; repeated rows report alike; findings carry a hash and a
-mask, never the string; other columns are not read.
+Defined results: null and empty texts have no findings, an empty table gives an empty
+result; very long texts are scanned whole, only the code that primes the compressor is a
+window; the same string is found at each place it occurs, of overlapping candidates (ties)
+the one that begins first; repeated rows report alike; findings carry a hash and a mask,
+never the string; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -59,3 +59,16 @@ def test_private_keys_are_whole(end, tail):
 def test_private_keys_leave_the_jvm(spark):
     text = f"-----BEGIN EC PRIVATE KEY-----\n{BODY}\n-----END EC PRIVATE KEY-----"
     assert [r["context"] for r in secrets.secret_findings(docs(spark, [(1, text, "en", "s")])).collect()] == ["private key"]
+
+
+def test_whole_table_against_brute_force(spark, sf_dir):
+    import hashlib
+    import re
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    got = sorted((r["doc_id"], r["start"], r["length"], r["sha256"]) for r in secrets.secret_findings(d).collect())
+    assert got == sorted((i, a, n, sha) for i, t in rows for a, n, _, _, _, sha, _ in secrets.scan_text(t))  # none is lost before a text leaves the JVM
+    assigned = re.compile(r"(?i)(?:token|secret|password|api_key|key)\w*\s*[=:]\s*[\"']([0-9a-f]{32,})[\"']")
+    planted = {(i, m.start(1), hashlib.sha256(m[1].encode()).hexdigest()) for i, t in rows for m in assigned.finditer(t)}
+    assert planted and planted <= {(i, a, sha) for i, a, _, sha in got}
