@@ -65,7 +65,7 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     import hashlib
     import re
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.collect()]
     got = sorted((r["doc_id"], r["start"], r["length"], r["sha256"]) for r in secrets.secret_findings(d).collect())
     assert got == sorted((i, a, n, sha) for i, t in rows for a, n, _, _, _, sha, _ in secrets.scan_text(t))  # none is lost before a text leaves the JVM
