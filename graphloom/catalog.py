@@ -12,6 +12,7 @@ from .functions.temporal import is_valid_at, is_valid_during
 from .operators import aggregates, budget, centrality, community, filters, flow, importance, joins, paths, profile, ranking, resolve, search, similarity, timeline, traversal
 from .operators.filters import EdgeFilter, NodeFilter
 from .plans import context, cypher
+from .runtime import cut
 from .sources import exchange, tables
 from .streaming import cdc, ttl
 
@@ -19,12 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # ---- shared SQL: the same graphs, for DuckDB
-TRADE = """
-tw AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-       JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-e AS MATERIALIZED (SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(n AS DOUBLE) AS w, row_number() OVER (ORDER BY a, b) AS edge_id
-      FROM tw WHERE 10 * n * (SELECT count(*) FROM tw) >= 11 * (SELECT sum(n) FROM tw)),
-v AS MATERIALIZED (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey AS region FROM nation),
+TRAFFIC = """
+e AS MATERIALIZED (SELECT CAST(x.user_id AS BIGINT) AS a, CAST(y.user_id AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS w, CAST(x.user_id * 1000000000 + y.user_id AS BIGINT) AS edge_id
+      FROM events x JOIN events y ON y.event_id = x.event_id + 1 GROUP BY ALL),
+v AS MATERIALIZED (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, 'user-' || user_id AS name, CAST(user_id % 5 AS BIGINT) AS region FROM events),
+nv AS MATERIALIZED (SELECT count(*) AS n FROM v),
 u AS MATERIALIZED (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
 s AS MATERIALIZED (SELECT DISTINCT a, b FROM u WHERE a <> b)
 """
@@ -44,7 +44,7 @@ ke AS MATERIALIZED (
   UNION ALL SELECT o_orderkey + {5 * T12}, o_custkey + {2 * T12}, 'placed_by', 1.0, epoch_ms(o_orderdate) FROM orders
   UNION ALL SELECT l_orderkey + {5 * T12}, l_partkey + {4 * T12}, 'contains', sum(l_quantity), min(epoch_ms(l_shipdate)) FROM lineitem GROUP BY l_orderkey, l_partkey)
 """
-DISTANCES = "r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, s.b, r.d + 1 FROM r JOIN s ON s.a = r.n WHERE r.d < 24), dist AS MATERIALIZED (SELECT s, n, min(d) AS d FROM r GROUP BY ALL)"
+DISTANCES = "r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, s.b, r.d + 1 FROM r JOIN s ON s.a = r.n WHERE r.d < 6), dist AS MATERIALIZED (SELECT s, n, min(d) AS d FROM r GROUP BY ALL)"
 
 
 def unrolled(start: str, step: str, rounds: int) -> str:
@@ -132,9 +132,9 @@ def acl_filter(spark, d):
 
 
 # ---- joins
-@query(f"WITH {TRADE} SELECT a AS node_id, b AS neighbor, w AS weight FROM u")
+@query(f"WITH {TRAFFIC} SELECT a AS node_id, b AS neighbor, w AS weight FROM u")
 def neighbors_both(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     return joins.neighbors(g, g.nodes, "both").select("node_id", "neighbor", "weight")
 
 
@@ -144,16 +144,16 @@ def temporal_neighbors(spark, d):
     return joins.neighbors(g, g.nodes, "out", "contains", 800000000000).groupBy("node_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRADE} SELECT a AS src, b AS dst, w AS weight FROM e ORDER BY a, b LIMIT 1")
+@query(f"WITH {TRAFFIC} SELECT a AS src, b AS dst, w AS weight FROM e ORDER BY a, b LIMIT 1")
 def edge_between(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     first = g.edges.orderBy("src", "dst").first()
     return joins.edge_between(g, first["src"], first["dst"]).select("src", "dst", "weight")
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL")
 def common_neighbor_counts(spark, d):
-    return joins.common_neighbors(tables.trade(spark, d)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return joins.common_neighbors(tables.traffic(spark, d)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {KNOWLEDGE} SELECT DISTINCT ke.label, x.label AS src_label, y.label AS dst_label FROM ke JOIN kn x ON ke.src = x.id JOIN kn y ON ke.dst = y.id")
@@ -161,15 +161,17 @@ def endpoint_labels(spark, d):
     return joins.endpoint_labels(tables.knowledge(spark, d))
 
 
-@query(f"WITH {TRADE} SELECT a, b, w FROM e WHERE a < 12 AND b < 12")
+@query(f"WITH {TRAFFIC} SELECT a, b, w FROM e WHERE a < 12 AND b < 12")
 def induced_subgraph(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     return joins.induced(g, g.nodes.where("node_id < 12")).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
 
 
-@query(f"WITH {KNOWLEDGE} SELECT count(*) AS n FROM ke WHERE src NOT IN (SELECT id FROM kn) OR dst NOT IN (SELECT id FROM kn)")
+@query(f"WITH {KNOWLEDGE}, gone AS (SELECT {2 * T12 + 7} AS id) SELECT 'src' AS missing, count(*) AS n FROM gone JOIN ke ON src = id UNION ALL SELECT 'dst', count(*) FROM gone JOIN ke ON dst = id")
 def integrity_check(spark, d):
-    return profile.check(tables.knowledge(spark, d)).agg(F.count("*").alias("n"))
+    """Without one customer's node its orders and its place dangle."""
+    g = tables.knowledge(spark, d)
+    return profile.check(g.with_nodes(g.nodes.where(f"node_id <> {2 * T12 + 7}"))).groupBy("missing").agg(F.count("*").alias("n"))
 
 
 @query("SELECT least(x.n_nationkey, y.n_nationkey) + 1000000000000 AS node_a, greatest(x.n_nationkey, y.n_nationkey) + 1000000000000 AS node_b, 'name' AS key FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_name <> y.n_name")
@@ -200,9 +202,9 @@ def cypher_pattern(spark, d):
     return cypher.run(tables.knowledge(spark, d), "MATCH (a:customer)-[r:located_in]->(b:nation) WHERE a.segment = 'BUILDING'").select("a_id", "b_id")
 
 
-@query(f"WITH {TRADE}, g AS (SELECT id, (SELECT count(*) FROM u WHERE a = id) AS k FROM v), o AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM g) SELECT min(k) AS min_degree, max(k) AS max_degree, round(avg(k), 6) AS avg_degree, max(k) FILTER (i = n // 2) AS p50, max(k) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, max(k) FILTER (i = least(floor(n * 0.99), n - 1)) AS p99 FROM o")
+@query(f"WITH {TRAFFIC}, g AS (SELECT id, (SELECT count(*) FROM u WHERE a = id) AS k FROM v), o AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM g) SELECT min(k) AS min_degree, max(k) AS max_degree, round(avg(k), 6) AS avg_degree, max(k) FILTER (i = n // 2) AS p50, max(k) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, max(k) FILTER (i = least(floor(n * 0.99), n - 1)) AS p99 FROM o")
 def degree_distribution(spark, d):
-    return aggregates.degree_distribution(tables.trade(spark, d))
+    return aggregates.degree_distribution(tables.traffic(spark, d))
 
 
 WORDS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 2)"
@@ -220,16 +222,16 @@ def text_statistics(spark, d):
 
 
 # ---- ranking and budgets
-@query(f"WITH {TRADE}, x AS (SELECT a AS id, row_number() OVER (ORDER BY sum(w) DESC, a) AS r FROM e GROUP BY a), y AS (SELECT b AS id, row_number() OVER (ORDER BY sum(w) DESC, b) AS r FROM e GROUP BY b) SELECT id AS node_id, round(sum(p), 6) AS score FROM (SELECT id, 1.0 / (60 + r) AS p FROM x UNION ALL SELECT id, 0.8 / (60 + r) FROM y) GROUP BY id")
+@query(f"WITH {TRAFFIC}, x AS (SELECT a AS id, row_number() OVER (ORDER BY sum(w) DESC, a) AS r FROM e GROUP BY a), y AS (SELECT b AS id, row_number() OVER (ORDER BY sum(w) DESC, b) AS r FROM e GROUP BY b) SELECT id AS node_id, round(sum(p), 6) AS score FROM (SELECT id, 1.0 / (60 + r) AS p FROM x UNION ALL SELECT id, 0.8 / (60 + r) FROM y) GROUP BY id")
 def rank_fusion(spark, d):
-    e = tables.trade(spark, d).edges
+    e = tables.traffic(spark, d).edges
     side = lambda c: e.groupBy(F.col(c).alias("node_id")).agg(F.sum("weight").alias("score"))
     return score(ranking.fuse([(side("src"), 1.0), (side("dst"), 0.8)]))
 
 
-@query(f"WITH {TRADE}, x AS (SELECT a AS id, sum(w) AS t FROM e GROUP BY a) SELECT id AS node_id, round(t / (SELECT max(t) FROM x), 6) AS score FROM x")
+@query(f"WITH {TRAFFIC}, x AS (SELECT a AS id, sum(w) AS t FROM e GROUP BY a) SELECT id AS node_id, round(t / (SELECT max(t) FROM x), 6) AS score FROM x")
 def max_normalized(spark, d):
-    return score(ranking.normalized(tables.trade(spark, d).edges.groupBy(F.col("src").alias("node_id")).agg(F.sum("weight").alias("score"))))
+    return score(ranking.normalized(tables.traffic(spark, d).edges.groupBy(F.col("src").alias("node_id")).agg(F.sum("weight").alias("score"))))
 
 
 def _chunks(spark, d):
@@ -250,7 +252,10 @@ def budget_greedy(spark, d):
     return budget.greedy(_chunks(spark, d), budget.PRESETS["16k"]).select("node_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, o AS (SELECT id, tokens, row_number() OVER (ORDER BY CASE WHEN tokens > 0 THEN -score / tokens ELSE -1e300 END, id) AS i FROM c),
+    p(i, used, id, took) AS (SELECT 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false UNION ALL
+      SELECT o.i, CASE WHEN p.used + o.tokens <= 3276 THEN p.used + o.tokens ELSE p.used END, o.id, p.used + o.tokens <= 3276 FROM p JOIN o ON o.i = p.i + 1)
+    SELECT id AS node_id, label FROM p JOIN c USING (id) WHERE took""")
 def budget_proportional(spark, d):
     return budget.proportional(_chunks(spark, d), 8192).select("node_id", "label")
 
@@ -313,272 +318,371 @@ def bfs_in(spark, d):
     return traversal.bfs(tables.knowledge(spark, d), ids(spark, 0), 3, direction="in").select("node_id", "depth")
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(id, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id WHERE r.d < 3) SELECT id AS node_id, round(pow(0.5, min(d)), 6) AS score, min(d) AS depth FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {TRAFFIC}, r(id, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id WHERE r.d < 3) SELECT id AS node_id, round(pow(0.5, min(d)), 6) AS score, min(d) AS depth FROM r GROUP BY id")
 def flow_scores(spark, d):
-    return score(traversal.flow_scores(tables.trade(spark, d), ids(spark, 1), 0.5, 0.01, 3))
+    return score(traversal.flow_scores(tables.traffic(spark, d), ids(spark, 1), 0.5, 0.01, 3))
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(id, d) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT u.b, r.d + 1 FROM r JOIN u ON u.a = r.id WHERE r.d < 1), n AS (SELECT DISTINCT id FROM r) SELECT e.a, e.b, e.w FROM e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id")
+@query(f"WITH RECURSIVE {TRAFFIC}, r(id, d) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT u.b, r.d + 1 FROM r JOIN u ON u.a = r.id WHERE r.d < 1), n AS (SELECT DISTINCT id FROM r) SELECT e.a, e.b, e.w FROM e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id")
 def ego_network(spark, d):
-    return traversal.ego_network(tables.trade(spark, d), 2, 1)[1].select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+    return traversal.ego_network(tables.traffic(spark, d), 2, 1)[1].select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 10) SELECT s AS source, n AS node_id, min(d) AS hops FROM r GROUP BY ALL")
+@query(f"WITH RECURSIVE {TRAFFIC}, r(s, n, d) AS (SELECT id, id, 0 FROM v UNION SELECT r.s, e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 10) SELECT s AS source, n AS node_id, min(d) AS hops FROM r GROUP BY ALL")
 def hop_distances(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     return paths.hop_paths(g, g.nodes).select("source", "node_id", "hops")
 
 
 _RELAX = "SELECT id, min(d) AS d FROM (SELECT id, d FROM {p} UNION ALL SELECT e.b, {p}.d + 1 / e.w FROM {p} JOIN e ON e.a = {p}.id) GROUP BY id"
 
 
-@query(f"WITH {TRADE}, {unrolled('SELECT CAST(1 AS BIGINT) AS id, 0.0::DOUBLE AS d', _RELAX, 14)} SELECT id AS node_id, round(d, 6) AS dist FROM p14")
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT CAST(1 AS BIGINT) AS id, 0.0::DOUBLE AS d', _RELAX, 14)} SELECT id AS node_id, round(d, 6) AS dist FROM p14")
 def weighted_distances(spark, d):
-    return score(paths.bellman_ford(tables.trade(spark, d), 1), "dist")
+    return score(paths.bellman_ford(tables.traffic(spark, d), 1), "dist")
 
 
-@query()
+#: Paths of at most two edges: the fifth cheapest bounds what a longer one may cost.
+_TWO_HOPS = "SELECT 1 / w AS c FROM e WHERE a = 1 AND b = 2 UNION ALL SELECT 1 / x.w + 1 / y.w FROM e x JOIN e y ON x.b = y.a WHERE x.a = 1 AND y.b = 2 AND x.b NOT IN (1, 2)"
+
+
+@query(f"""WITH RECURSIVE {TRAFFIC}, best AS MATERIALIZED ({_TWO_HOPS}), most AS MATERIALIZED (SELECT max(c) + 1e-9 AS bound FROM (SELECT c FROM best ORDER BY c LIMIT 5)),
+      w(n, path, cost) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0.0::DOUBLE UNION ALL SELECT e.b, list_append(w.path, e.b), w.cost + 1 / e.w FROM w JOIN e ON e.a = w.n WHERE w.n <> 2 AND NOT list_contains(w.path, e.b) AND w.cost + 1 / e.w <= (SELECT bound FROM most))
+      SELECT CAST(row_number() OVER (ORDER BY cost, path) AS INT) AS rank, round(cost, 6) AS cost FROM w WHERE n = 2 ORDER BY cost, path LIMIT 5""")
 def k_shortest_paths(spark, d):
-    return paths.k_shortest(tables.trade(spark, d), 1, 2, 5)
+    return score(paths.k_shortest(tables.traffic(spark, d), 1, 2, 5), "cost").select("rank", "cost")
 
 
-@query()
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT CAST(1 AS BIGINT) AS id, 0.0::DOUBLE AS d', _RELAX, 14)} SELECT round(max(d), 6) AS cost FROM p14")
 def a_star_path(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     ends = paths.cheapest_paths(g, 1).where("cost > 0").orderBy(F.desc("cost"), "node_id").first()
-    return score(paths.a_star(g, 1, ends["node_id"]), "cost")
+    return score(paths.a_star(g, 1, ends["node_id"]), "cost").select("cost")
 
 
-@query()
+@query(f"WITH {KNOWLEDGE} SELECT label, count(*) AS edges, CAST(0 AS BIGINT) AS backward FROM ke WHERE label IN ('in_region', 'located_in') GROUP BY label")
 def topological_order(spark, d):
+    """Edges by label, and how many of them the order has backward."""
     g = tables.knowledge(spark, d)
     keep = EdgeFilter(labels=("in_region", "located_in"))(g.edges)
-    return paths.topological_order(g.with_nodes(g.nodes.where("label IN ('region', 'nation', 'customer', 'supplier')")).with_edges(keep))
+    order = paths.topological_order(g.with_nodes(g.nodes.where("label IN ('region', 'nation', 'customer', 'supplier')")).with_edges(keep))
+    at = keep.join(order.select(F.col("node_id").alias("src"), F.col("position").alias("x")), "src").join(order.select(F.col("node_id").alias("dst"), F.col("position").alias("y")), "dst")
+    return at.groupBy("label").agg(F.count("*").alias("edges"), F.sum((F.col("x") >= F.col("y")).cast("long")).alias("backward"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRAFFIC}, r(s, n, d, path) AS (SELECT id, id, 0, [id] FROM v WHERE id IN (1, 2, 3) UNION ALL SELECT r.s, e.b, r.d + 1, list_append(r.path, e.b) FROM r JOIN (SELECT DISTINCT a, b FROM e) e ON e.a = r.n WHERE r.d < 2 AND NOT list_contains(r.path, e.b)),
+    m AS (SELECT s, n, min(d) AS d FROM r GROUP BY ALL), best AS (SELECT r.s, r.n, min(path) AS path FROM r JOIN m ON r.s = m.s AND r.n = m.n AND r.d = m.d WHERE r.n IN (1, 2, 3) AND r.s < r.n GROUP BY ALL)
+    SELECT s AS a, n AS b, array_to_string(path, '-') AS path, 1.0::DOUBLE AS reliability FROM best""")
 def scored_paths(spark, d):
-    return paths.scored_paths(tables.trade(spark, d), ids(spark, 1, 2, 3))
+    return paths.scored_paths(tables.traffic(spark, d), ids(spark, 1, 2, 3), 2).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.n), m AS (SELECT s, min(n) AS root FROM r GROUP BY s) SELECT s AS node_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS component FROM m")
+@query(f"WITH RECURSIVE {TRAFFIC}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.n), m AS (SELECT s, min(n) AS root FROM r GROUP BY s) SELECT s AS node_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS component FROM m")
 def connected_components(spark, d):
-    return paths.connected_components(tables.trade(spark, d))
+    return paths.connected_components(tables.traffic(spark, d))
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n), m AS (SELECT x.s, min(x.n) AS c FROM r x JOIN r y ON x.s = y.n AND x.n = y.s GROUP BY x.s) SELECT s AS node_id, c AS component, count(*) OVER (PARTITION BY c) AS size FROM m")
+@query(f"WITH RECURSIVE {TRAFFIC}, r(s, n) AS (SELECT id, id FROM v UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n), m AS (SELECT x.s, min(x.n) AS c FROM r x JOIN r y ON x.s = y.n AND x.n = y.s GROUP BY x.s) SELECT s AS node_id, c AS component, count(*) OVER (PARTITION BY c) AS size FROM m")
 def strong_components(spark, d):
-    return paths.strong_components(tables.trade(spark, d))
+    return paths.strong_components(tables.traffic(spark, d))
 
 
-@query()
+@query(f"WITH {TRAFFIC}, d AS (SELECT a, count(*) AS k FROM (SELECT DISTINCT a, b FROM u) GROUP BY a) SELECT 1 AS hop, a AS src, least(k, 4) AS taken, CAST(0 AS BIGINT) AS unlinked FROM d WHERE a IN (1, 2, 3)")
 def neighbor_sampling(spark, d):
-    return traversal.sample_neighbors(tables.trade(spark, d), ids(spark, 1, 2, 3), [4, 2])
+    """First hop: how many neighbours of each seed are drawn, and how many of them are none."""
+    g = tables.traffic(spark, d)
+    drawn = cut(traversal.sample_neighbors(g, ids(spark, 1, 2, 3), [4, 2])).where("hop = 1")
+    linked = g.both().select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("ok")).distinct()
+    return drawn.join(linked, ["src", "dst"], "left").groupBy("hop", "src").agg(F.count("*").alias("taken"), F.sum(F.col("ok").isNull().cast("long")).alias("unlinked"))
 
 
-@query()
+@query(f"WITH {TRAFFIC} SELECT id AS start, CAST(11 AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS jumps FROM v WHERE id IN (SELECT a FROM u)")
 def random_walks(spark, d):
-    g = tables.trade(spark, d)
-    return traversal.random_walks(g, g.nodes, 10)
+    """Of each walk its length, and how many of its steps are no edges."""
+    g = tables.traffic(spark, d)
+    walks = cut(traversal.random_walks(g, g.nodes, 10))
+    steps = walks.select("start", F.size("path").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i.cast("int")).alias("a"), F.element_at("path", (i + 1).cast("int")).alias("b")))).alias("e")).select("*", "e.a", "e.b")
+    linked = g.both().select("a", "b", F.lit(1).alias("ok")).distinct()
+    return steps.join(linked, ["a", "b"], "left").groupBy("start").agg((F.count("*") + 1).alias("nodes"), F.sum(F.col("ok").isNull().cast("long")).alias("jumps"))
 
 
-@query()
+@query(f"WITH {TRAFFIC} SELECT id AS start, walk, CAST(9 AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS jumps FROM v, (VALUES (0), (1)) t(walk) WHERE id IN (SELECT a FROM s)")
 def node2vec_walks(spark, d):
-    return traversal.node2vec_walks(tables.trade(spark, d), 2, 8, 0.5, 2.0)
+    """Of each walk its length, and how many of its steps are no edges."""
+    g = tables.traffic(spark, d)
+    walks = cut(traversal.node2vec_walks(g, 2, 8, 0.5, 2.0))
+    steps = walks.select("start", "walk", F.size("path").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i.cast("int")).alias("a"), F.element_at("path", (i + 1).cast("int")).alias("b")))).alias("e")).select("*", "e.a", "e.b")
+    linked = g.both().select("a", "b", F.lit(1).alias("ok")).distinct()
+    return steps.join(linked, ["a", "b"], "left").groupBy("start", "walk").agg((F.count("*") + 1).alias("nodes"), F.sum(F.col("ok").isNull().cast("long")).alias("jumps"))
 
 
 # ---- centralities
 _TELEPORT = 0.15
-_PR = f"""SELECT v.id, {_TELEPORT} / 25 + (1 - {_TELEPORT}) * (coalesce(x.s, 0) + (SELECT coalesce(sum({{p}}.x), 0) FROM {{p}} WHERE id NOT IN (SELECT a FROM e)) / 25) AS x
+_PR = f"""SELECT v.id, {_TELEPORT} / (SELECT n FROM nv) + (1 - {_TELEPORT}) * (coalesce(x.s, 0) + (SELECT coalesce(sum({{p}}.x), 0) FROM {{p}} WHERE id NOT IN (SELECT a FROM e)) / (SELECT n FROM nv)) AS x
 FROM v LEFT JOIN (SELECT e.b, sum({{p}}.x / k.k) AS s FROM e JOIN {{p}} ON e.a = {{p}}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"""
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _PR, 20)} SELECT id AS node_id, round(x, 6) AS score FROM p20")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS x FROM v', _PR, 20)} SELECT id AS node_id, round(x, 6) AS score FROM p20")
 def pagerank(spark, d):
-    return score(centrality.pagerank(tables.trade(spark, d)))
+    return score(centrality.pagerank(tables.traffic(spark, d)))
 
 
 _PPR = """SELECT v.id, 0.15 * (v.id = 1)::INT + 0.85 * (coalesce(x.s, 0) + (SELECT coalesce(sum({p}.x), 0) FROM {p} WHERE id NOT IN (SELECT a FROM e)) * (v.id = 1)::INT) AS x
 FROM v LEFT JOIN (SELECT e.b, sum({p}.x / k.k) AS s FROM e JOIN {p} ON e.a = {p}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"""
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _PPR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS x FROM v', _PPR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
 def personalized_pagerank(spark, d):
-    return score(centrality.personalized_pagerank(tables.trade(spark, d), ids(spark, 1), 0.15, 10))
+    return score(centrality.personalized_pagerank(tables.traffic(spark, d), ids(spark, 1), 0.15, 10))
 
 
-_AR = "SELECT v.id, 0.15 / 25 + 0.85 * coalesce(x.s, 0) AS x FROM v LEFT JOIN (SELECT e.b, sum({p}.x / (k.k + (SELECT count(*) / 25.0 FROM e))) AS s FROM e JOIN {p} ON e.a = {p}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"
+_AR = "SELECT v.id, 0.15 / (SELECT n FROM nv) + 0.85 * coalesce(x.s, 0) AS x FROM v LEFT JOIN (SELECT e.b, sum({p}.x / (k.k + (SELECT count(*)::DOUBLE / (SELECT n FROM nv) FROM e))) AS s FROM e JOIN {p} ON e.a = {p}.id JOIN k ON k.a = e.a GROUP BY e.b) x ON x.b = v.id"
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0 / 25 AS x FROM v', _AR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS x FROM v', _AR, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
 def article_rank(spark, d):
-    return score(centrality.article_rank(tables.trade(spark, d), rounds=10))
+    return score(centrality.article_rank(tables.traffic(spark, d), rounds=10))
 
 
 _EV = "SELECT id, x / (SELECT max(x) FROM (SELECT sum({p}.x) AS x FROM s JOIN {p} ON s.a = {p}.id GROUP BY s.b)) AS x FROM (SELECT v.id, coalesce(sum({p}.x), 0) AS x FROM v LEFT JOIN s ON s.b = v.id LEFT JOIN {p} ON s.a = {p}.id GROUP BY v.id)"
 
 
-@query(f"WITH {TRADE}, {unrolled('SELECT id, 0.2 AS x FROM v', _EV, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT id, 0.2 AS x FROM v', _EV, 10)} SELECT id AS node_id, round(x, 6) AS score FROM p10")
 def eigenvector_centrality(spark, d):
-    return score(centrality.eigenvector(tables.trade(spark, d), 10, None))
+    return score(centrality.eigenvector(tables.traffic(spark, d), 10, None))
 
 
 _KZ = "SELECT v.id, 1e-2 * coalesce(sum({p}.x), 0) + 1 AS x FROM v LEFT JOIN (SELECT DISTINCT a, b FROM u) q ON q.b = v.id LEFT JOIN {p} ON q.a = {p}.id GROUP BY v.id"
 
 
-@query(f"WITH {TRADE}, {unrolled('SELECT id, 0e0 AS x FROM v', _KZ, 10)} SELECT id AS node_id, round(x / (SELECT sqrt(sum(x * x)) FROM p10), 6) AS score FROM p10")
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT id, 0e0 AS x FROM v', _KZ, 10)} SELECT id AS node_id, round(x / (SELECT sqrt(sum(x * x)) FROM p10), 6) AS score FROM p10")
 def katz_centrality(spark, d):
-    return score(centrality.katz(tables.trade(spark, d), 0.01, 1.0, 10, None))
+    return score(centrality.katz(tables.traffic(spark, d), 0.01, 1.0, 10, None))
 
 
-@query()
+_HITS = """SELECT v.id, coalesce(h.x, 0) / (SELECT sqrt(sum(x * x)) FROM (SELECT e.a, sum(au.x) AS x FROM e JOIN (SELECT e.b, sum({p}.hub) AS x FROM e JOIN {p} ON e.a = {p}.id GROUP BY e.b) au ON e.b = au.b GROUP BY e.a)) AS hub,
+coalesce(au.x, 0) / (SELECT sqrt(sum(x * x)) FROM (SELECT e.b, sum({p}.hub) AS x FROM e JOIN {p} ON e.a = {p}.id GROUP BY e.b)) AS authority
+FROM v LEFT JOIN (SELECT e.a, sum(au.x) AS x FROM e JOIN (SELECT e.b, sum({p}.hub) AS x FROM e JOIN {p} ON e.a = {p}.id GROUP BY e.b) au ON e.b = au.b GROUP BY e.a) h ON h.a = v.id LEFT JOIN (SELECT e.b, sum({p}.hub) AS x FROM e JOIN {p} ON e.a = {p}.id GROUP BY e.b) au ON au.b = v.id"""
+
+
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT id, 1e0 AS hub, 1e0 AS authority FROM v', _HITS, 10)} SELECT id AS node_id, round(hub, 6) AS hub, round(authority, 6) AS authority FROM p10")
 def hits(spark, d):
-    return score(centrality.hits(tables.trade(spark, d), 10), "hub", "authority")
+    return score(centrality.hits(tables.traffic(spark, d), 10), "hub", "authority")
 
 
-@query(f"WITH {TRADE} SELECT id AS node_id, round((SELECT count(*) FROM u WHERE a = id) / 24.0, 6) AS score FROM v")
+@query(f"WITH {TRAFFIC} SELECT id AS node_id, round((SELECT count(*) FROM u WHERE a = id)::DOUBLE / ((SELECT n FROM nv) - 1), 6) AS score FROM v")
 def degree_centrality(spark, d):
-    return score(centrality.degree(tables.trade(spark, d)))
+    return score(centrality.degree(tables.traffic(spark, d)))
 
 
-@query(f"WITH {TRADE} SELECT id AS node_id, round((SELECT count(*) FROM s WHERE a = id) / 24.0, 6) AS score FROM v")
+@query(f"WITH {TRAFFIC} SELECT id AS node_id, round((SELECT count(*) FROM s WHERE a = id)::DOUBLE / ((SELECT n FROM nv) - 1), 6) AS score FROM v")
 def simple_degree_centrality(spark, d):
-    return score(centrality.simple_degree(tables.trade(spark, d)))
+    return score(centrality.simple_degree(tables.traffic(spark, d)))
 
 
-@query(f"WITH RECURSIVE {TRADE}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT count(*) / sum(d) FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
+@query(f"WITH RECURSIVE {TRAFFIC}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT count(*) / sum(d) FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
 def closeness_centrality(spark, d):
-    return score(centrality.closeness(tables.trade(spark, d)))
+    return score(centrality.closeness(tables.traffic(spark, d)))
 
 
-@query(f"WITH RECURSIVE {TRADE}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT sum(1.0 / d) / 24 FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
+@query(f"WITH RECURSIVE {TRAFFIC}, {DISTANCES} SELECT id AS node_id, round(coalesce((SELECT sum(1.0::DOUBLE / d) / ((SELECT n FROM nv) - 1) FROM dist WHERE s = id AND d > 0), 0), 6) AS score FROM v")
 def harmonic_centrality(spark, d):
-    return score(centrality.harmonic(tables.trade(spark, d)))
+    return score(centrality.harmonic(tables.traffic(spark, d)))
 
 
 @query(
-    f"""WITH RECURSIVE {TRADE}, {DISTANCES}, m AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS m FROM u WHERE a <> b GROUP BY ALL),
+    f"""WITH RECURSIVE {TRAFFIC}, {DISTANCES}, m AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS m FROM u WHERE a <> b GROUP BY ALL),
     w(s, n, d, c) AS (SELECT id, id, 0, 1.0::DOUBLE FROM v UNION ALL SELECT w.s, m.b, w.d + 1, w.c * m.m FROM w JOIN m ON m.a = w.n JOIN dist ON dist.s = w.s AND dist.n = m.b AND dist.d = w.d + 1),
     g AS MATERIALIZED (SELECT s, n, max(d) AS d, sum(c) AS c FROM w GROUP BY ALL)
     SELECT id AS node_id, round(coalesce((SELECT sum(x.c * y.c / z.c) FROM g x JOIN g y ON x.n = y.s JOIN g z ON z.s = x.s AND z.n = y.n WHERE x.n = v.id AND x.s < y.n AND x.s <> v.id AND y.n <> v.id AND x.d + y.d = z.d), 0), 6) AS score FROM v"""
 )
 def betweenness_centrality(spark, d):
-    return score(centrality.betweenness(tables.trade(spark, d)))
+    return score(centrality.betweenness(tables.traffic(spark, d)))
 
 
-@query(f"WITH {TRADE}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b), n AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (p, q, r)) AS t, (SELECT count(*) FROM s WHERE a = id) AS k FROM v) SELECT id AS node_id, t AS triangles, k AS neighbors, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM n")
-def triangles(spark, d):
-    return score(centrality.triangles(tables.trade(spark, d)), "clustering")
+#: Triangles of the simple graph s, and of each node.
+_TRIANGLES = """t AS MATERIALIZED (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b),
+i AS MATERIALIZED (SELECT id, count(*) AS t FROM (SELECT p AS id FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY id), k AS (SELECT a, count(*) AS k FROM s GROUP BY a),
+n AS (SELECT v.id, coalesce(t, 0) AS t, coalesce(k, 0) AS k FROM v LEFT JOIN i USING (id) LEFT JOIN k ON k.a = v.id)"""
 
 
-_TRI = f"WITH {TRADE}, t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b)"
+@query(f"WITH {TRAFFIC}, {_TRIANGLES} SELECT id AS node_id, t AS triangles, k AS neighbors, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM n")
+def triangles(spark, d):
+    return score(centrality.triangles(tables.traffic(spark, d)), "clustering")
 
 
-@query(f"{_TRI} SELECT count(*) AS triangles FROM t")
+@query(f"WITH {TRAFFIC}, {_TRIANGLES} SELECT count(*) AS triangles FROM t")
 def triangle_count(spark, d):
-    return centrality.triangle_count(tables.trade(spark, d))
+    return centrality.triangle_count(tables.traffic(spark, d))
 
 
-@query(f"{_TRI}, n AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (p, q, r)) AS t, (SELECT count(*) FROM s WHERE a = id) AS k FROM v) SELECT id AS node_id, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS score FROM n")
+@query(f"WITH {TRAFFIC}, {_TRIANGLES} SELECT id AS node_id, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS score FROM n")
 def local_clustering(spark, d):
-    return score(centrality.local_clustering(tables.trade(spark, d)))
+    return score(centrality.local_clustering(tables.traffic(spark, d)))
 
 
-@query()
+_H_INDEX = "SELECT id, max(least(c, r)) AS c FROM (SELECT s.a AS id, {p}.c, row_number() OVER (PARTITION BY s.a ORDER BY {p}.c DESC) AS r FROM s JOIN {p} ON s.b = {p}.id) GROUP BY id"
+
+
+@query(f"WITH {TRAFFIC}, {unrolled('SELECT a AS id, count(*) AS c FROM s GROUP BY a', _H_INDEX, 30)} SELECT v.id AS node_id, CAST(coalesce(c, 0) AS BIGINT) AS core FROM v LEFT JOIN p30 USING (id)")
 def core_numbers(spark, d):
-    return centrality.core_numbers(tables.trade(spark, d))
+    return centrality.core_numbers(tables.traffic(spark, d))
+
+
+# ---- the same over the knowledge graph, which grows with the tables
+KV = "v AS MATERIALIZED (SELECT id FROM kn), nv AS MATERIALIZED (SELECT count(*) AS n FROM kn), e AS MATERIALIZED (SELECT src AS a, dst AS b, w::DOUBLE AS w FROM ke), u AS MATERIALIZED (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), s AS MATERIALIZED (SELECT DISTINCT a, b FROM u WHERE a <> b)"
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, k AS (SELECT a, count(*) AS k FROM e GROUP BY a), {unrolled('SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS x FROM v', _PR, 20)} SELECT id AS node_id, round(x, 8) AS score FROM p20")
+def knowledge_pagerank(spark, d):
+    return centrality.pagerank(tables.knowledge(spark, d)).withColumn("score", F.round("score", 8))
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {unrolled('SELECT id, 1e0 AS hub, 1e0 AS authority FROM v', _HITS, 5)} SELECT id AS node_id, round(hub, 6) AS hub, round(authority, 6) AS authority FROM p5")
+def knowledge_hits(spark, d):
+    return score(centrality.hits(tables.knowledge(spark, d), 5), "hub", "authority")
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {unrolled('SELECT id, 0e0 AS x FROM v', _KZ, 8)} SELECT id AS node_id, round(x / (SELECT sqrt(sum(x * x)) FROM p8), 6) AS score FROM p8")
+def knowledge_katz(spark, d):
+    return score(centrality.katz(tables.knowledge(spark, d), 0.01, 1.0, 8, None))
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {unrolled('SELECT id, id AS c FROM v', 'SELECT id, min(c) AS c FROM (SELECT id, c FROM {p} UNION ALL SELECT s.a, {p}.c FROM s JOIN {p} ON s.b = {p}.id) GROUP BY id', 8)}, r AS (SELECT id, min(c) AS c FROM p8 GROUP BY id) SELECT id AS node_id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS BIGINT) AS component FROM r")
+def knowledge_components(spark, d):
+    return paths.connected_components(tables.knowledge(spark, d))
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {unrolled('SELECT a AS id, count(*) AS c FROM s GROUP BY a', _H_INDEX, 30)} SELECT v.id AS node_id, CAST(coalesce(c, 0) AS BIGINT) AS core FROM v LEFT JOIN p30 USING (id)")
+def knowledge_core_numbers(spark, d):
+    return centrality.core_numbers(tables.knowledge(spark, d))
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {_TRIANGLES} SELECT id AS node_id, t AS triangles, k AS neighbors, round(CASE WHEN k > 1 THEN 2.0 * t / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM n")
+def knowledge_triangles(spark, d):
+    return score(centrality.triangles(tables.knowledge(spark, d)), "clustering")
+
+
+@query(f"WITH {KNOWLEDGE}, {KV}, {unrolled(f'SELECT CAST({5 * T12 + 1} AS BIGINT) AS id, 0.0::DOUBLE AS d', 'SELECT id, min(d) AS d FROM (SELECT id, d FROM {p} UNION ALL SELECT e.b, {p}.d + 1 / e.w FROM {p} JOIN e ON e.a = {p}.id) GROUP BY id', 6)} SELECT id AS node_id, round(d, 6) AS dist FROM p6")
+def knowledge_distances(spark, d):
+    return score(paths.bellman_ford(tables.knowledge(spark, d), 5 * T12 + 1), "dist")
 
 
 # ---- communities
-@query()
+_VOTE = """SELECT {p}.id, coalesce(n.c, {p}.c) AS c FROM {p} LEFT JOIN (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY w DESC, c) AS r FROM (
+SELECT id, c, sum(w) AS w FROM (SELECT l.a AS id, {p}.c, l.w FROM l JOIN {p} ON l.b = {p}.id UNION ALL
+SELECT {p}.id, {p}.c, m.w / 2 FROM {p} JOIN (SELECT id, max(w) AS w FROM (SELECT l.a AS id, {p}.c, sum(l.w) AS w FROM l JOIN {p} ON l.b = {p}.id GROUP BY ALL) GROUP BY id) m ON m.id = {p}.id) GROUP BY id, c)) WHERE r = 1) n ON n.id = {p}.id"""
+
+
+@query(f"WITH {TRAFFIC}, l AS MATERIALIZED (SELECT a, b, sum(w) AS w FROM u WHERE a <> b GROUP BY a, b), {unrolled('SELECT id, id AS c FROM v', _VOTE, 10)} SELECT id AS node_id, c AS community FROM p10")
 def label_propagation(spark, d):
-    return community.label_propagation(tables.trade(spark, d))
+    return community.label_propagation(tables.traffic(spark, d))
 
 
-@query()
+@query(f"WITH {TRAFFIC} SELECT n AS members, true AS gained FROM nv")
 def modularity_communities(spark, d):
-    return community.modularity_communities(tables.trade(spark, d))
+    """Members in all, and whether the partition's modularity is above that of nodes alone, as moving only ever gains."""
+    g = tables.traffic(spark, d)
+    found = cut(community.modularity_communities(g))
+    q = lambda c: community.modularity(g, c).select("modularity")
+    alone = q(g.nodes.select("node_id", F.col("node_id").alias("community"))).withColumnRenamed("modularity", "alone")
+    return found.agg(F.count_distinct("node_id").alias("members")).crossJoin(q(found)).crossJoin(alone).select("members", (F.col("modularity") > F.col("alone")).alias("gained"))
 
 
-@query()
+@query(f"WITH {TRAFFIC} SELECT n AS members, true AS gained FROM nv")
 def leiden_communities(spark, d):
-    return community.leiden(tables.trade(spark, d))
+    """Members in all, and whether the partition's modularity is above that of nodes alone, as moving only ever gains."""
+    g = tables.traffic(spark, d)
+    found = cut(community.leiden(g))
+    q = lambda c: community.modularity(g, c).select("modularity")
+    alone = q(g.nodes.select("node_id", F.col("node_id").alias("community"))).withColumnRenamed("modularity", "alone")
+    return found.agg(F.count_distinct("node_id").alias("members")).crossJoin(q(found)).crossJoin(alone).select("members", (F.col("modularity") > F.col("alone")).alias("gained"))
 
 
 def _regions(spark, d):
-    return tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_regionkey").cast("long").alias("community"))
+    return tables.traffic(spark, d).nodes.select("node_id", (F.col("node_id") % 5).alias("community"))
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, sum(w) AS k FROM u GROUP BY a), m AS (SELECT 2 * sum(w) AS m FROM e) SELECT round(sum((e.w - x.k * y.k / m) / m), 6) AS modularity FROM e JOIN v p ON e.a = p.id JOIN v q ON e.b = q.id JOIN k x ON x.a = e.a JOIN k y ON y.a = e.b, m WHERE p.region = q.region")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, sum(w) AS k FROM u GROUP BY a), m AS (SELECT 2 * sum(w) AS m FROM e) SELECT round(sum((e.w - x.k * y.k / m) / m), 6) AS modularity FROM e JOIN v p ON e.a = p.id JOIN v q ON e.b = q.id JOIN k x ON x.a = e.a JOIN k y ON y.a = e.b, m WHERE p.region = q.region")
 def modularity(spark, d):
-    return score(community.modularity(tables.trade(spark, d), _regions(spark, d)), "modularity")
+    return score(community.modularity(tables.traffic(spark, d), _regions(spark, d)), "modularity")
 
 
-@query(f"WITH {TRADE}, c AS (SELECT p.region AS community, count(*) AS vol, sum((p.region <> q.region)::INT) AS crossing FROM s JOIN v p ON s.a = p.id JOIN v q ON s.b = q.id GROUP BY 1), t AS (SELECT count(*) AS total FROM s) SELECT DISTINCT CAST(v.region AS BIGINT) AS community, round(CASE WHEN least(vol, total - vol) > 0 THEN crossing / least(vol, total - vol) ELSE 0 END, 6) AS conductance FROM v LEFT JOIN c ON c.community = v.region, t")
+@query(f"WITH {TRAFFIC}, c AS (SELECT p.region AS community, count(*) AS vol, sum((p.region <> q.region)::INT) AS crossing FROM s JOIN v p ON s.a = p.id JOIN v q ON s.b = q.id GROUP BY 1), t AS (SELECT count(*) AS total FROM s) SELECT DISTINCT CAST(v.region AS BIGINT) AS community, round(CASE WHEN least(vol, total - vol) > 0 THEN crossing / least(vol, total - vol) ELSE 0 END, 6) AS conductance FROM v LEFT JOIN c ON c.community = v.region, t")
 def conductances(spark, d):
-    return score(community.conductances(tables.trade(spark, d), _regions(spark, d)), "conductance")
+    return score(community.conductances(tables.traffic(spark, d), _regions(spark, d)), "conductance")
 
 
-@query()
+@query(f"WITH {KNOWLEDGE} SELECT CAST(0 AS BIGINT) AS conflicts, (SELECT count(*) FROM kn) AS colored, true AS within")
 def coloring(spark, d):
-    g = tables.trade(spark, d)
-    return community.color_report(g, community.coloring(g))
+    """Ends of one colour, coloured nodes, and whether there are at most one more colours than the largest degree."""
+    g = tables.knowledge(spark, d)
+    found = cut(community.coloring(g))
+    most = g.simple().groupBy("a").count().agg(F.max("count").alias("most"))
+    return community.color_report(g, found).crossJoin(found.agg(F.count("color").alias("colored"))).crossJoin(most).select("conflicts", "colored", (F.col("colors") <= F.col("most") + 1).alias("within"))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS community, count(*) AS members, string_agg('nation ''' || n_name || '''', '; ' ORDER BY n_nationkey) AS summary FROM nation GROUP BY 1")
+@query(f"WITH {TRAFFIC} SELECT region AS community, count(*) AS members, string_agg('user ' || chr(39) || name || chr(39), '; ' ORDER BY id) AS summary FROM v GROUP BY 1")
 def community_summaries(spark, d):
-    return community.summaries(tables.trade(spark, d), _regions(spark, d))
+    return community.summaries(tables.traffic(spark, d), _regions(spark, d))
 
 
-@query()
+@query(f"""WITH {TRAFFIC}, inner_ AS (SELECT p.region, count(*) AS n FROM e JOIN v p ON e.a = p.id JOIN v q ON e.b = q.id WHERE p.region = q.region GROUP BY 1)
+    SELECT v.region AS community, count(*) AS size, any_value(inner_.n) AS internal_edges, 'user' AS labels, array_to_string(list(name ORDER BY id)[1:5], '|') AS entities, string_agg('name: ' || name, chr(10) || '---' || chr(10) ORDER BY id) AS content,
+           CAST(ceil(strlen(string_agg('name: ' || name, chr(10) || '---' || chr(10) ORDER BY id)) / 4.0) AS BIGINT) AS tokens FROM v JOIN inner_ USING (region) GROUP BY 1""")
 def community_profiles(spark, d):
-    return community.community_profiles(tables.trade(spark, d), _regions(spark, d))
+    found = community.community_profiles(tables.traffic(spark, d), _regions(spark, d))
+    return found.withColumn("labels", F.array_join("labels", "|")).withColumn("entities", F.array_join("entities", "|"))
 
 
 # ---- similarity, links, flow
-_PAIR = f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a), c AS (SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL), p AS (SELECT c.a, c.b, n, x.k AS ka, y.k AS kb FROM c JOIN k x ON x.a = c.a JOIN k y ON y.a = c.b)"
+_PAIR = f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a), c AS (SELECT x.a, y.b, count(*) AS n FROM s x JOIN s y ON x.b = y.a WHERE x.a < y.b GROUP BY ALL), p AS (SELECT c.a, c.b, n, x.k AS ka, y.k AS kb FROM c JOIN k x ON x.a = c.a JOIN k y ON y.a = c.b)"
 
 
 @query(f"{_PAIR} SELECT a, b, round(n / (ka + kb - n), 6) AS jaccard, round(n / sqrt(ka * kb), 6) AS cosine, round(n / least(ka, kb), 6) AS overlap FROM p")
 def neighborhood_similarity(spark, d):
-    g = tables.trade(spark, d)
-    out = None
-    for m in ("jaccard", "cosine", "overlap"):
-        x = score(similarity.similarity(g, m)).withColumnRenamed("score", m)
-        out = x if out is None else out.join(x, ["a", "b"])
-    return out
+    return score(similarity.similarities(tables.traffic(spark, d)), "jaccard", "cosine", "overlap")
 
 
 @query(f"{_PAIR} SELECT a, b, round(n / (ka + kb - n), 6) AS score FROM p ORDER BY n / (ka + kb - n) DESC, a, b LIMIT 10")
 def top_similar(spark, d):
-    return score(similarity.top_similar(tables.trade(spark, d)))
+    return score(similarity.top_similar(tables.traffic(spark, d)))
 
 
 @query(f"{_PAIR} SELECT x.a, y.b, round(sum(CASE WHEN k.k > 1 THEN 1 / ln(k.k) ELSE 0 END), 6) AS adamic_adar, CAST(count(*) AS DOUBLE) AS common, round(sum(1.0 / k.k), 6) AS resource FROM s x JOIN s y ON x.b = y.a JOIN k ON k.a = x.b WHERE x.a < y.b AND NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.a AND s.b = y.b) GROUP BY ALL")
 def link_prediction(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     f = lambda m, n: similarity.link_scores(g, m).withColumnRenamed("score", n)
     return score(f("adamic_adar", "adamic_adar").join(f("common_neighbors", "common"), ["a", "b"]).join(f("resource_allocation", "resource"), ["a", "b"]), "adamic_adar", "resource")
 
 
-@query(f"WITH {TRADE}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a AS a, y.a AS b, CAST(x.k * y.k AS DOUBLE) AS score FROM k x JOIN k y ON x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.a AND s.b = y.a) ORDER BY score DESC, a, b LIMIT 10")
+@query(f"WITH {TRAFFIC}, k AS (SELECT a, count(*) AS k FROM s GROUP BY a) SELECT x.a AS a, y.a AS b, CAST(x.k * y.k AS DOUBLE) AS score FROM k x JOIN k y ON x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.a = x.a AND s.b = y.a) ORDER BY score DESC, a, b LIMIT 10")
 def preferential_attachment(spark, d):
-    return similarity.predict_links(tables.trade(spark, d), "preferential_attachment")
+    return similarity.predict_links(tables.traffic(spark, d), "preferential_attachment")
 
 
-@query()
+@query(f"""WITH {TRAFFIC} SELECT least((SELECT sum(w) FROM e WHERE a = 1 AND b <> 1), (SELECT sum(w) FROM e WHERE b = 2 AND a <> 2)) AS most, true AS conserved""")
 def max_flow(spark, d):
-    return flow.max_flow(tables.trade(spark, d), 1, 2)
+    """The flow's total (here what leaves the source or enters the sink is the bottleneck), and whether no node in between keeps any."""
+    found = cut(flow.max_flow(tables.traffic(spark, d), 1, 2))
+    sides = found.select(F.col("src").alias("n"), F.col("flow").alias("x")).unionAll(found.select("dst", -F.col("flow")))
+    kept = sides.where("n NOT IN (1, 2)").groupBy("n").agg(F.abs(F.sum("x")).alias("x")).agg(F.coalesce(F.max("x"), F.lit(0.0)).alias("x"))
+    return found.agg(F.max("total").alias("most")).crossJoin(kept).select("most", (F.col("x") < 1e-6).alias("conserved"))
 
 
-@query()
+@query(f"""WITH {TRAFFIC}, pr AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w, arg_min(edge_id, (w, edge_id)) AS edge_id FROM e WHERE a <> b GROUP BY 1, 2),
+    rk AS MATERIALIZED (SELECT a, b, w, edge_id, row_number() OVER (ORDER BY w, edge_id) AS r FROM pr), sy AS (SELECT a, b, r FROM rk UNION ALL SELECT b, a, r FROM rk UNION ALL SELECT id, id, 0 FROM v),
+    {unrolled('SELECT a, b, min(r) AS r FROM sy GROUP BY a, b', 'SELECT x.a, y.b, min(greatest(x.r, y.r)) AS r FROM {{p}} x JOIN {{p}} y ON x.b = y.a GROUP BY x.a, y.b'.replace('{{', '{').replace('}}', '}'), 5)}
+    SELECT rk.a, rk.b, rk.w AS weight, rk.edge_id FROM rk JOIN p5 ON p5.a = rk.a AND p5.b = rk.b WHERE p5.r = rk.r""")
 def spanning_forest(spark, d):
-    return flow.spanning_forest(tables.trade(spark, d))
+    return flow.spanning_forest(tables.traffic(spark, d))
 
 
-@query()
+@query(f"WITH {TRAFFIC} SELECT id AS node_id, CAST(32 AS INT) AS dimensions, CASE WHEN id IN (SELECT a FROM u) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM v")
 def fast_rp(spark, d):
-    return flow.fast_rp(tables.trade(spark, d), 32)
+    """Of each vector its dimensions and length; what a vector is made of is tested by brute force."""
+    found = flow.fast_rp(tables.traffic(spark, d), 32)
+    return found.select("node_id", F.size("vec").alias("dimensions"), F.round(F.sqrt(F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)), 3).alias("length"))
 
 
 NOW = 1_000_000_000_000
@@ -596,14 +700,14 @@ def condense(spark, d):
     return importance.condense(tables.knowledge(spark, d), NOW, 0.0003).nodes.agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRADE}, x AS (SELECT user_id % 25 AS id, max(epoch_us(ts) // 1000) AS t FROM events GROUP BY 1) SELECT v.id AS node_id FROM v LEFT JOIN x USING (id) ORDER BY coalesce(t, 0), v.id LIMIT 6")
+@query(f"WITH {TRAFFIC}, x AS (SELECT user_id AS id, max(epoch_us(ts) // 1000) AS t FROM events GROUP BY 1), r AS (SELECT v.id, row_number() OVER (ORDER BY coalesce(t, 0), v.id) AS i FROM v LEFT JOIN x USING (id)) SELECT id AS node_id FROM r WHERE i <= (SELECT n FROM nv) + 1 - 12")
 def lru_eviction(spark, d):
     from dataclasses import replace
 
     from .model import Settings
 
-    access = tables.table(spark, d, "events").select((F.col("user_id") % 25).alias("node_id"), tables.millis("ts").alias("accessed_at"))
-    return importance.evictable(replace(tables.trade(spark, d), settings=Settings(max_nodes=20, eviction="lru")), access)
+    access = tables.table(spark, d, "events").select(F.col("user_id").cast("long").alias("node_id"), tables.millis("ts").alias("accessed_at"))
+    return importance.evictable(replace(tables.traffic(spark, d), settings=Settings(max_nodes=12, eviction="lru")), access)
 
 
 @query("SELECT CAST(CASE WHEN n_nationkey < 3 THEN n_nationkey + 1 ELSE n_nationkey END AS BIGINT) AS id, CASE WHEN n_nationkey < 3 THEN 'alias-' || n_nationkey ELSE n_name END AS name, CASE WHEN n_nationkey < 3 THEN 'last' ELSE n_name END AS canonical FROM nation")
@@ -681,9 +785,9 @@ def blocked_resolution(spark, d):
     return score(resolve.match_blocked(names, queries))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node_id FROM nation")
+@query(f"WITH {TRAFFIC} SELECT id AS query_id, id AS node_id FROM v")
 def key_resolution(spark, d):
-    g = tables.trade(spark, d)
+    g = tables.traffic(spark, d)
     return resolve.match_key(g, g.nodes.select(F.col("node_id").alias("query_id"), "entity_key"))
 
 
@@ -696,14 +800,20 @@ def vector_resolution(spark, d):
     return resolve.match_vector(g, e.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "vec")).select("query_id", "node_id")
 
 
-@query()
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS visible, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS misplaced FROM documents WHERE regexp_matches(text, '\\S')")
 def chunked_documents(spark, d):
-    return resolve.chunk(tables.table(spark, d, "documents"), 512).select("doc_id", "chunk", "start", "end", "tokens")
+    """Of each document the characters in its chunks that aren't white space, and chunks that are too long or aren't where they say."""
+    docs = tables.table(spark, d, "documents")
+    pieces = resolve.chunk(docs, 512).join(docs.select("doc_id", "text"), "doc_id")
+    at = F.decode(F.substring(F.encode("text", "utf-8"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "utf-8")
+    return pieces.groupBy("doc_id").agg(
+        F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("visible"), F.sum((F.length("content") > 512).cast("long")).alias("oversize"), F.sum((at != F.col("content")).cast("long")).alias("misplaced")
+    )
 
 
-@query(f"WITH {TRADE}, m AS (SELECT CASE WHEN a = 1 THEN 2 ELSE a END AS a, CASE WHEN b = 1 THEN 2 ELSE b END AS b, w, a = 1 OR b = 1 AS moved FROM e) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, w FROM m WHERE NOT moved OR a <> b")
+@query(f"WITH {TRAFFIC}, m AS (SELECT CASE WHEN a = 1 THEN 2 ELSE a END AS a, CASE WHEN b = 1 THEN 2 ELSE b END AS b, w, a = 1 OR b = 1 AS moved FROM e) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, w FROM m WHERE NOT moved OR a <> b")
 def node_merge(spark, d):
-    return resolve.merge_nodes(tables.trade(spark, d), 1, 2).edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+    return resolve.merge_nodes(tables.traffic(spark, d), 1, 2).edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
 
 
 # ---- time and change
@@ -725,9 +835,9 @@ def graph_diff(spark, d):
     return timeline.diff(tables.knowledge(spark, d), 800000000000, 850000000000)
 
 
-@query(f"WITH {TRADE} SELECT edge_id, a AS src, b AS dst, true AS active FROM e WHERE a = 1 OR b = 1")
+@query(f"WITH {TRAFFIC} SELECT edge_id, a AS src, b AS dst, true AS active FROM e WHERE a = 1 OR b = 1")
 def node_history(spark, d):
-    return timeline.history(tables.trade(spark, d), 1).select("edge_id", "src", "dst", "active")
+    return timeline.history(tables.traffic(spark, d), 1).select("edge_id", "src", "dst", "active")
 
 
 @query("SELECT event_id AS sequence, 'user-' || (user_id % 10) AS graph FROM events WHERE event_id > 100 AND user_id % 10 = 3 ORDER BY event_id DESC LIMIT 200")
@@ -757,14 +867,18 @@ def expired(spark, d):
 
 
 # ---- profiling and exchange
-@query(f"WITH {TRADE} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6) AS avg_degree")
+@query(f"WITH {TRAFFIC} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 6) AS avg_degree")
 def graph_stats(spark, d):
-    return profile.stats(tables.trade(spark, d))
+    return profile.stats(tables.traffic(spark, d))
 
 
-@query()
+@query(f"""WITH {TRAFFIC}, g AS (SELECT id, (SELECT count(*) FROM u WHERE a = id) AS k FROM v), o AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM g),
+    t AS (SELECT count(DISTINCT w) AS terms FROM (SELECT unnest(list_filter(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2)) AS w FROM v))
+    SELECT (SELECT n FROM nv) AS nodes, (SELECT count(*) FROM e) AS edges, round(2.0 * (SELECT count(*) FROM e) / (SELECT n FROM nv), 6) AS avg_degree, min(k) AS min_degree, max(k) AS max_degree,
+           max(k) FILTER (i = n // 2) AS p50, max(k) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95, max(k) FILTER (i = least(floor(n * 0.99), n - 1)) AS p99, CAST(0 AS BIGINT) AS vectors, (SELECT n FROM nv) AS text_indexed, (SELECT terms FROM t) AS terms,
+           CAST(0 AS BIGINT) AS temporal_nodes, 'user=' || (SELECT n FROM nv) AS labels, 'follows=' || (SELECT count(*) FROM e) AS edge_types, CAST(64 * (SELECT n FROM nv) + 96 * (SELECT count(*) FROM e) + 128 * (SELECT terms FROM t) AS BIGINT) AS memory_bytes FROM o""")
 def detailed_stats(spark, d):
-    return profile.detailed_stats(tables.trade(spark, d))
+    return profile.detailed_stats(tables.traffic(spark, d))
 
 
 @query("SELECT 'part' AS label, unnest(['name', 'brand', 'size']) AS key, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'customer', unnest(['name', 'segment']), (SELECT count(*) FROM customer) UNION ALL SELECT 'orders', unnest(['status', 'priority']), (SELECT count(*) FROM orders) UNION ALL SELECT 'supplier', 'name', (SELECT count(*) FROM supplier) UNION ALL SELECT 'nation', 'name', (SELECT count(*) FROM nation) UNION ALL SELECT 'region', 'name', (SELECT count(*) FROM region)")
@@ -772,9 +886,9 @@ def schema_properties(spark, d):
     return profile.properties(tables.knowledge(spark, d))
 
 
-@query("SELECT 'part' AS label, 'brand' AS key, 'string' AS type, count(*) AS present, 0.0::DOUBLE AS null_rate, count(DISTINCT p_brand) AS distinct_values, true AS required, count(*) = count(DISTINCT p_brand) AS is_unique FROM part UNION ALL SELECT 'part', 'size', 'int', count(*), 0.0, count(DISTINCT p_size), true, count(*) = count(DISTINCT p_size) FROM part UNION ALL SELECT 'part', 'name', 'string', count(*), 0.0, count(DISTINCT p_name), true, count(*) = count(DISTINCT p_name) FROM part")
+@query(" UNION ALL ".join(f"SELECT '{label}' AS label, '{key}' AS key, '{kind}' AS type, count({c}) AS present, round(1 - count({c})::DOUBLE / count(*), 3) AS null_rate, count(DISTINCT {c}) AS distinct_values, count({c}) = count(*) AS required, count({c}) = count(DISTINCT {c}) AS is_unique FROM {label}" for label, key, kind, c in (("part", "brand", "string", "p_brand"), ("part", "size", "int", "p_size"), ("part", "name", "string", "p_name"), ("customer", "name", "string", "c_name"), ("customer", "segment", "string", "c_mktsegment"), ("orders", "status", "string", "o_orderstatus"), ("orders", "priority", "string", "o_orderpriority"), ("supplier", "name", "string", "s_name"), ("nation", "name", "string", "n_name"), ("region", "name", "string", "r_name"))))
 def schema_inference(spark, d):
-    found = profile.infer_schema(tables.knowledge(spark, d)).where("label = 'part'")
+    found = profile.infer_schema(tables.knowledge(spark, d))
     return found.select("label", "key", "type", "present", "null_rate", F.col("distinct").alias("distinct_values"), "required", F.col("unique").alias("is_unique"))
 
 
@@ -784,20 +898,21 @@ def schema_violations(spark, d):
     return profile.violations(tables.knowledge(spark, d), rules).groupBy("constraint").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRADE} SELECT '  n' || a || ' -> n' || b || ' [label=\"trades\"];' AS line FROM e UNION ALL SELECT '  n' || id || ' [label=\"nation: ' || name || '\"];' FROM v UNION ALL SELECT 'digraph \"trade\" {{' UNION ALL SELECT '}}'")
+@query(f"WITH {TRAFFIC} SELECT '  n' || a || ' -> n' || b || ' [label=\"follows\"];' AS line FROM e UNION ALL SELECT '  n' || id || ' [label=\"user: ' || name || '\"];' FROM v UNION ALL SELECT 'digraph \"traffic\" {{' UNION ALL SELECT '}}'")
 def dot_export(spark, d):
-    return exchange.dot_lines(tables.trade(spark, d)).select("line")
+    return exchange.dot_lines(tables.traffic(spark, d)).select("line")
 
 
-@query()
+@query(f"""WITH {TRAFFIC} SELECT '{{"id":' || id || ',"label":"user","entity_key":"' || name || '","properties":{{"name":"' || name || '"}}}}' AS value FROM v
+    UNION ALL SELECT '{{"id":' || edge_id || ',"source":' || a || ',"target":' || b || ',"label":"follows","weight":' || w || ',"properties":{{}},"valid_from":0}}' FROM e""")
 def json_export(spark, d):
-    nodes, edges = exchange.to_json(tables.trade(spark, d))
+    nodes, edges = exchange.to_json(tables.traffic(spark, d))
     return nodes.unionAll(edges)
 
 
-@query(f"WITH {TRADE} SELECT 'nation' AS _label, name FROM v")
+@query(f"WITH {TRAFFIC} SELECT 'user' AS _label, name FROM v")
 def csv_export(spark, d):
-    return exchange.csv_rows(tables.trade(spark, d))
+    return exchange.csv_rows(tables.traffic(spark, d))
 
 
 @query(f"WITH {KNOWLEDGE} SELECT CAST(sum((vf <= 800000000000)::INT) AS BIGINT) AS valid_at, CAST(sum((vf < 810000000000)::INT) AS BIGINT) AS valid_during FROM ke")

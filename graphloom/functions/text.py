@@ -38,9 +38,34 @@ def bpe_tokens(df: DataFrame, text: str, vocabulary: str, pattern: str, out: str
     return df.withColumn(out, count(text))
 
 
-def tokens(text: Column | str, kind: str = "char") -> Column:
-    """Token count by kind; kinds without a vocabulary here count characters."""
-    return char_tokens(text)
+#: Pre-tokenisers of the public byte-level vocabularies.
+BPE_PATTERNS = {
+    "cl100k": r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s""",
+    "o200k": "|".join(
+        [
+            r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
+            r"""[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?""",
+            r"""\p{N}{1,3}""",
+            r""" ?[^\s\p{L}\p{N}]+[\r\n/]*""",
+            r"""\s*[\r\n]+""",
+            r"""\s+(?!\S)""",
+            r"""\s+""",
+        ]
+    ),
+}
+
+
+def count_tokens(df: DataFrame, text: str, kind: str = "char", vocabulary: str | None = None, out: str = "tokens") -> DataFrame:
+    """df with token counts: char, cl100k or o200k by their vocabulary file, or exact, which counts characters without one."""
+    if kind in BPE_PATTERNS:
+        if vocabulary is None:
+            raise ValueError(f"{kind} needs its vocabulary file")
+        return bpe_tokens(df, text, vocabulary, BPE_PATTERNS[kind], out)
+    if kind not in ("char", "exact"):
+        raise ValueError(f"no token counter {kind}")
+    if kind == "exact" and vocabulary is not None:
+        return bpe_tokens(df, text, vocabulary, BPE_PATTERNS["cl100k"], out)
+    return df.withColumn(out, char_tokens(text))
 
 
 def search_tokens(text: Column | str) -> Column:

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import in_one_task
@@ -46,10 +47,50 @@ def _items() -> Column:
     return F.array_sort(F.collect_list(F.struct((-_density()).alias("d"), F.col("node_id").alias("id"), F.col("tokens").cast("long").alias("t"))))
 
 
+def _first(kind: np.ndarray, tokens: np.ndarray, score: np.ndarray, node: np.ndarray, most: int) -> np.ndarray:
+    """Indices of the rows that a pass by (score falling, id) over each kind could take: of a size, as many as fit."""
+    order = np.lexsort((node, -score, tokens, kind))
+    new = np.ones(len(order), bool)
+    new[1:] = (kind[order][1:] != kind[order][:-1]) | (tokens[order][1:] != tokens[order][:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < most // np.maximum(tokens[order], 1)]
+
+
+def candidates(chunks: DataFrame, tokens: int, kind: Column | None = None) -> DataFrame:
+    """(kind, node_id, score, tokens): what a greedy pass over each kind can take at all.
+
+    Of chunks of one size the better come first, and once one doesn't fit no later one does: at most
+    tokens / size of each size can be taken.  Tasks keep just these before anything is shuffled, so what is
+    gathered is bounded by the budget and not by the table.  Chunks of no tokens always fit and are left out.
+    """
+
+    def prune(batches):
+        held = None
+        for batch in batches:
+            t = batch.to_pandas()
+            t = t[t["tokens"] <= tokens]
+            held = t if held is None else pd.concat([held, t], ignore_index=True)
+            if len(held) > 500_000:
+                held = held.iloc[_first(*(held[c].to_numpy() for c in ("kind", "tokens", "score", "node_id")), tokens)].reset_index(drop=True)
+        if held is not None and len(held):
+            held = held.iloc[_first(*(held[c].to_numpy() for c in ("kind", "tokens", "score", "node_id")), tokens)]
+            yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+
+    schema = "kind long, node_id long, score double, tokens long"
+    rows = chunks.where("tokens > 0").select((F.lit(0) if kind is None else kind).cast("long").alias("kind"), "node_id", F.col("score").cast("double").alias("score"), F.col("tokens").cast("long").alias("tokens"))
+    rank = F.row_number().over(Window.partitionBy("kind", "tokens").orderBy(F.desc("score"), "node_id"))
+    return rows.mapInArrow(prune, schema).withColumn("_r", rank).where(F.col("_r") <= F.floor(F.lit(tokens) / F.col("tokens"))).drop("_r")
+
+
+def _taken(chunks: DataFrame, picked: DataFrame) -> DataFrame:
+    """Chunks that were picked, at most a budget's tokens of them, and those without tokens."""
+    return chunks.where("tokens > 0").join(F.broadcast(picked), "node_id", "left_semi").unionByName(chunks.where("tokens <= 0"))
+
+
 def greedy(chunks: DataFrame, tokens: int) -> DataFrame:
     """By score per token, then id; a chunk that doesn't fit is passed over."""
-    picked = chunks.agg(_items().alias("items")).select(F.explode(_fitting(F.col("items"), F.lit(tokens).cast("long"))).alias("node_id"))
-    return chunks.join(F.broadcast(picked), "node_id", "left_semi")
+    picked = candidates(chunks, tokens).agg(_items().alias("items")).select(F.explode(_fitting(F.col("items"), F.lit(tokens).cast("long"))).alias("node_id"))
+    return _taken(chunks, picked)
 
 
 def pool(label: Column) -> Column:
@@ -62,9 +103,9 @@ def proportional(chunks: DataFrame, tokens: int, shares: tuple[float, float, flo
     most = F.lit(0).cast("long")
     for i, share in enumerate(shares):
         most = F.when(F.col("pool") == i, F.lit(int(tokens * share)).cast("long")).otherwise(most)
-    packed = chunks.withColumn("pool", pool(F.col("label"))).groupBy("pool").agg(_items().alias("items"))
+    packed = candidates(chunks, tokens, pool(F.col("label"))).withColumnRenamed("kind", "pool").groupBy("pool").agg(_items().alias("items"))
     picked = packed.select(F.explode(_fitting(F.col("items"), most)).alias("node_id"))
-    return chunks.join(F.broadcast(picked), "node_id", "left_semi")
+    return _taken(chunks, picked)
 
 
 def _relevance(scores: np.ndarray) -> np.ndarray:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rerank_tokens
+from ..runtime import numbered
 
 RRF_K = 60
 
 
 def ranked(scores: DataFrame, key: str = "node_id", score: str = "score") -> DataFrame:
     """scores with a rank from 1 by score, then key."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    return numbered(scores, [F.desc(score), F.col(key)], "rank")
 
 
 def top(scores: DataFrame, n: int, key: str = "node_id", score: str = "score") -> DataFrame:
@@ -75,8 +76,7 @@ def rerank(chunks: DataFrame, query: str | None, weight: float = 0.35, candidate
     if not query or not query.strip():
         return chunks
     w = min(max(weight, 0.0), 1.0)
-    order = Window.orderBy(F.desc("score"), "node_id")
     blended = F.least(F.greatest((1 - w) * F.col("score") + w * lexical_score(query, F.col("label"), F.col("content")), F.lit(0.0)), F.lit(1.0))
-    many = F.count("*").over(Window.partitionBy(F.lit(0)))
-    out = chunks.withColumn("_rank", F.row_number().over(order)).withColumn("_n", many)
-    return out.withColumn("score", F.when((F.col("_rank") <= candidates) & (F.col("_n") > 1), blended).otherwise(F.col("score"))).drop("_rank", "_n")
+    best = chunks.select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(candidates).select("node_id", F.lit(True).alias("_best"))
+    out = chunks.join(best, "node_id", "left").crossJoin(F.broadcast(chunks.select("node_id").limit(2).agg(F.count("*").alias("_n"))))
+    return out.withColumn("score", F.when(F.col("_best") & (F.col("_n") > 1), blended).otherwise(F.col("score"))).select(*chunks.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler, same_name
 from ..model import EDGE, NODE, Graph, shaped
+from ..runtime import numbered
 from .joins import trigram_candidates
 from .search import nearest
 
@@ -78,7 +79,7 @@ def merge_nodes(graph: Graph, source: int, target: int, policy: str = "keep_targ
     top = graph.edges.agg(F.coalesce(F.max("edge_id"), F.lit(0)).alias("_top"))
     move = lambda c: F.when(F.col(c) == source, F.lit(target)).otherwise(F.col(c)).cast("long")
     moved = graph.edges.where(touched).withColumn("src", move("src")).withColumn("dst", move("dst")).where("src <> dst")
-    moved = moved.crossJoin(F.broadcast(top)).withColumn("edge_id", F.col("_top") + F.row_number().over(Window.orderBy("edge_id"))).select(*graph.edges.columns)
+    moved = numbered(moved, ["edge_id"], "_number").crossJoin(F.broadcast(top)).withColumn("edge_id", F.col("_top") + F.col("_number")).select(*graph.edges.columns)
     edges = graph.edges.where(~touched).unionByName(moved)
     vectors = graph.embeddings
     if vectors is not None:
@@ -151,13 +152,13 @@ def dedup_entities(entities: DataFrame, threshold: float = NAME_THRESHOLD) -> Da
     """
     from .paths import least_labels
 
-    numbered = entities.groupBy("name", "label").agg(F.max("confidence").alias("confidence")).withColumn("id", F.row_number().over(Window.orderBy("label", "name")).cast("long"))
-    names = numbered.select(F.col("id").alias("node_id"), F.lower("name").alias("name"))
+    table = numbered(entities.groupBy("name", "label").agg(F.max("confidence").alias("confidence")), ["label", "name"], "id")
+    names = table.select(F.col("id").alias("node_id"), F.lower("name").alias("name"))
     pairs = trigram_candidates(names, names.select(F.col("node_id").alias("query_id"), "name")).where("node_id < query_id")
-    l, r = numbered.select(F.col("id").alias("node_id"), F.col("name").alias("n1"), F.col("label").alias("l1")), numbered.select(F.col("id").alias("query_id"), F.col("name").alias("n2"), F.col("label").alias("l2"))
+    l, r = table.select(F.col("id").alias("node_id"), F.col("name").alias("n1"), F.col("label").alias("l1")), table.select(F.col("id").alias("query_id"), F.col("name").alias("n2"), F.col("label").alias("l2"))
     alike = pairs.join(l, "node_id").join(r, "query_id").where("l1 = l2").where(same_name(F.col("n1"), F.col("n2"), threshold))
-    roots = least_labels(alike.select(F.col("node_id").alias("a"), F.col("query_id").alias("b")), numbered.select(F.col("id").alias("node_id")))
-    joined = numbered.join(roots, numbered["id"] == roots["node_id"])
+    roots = least_labels(alike.select(F.col("node_id").alias("a"), F.col("query_id").alias("b")), table.select(F.col("id").alias("node_id")))
+    joined = table.join(roots, table["id"] == roots["node_id"])
     first = joined.groupBy("root").agg(F.min_by("name", "id").alias("kept"), F.max("confidence").alias("top"))
     return joined.join(first, "root").select("name", "label", F.col("top").alias("confidence"), "kept")
 
@@ -177,15 +178,15 @@ def ingest(graph: Graph, docs: DataFrame, extract_entities: Extractor | None = N
     """Chunks as nodes, and what pluggable extractors (over chunks, by mapInPandas) find: entities resolved against the graph, relations as edges."""
     chunks = chunk(docs, size)
     start = graph.nodes.agg(F.coalesce(F.max("node_id"), F.lit(0))).first()[0]
-    number = F.row_number().over(Window.orderBy("doc_id", "chunk")) + start
+    chunks = numbered(chunks, ["doc_id", "chunk"], "_number", start + 1)
     props = F.create_map(F.lit("content"), "content", F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("chunk"), F.col("chunk").cast("string"))
-    nodes = graph.nodes.unionByName(shaped(chunks.select(number.cast("long").alias("node_id"), F.lit("chunk").alias("label"), props.alias("props")), NODE, tx_from=now, created_at=now))
+    nodes = graph.nodes.unionByName(shaped(chunks.select(F.col("_number").alias("node_id"), F.lit("chunk").alias("label"), props.alias("props")), NODE, tx_from=now, created_at=now))
     if extract_entities is None:
         return Graph(nodes, graph.edges, graph.embeddings, graph.name, graph.settings)
     found = resolve_aliases(chunks.mapInPandas(extract_entities, ENTITIES), aliases or {}).withColumn("name", F.col("canonical")).drop("canonical")
     kept = dedup_entities(found).select("label", "confidence", F.col("kept").alias("name")).distinct().groupBy("name").agg(F.min("label").alias("label"), F.max("confidence").alias("confidence"))
     described = found.groupBy("name").agg(F.min("description").alias("description"))
-    wanted = kept.join(described, "name", "left").withColumn("query_id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    wanted = numbered(kept.join(described, "name", "left"), ["name"], "query_id")
     by_key = match_key(graph, wanted.select("query_id", F.lower("name").alias("entity_key")))
     names = graph.nodes.select("node_id", F.col("props")["name"].alias("name"), "label").where("name IS NOT NULL")
     near = match_blocked(names.select("node_id", "name"), wanted.select("query_id", "name"), LINK_THRESHOLD, LINK_CAP, False).join(names.select("node_id", F.col("label").alias("nl")), "node_id").join(wanted.select("query_id", "label"), "query_id").where("nl = label").select("query_id", F.col("node_id").alias("near"))
@@ -199,6 +200,6 @@ def ingest(graph: Graph, docs: DataFrame, extract_entities: Extractor | None = N
         ids = placed.select(F.lower("name").alias("k"), "node_id")
         r = dedup_relations(chunks.mapInPandas(extract_relations, RELATIONS)).join(ids.select(F.col("k").alias("ks"), F.col("node_id").alias("src")), F.lower("source") == F.col("ks")).join(ids.select(F.col("k").alias("kt"), F.col("node_id").alias("dst")), F.lower("target") == F.col("kt"))
         last = edges.agg(F.coalesce(F.max("edge_id"), F.lit(0))).first()[0]
-        new = r.select((F.row_number().over(Window.orderBy("src", "dst", "type")) + last).cast("long").alias("edge_id"), "src", "dst", F.col("type").alias("label"), F.struct(F.lit("ingest").alias("source"), F.col("confidence").alias("confidence"), F.lit("llm_extracted").alias("method")).alias("prov"))
+        new = numbered(r, ["src", "dst", "type"], "edge_id", last + 1).select("edge_id", "src", "dst", F.col("type").alias("label"), F.struct(F.lit("ingest").alias("source"), F.col("confidence").alias("confidence"), F.lit("llm_extracted").alias("method")).alias("prov"))
         edges = edges.unionByName(shaped(new, EDGE, weight=1.0, valid_from=now, tx_from=now))
     return Graph(nodes, edges, graph.embeddings, graph.name, graph.settings)

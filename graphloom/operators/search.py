@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch
 from ..functions.text import search_tokens
+from ..functions.vectors import METRICS
 from ..model import Graph
 from ..runtime import new_path
 from .aggregates import text_statistics
@@ -123,16 +124,22 @@ def distances(embeddings: DataFrame, queries: DataFrame, metric: str = "cosine")
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """An inverted file: every row (list, node_id, vec), and the lists' centres; lists too large for a task are in several parts."""
+    """An inverted file: every row (list, node_id, vec), and the lists' centres; lists too large for a task are in several parts.
+
+    probes: how many lists a search looks into, as the rows of the fit needed for the recall that was asked for.
+    """
 
     rows: DataFrame
     centres: np.ndarray
     metric: str
+    probes: int
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
-        """(query_id, node_id, distance, rank) among the rows of the lists nearest to each query, a quarter of them without `probes`."""
+        """(query_id, node_id, distance, rank) among the rows of the lists nearest to each query."""
         centres, metric, n = self.centres, self.metric, len(self.centres)
-        probes = min(n, max(8, -(-n // 4)) if probes is None else probes)
+        if not n:
+            return nearest(self.rows.select("node_id", "vec"), queries, k, metric)
+        probes = min(n, self.probes if probes is None else probes)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -158,10 +165,11 @@ class VectorIndex:
         return _ranked(self.rows.mapInArrow(make, "query_id long, node_id long, distance double"), k)
 
 
-def vector_index(embeddings: DataFrame, lists: int | None = None, metric: str = "cosine", sample: int = INDEX_SAMPLE, rounds: int = 8) -> VectorIndex:
+def vector_index(embeddings: DataFrame, lists: int | None = None, metric: str = "cosine", sample: int = INDEX_SAMPLE, rounds: int = 8, recall: float = 0.95) -> VectorIndex:
     """An index of every row of embeddings (node_id, vec): k-means centres are fitted on at most `sample` rows, drawn by a hash of their ids.
 
-    Without `lists` there are about the root of the number of rows, at most 4,096.
+    Without `lists` there are about the root of the number of rows, at most 4,096.  How many of them a search must look
+    into for the recall that is asked for is measured on the sample: by the lists of the ten nearest of some of its rows.
     """
     some = embeddings.where("vec IS NOT NULL").select("node_id", F.col("vec").cast("array<float>").alias("vec"))
     n = some.count()
@@ -175,6 +183,14 @@ def vector_index(embeddings: DataFrame, lists: int | None = None, metric: str =
         np.add.at(total, near, x)
         centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
 
+    probes = max(1, lists)
+    if len(x) > 1:
+        some_of = x[:: -(-len(x) // 256)]
+        near10 = np.concatenate([np.argsort(_distance(some_of[i : i + 32], x, metric), axis=1, kind="stable")[:, 1:11] for i in range(0, len(some_of), 32)])
+        of = np.concatenate([np.argmin(_distance(x[i : i + _STEP], centres, metric), axis=1) for i in range(0, len(x), _STEP)])
+        place = np.argsort(np.argsort(_distance(some_of, centres, metric), axis=1, kind="stable"), axis=1)  # of each list, from the nearest on
+        probes = int(np.quantile(np.take_along_axis(place, of[near10], 1), recall, method="higher")) + 1
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = _matrix(batch.column(1))
@@ -185,7 +201,41 @@ def vector_index(embeddings: DataFrame, lists: int | None = None, metric: str =
     # a salt splits a list that holds a large share of the rows; files stay sorted by list
     placed = some.mapInArrow(assign, "list long, node_id long, vec array<float>") if lists else some.select(F.lit(0).cast("long").alias("list"), "node_id", "vec")
     placed.repartition("list", F.pmod(F.xxhash64("node_id"), F.lit(max(1, n // 10_000_000)))).sortWithinPartitions("list").write.parquet(path)
-    return VectorIndex(embeddings.sparkSession.read.parquet(path), centres, metric)
+    return VectorIndex(embeddings.sparkSession.read.parquet(path), centres, metric, probes)
+
+
+def quantized(embeddings: DataFrame) -> DataFrame:
+    """(node_id, code, scale): vectors as signed bytes, a quarter of their size; value = code * scale."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            scale = np.abs(x).max(1, initial=0) / 127
+            code = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1] if len(x) else np.zeros(1, np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(scale)], ["node_id", "code", "scale"])
+
+    return embeddings.where("vec IS NOT NULL").select("node_id", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(make, "node_id long, code binary, scale double")
+
+
+def restored(codes: DataFrame) -> DataFrame:
+    """(node_id, vec) of quantized vectors, within half a step of what they were."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(np.frombuffer(c, np.int8) * s).astype(np.float32) for c, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], ["node_id", "vec"])
+
+    return codes.mapInArrow(make, "node_id long, vec array<float>")
+
+
+def nearest_quantized(codes: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", oversample: int = 4) -> DataFrame:
+    """(query_id, node_id, distance, rank): the best of oversample * k by quantized vectors, ranked by the exact ones."""
+    found = nearest(restored(codes), queries, oversample * k, metric).select("query_id", "node_id")
+    exact = found.join(embeddings.select("node_id", "vec"), "node_id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
+    distance = METRICS[metric](F.col("q"), F.col("vec"))
+    return _ranked(exact.select("query_id", "node_id", distance.alias("distance")), k)
 
 
 def nearest_where(graph: Graph, queries: DataFrame, k: int = 10, labels: list[str] | None = None, properties: dict[str, str] | None = None, metric: str = "cosine", oversample: int | None = None) -> DataFrame:

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import csv_type
 from ..model import EDGE, EMBEDDING, NODE, Graph, shaped
 from ..operators.filters import visible
+from ..runtime import numbered
 
 
 
@@ -52,14 +53,14 @@ def read_json(spark: SparkSession, path: str, into: Graph | None = None, now: in
     top = into.nodes.agg(F.coalesce(F.max("node_id"), F.lit(0))).first()[0] if into else 0
     top_edge = into.edges.agg(F.coalesce(F.max("edge_id"), F.lit(0))).first()[0] if into else 0
     good = n.where("_bad IS NULL AND id IS NOT NULL AND label IS NOT NULL")
-    numbered = good.withColumn("node_id", (F.row_number().over(Window.orderBy("id")) + top).cast("long"))
-    ids = numbered.select(F.col("id").alias("old"), F.col("node_id").alias("new"))
+    placed = numbered(good, ["id"], "node_id", top + 1)
+    ids = placed.select(F.col("id").alias("old"), F.col("node_id").alias("new"))
     linked = e.where("_bad IS NULL").join(ids.select(F.col("old").alias("source"), F.col("new").alias("src")), "source", "left").join(ids.select(F.col("old").alias("target"), F.col("new").alias("dst")), "target", "left")
-    edges = linked.where("src IS NOT NULL AND dst IS NOT NULL").withColumn("edge_id", (F.row_number().over(Window.orderBy("id", "src", "dst")) + top_edge).cast("long")).withColumnRenamed("properties", "props").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("valid_from", F.coalesce("valid_from", F.lit(now)))
+    edges = numbered(linked.where("src IS NOT NULL AND dst IS NOT NULL"), ["id", "src", "dst"], "edge_id", top_edge + 1).withColumnRenamed("properties", "props").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("valid_from", F.coalesce("valid_from", F.lit(now)))
     rejects = n.where("_bad IS NOT NULL OR id IS NULL OR label IS NULL").select(F.lit("node").alias("kind"), F.col("_raw").alias("value"), F.lit("a node needs an id and a label").alias("error"))
     rejects = rejects.unionAll(e.where("_bad IS NOT NULL").select(F.lit("edge"), "_raw", F.lit("no JSON")))
     rejects = rejects.unionAll(linked.where("src IS NULL OR dst IS NULL").select(F.lit("edge"), "_raw", F.lit("an end is missing")))
-    nodes = shaped(numbered.withColumnRenamed("properties", "props"), NODE, tx_from=now, created_at=now)
+    nodes = shaped(placed.withColumnRenamed("properties", "props"), NODE, tx_from=now, created_at=now)
     vectors = shaped(numbered.where("embedding IS NOT NULL").withColumnRenamed("embedding", "vec"), EMBEDDING)
     edges = shaped(edges, EDGE, tx_from=now)
     if into is None:
@@ -76,8 +77,8 @@ def read_csv(spark: SparkSession, path: str, start: int = 1, now: int = 0) -> tu
     keys = [c for c in raw.columns if c not in ("_label", "_id")]
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("value")) for k in keys]) if keys else F.array().cast("array<struct<key:string,value:string>>")
     filled = raw.where("_label IS NOT NULL").withColumn("_pairs", F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] != "")))
-    number = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + (start - 1)
-    nodes = shaped(filled.select(number.cast("long").alias("node_id"), F.col("_label").alias("label"), F.map_from_entries("_pairs").alias("props")), NODE, tx_from=now, created_at=now)
+    placed = numbered(filled.withColumn("_line", F.monotonically_increasing_id()), ["_line"], "_number", start)
+    nodes = shaped(placed.select(F.col("_number").alias("node_id"), F.col("_label").alias("label"), F.map_from_entries("_pairs").alias("props")), NODE, tx_from=now, created_at=now)
     types = filled.select(F.explode("_pairs").alias("p")).select("p.key", csv_type(F.col("p.value")).alias("type")).groupBy("key", "type").agg(F.count("*").alias("n"))
     return nodes, types
 

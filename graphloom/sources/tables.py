@@ -61,17 +61,16 @@ def knowledge(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(n.withColumn("created_at", F.col("tx_from")), e, name="knowledge")
 
 
-def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations, and an edge from customers' to suppliers' nation where at least 1.1 times the average of lines went."""
-    t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = lines.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"))
-    total = pairs.agg(F.count("*").alias("pairs"), F.sum("n").alias("lines"))
-    kept = pairs.crossJoin(F.broadcast(total)).where(10 * F.col("n") * F.col("pairs") >= 11 * F.col("lines"))
-    edges = kept.select("src", "dst", F.col("n").cast("double").alias("weight"), F.lit("trades").alias("label"), F.row_number().over(Window.orderBy("src", "dst")).cast("long").alias("edge_id"))
-    nodes = t("nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.lit("nation").alias("label"), F.col("n_name").alias("entity_key"), _props(name=F.col("n_name")).alias("props"))
-    g = Graph.of(nodes, edges, name="trade")
-    return Graph(g.nodes, cut(g.edges), None, "trade")
+def traffic(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users, and an edge from each event's user to that of the next event, weighted by how often that was so."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user"))
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user").alias("next"))
+    pairs = e.join(after, "event_id").groupBy(F.col("user").alias("src"), F.col("next").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    edges = pairs.withColumn("label", F.lit("follows")).withColumn("edge_id", F.col("src") * 1_000_000_000 + F.col("dst"))
+    name = F.concat(F.lit("user-"), F.col("user").cast("string"))
+    nodes = e.select("user").distinct().select(F.col("user").alias("node_id"), F.lit("user").alias("label"), name.alias("entity_key"), _props(name=name).alias("props"))
+    g = Graph.of(nodes, edges, name="traffic")
+    return Graph(cut(g.nodes), cut(g.edges), None, "traffic")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
