@@ -51,7 +51,7 @@ THRESHOLD = 0.6
 #: Records of one leaf or region that a worker holds at once.
 BLOCK = 1 << 17
 #: Nodes whose labels are counted on the driver to find large regions, about; without influence on results.
-REGION_SAMPLE = 1 << 16
+REGION_SAMPLE = 1 << 14
 _K = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 63, _K, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
