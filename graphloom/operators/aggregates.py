@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import search_tokens
 from ..functions.values import number
 from ..model import Graph
+from ..runtime import sized
 
 
 def aggregate(kind: str, value: Column | None = None, distinct: bool = False) -> Column:
@@ -62,9 +63,15 @@ def degree_distribution(graph: Graph) -> DataFrame:
     )
 
 
-def text_statistics(docs: DataFrame, key: str = "node_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings: key, term, tf, dl; corpus: n, avgdl) of documents that have a token."""
+def text_statistics(docs: DataFrame, key: str = "node_id", text: str = "text", terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings: key, term, tf, dl; corpus: n, avgdl) of documents that have a token; postings only of `terms` (term), if given.
+
+    Other terms are dropped before anything is counted or shuffled.
+    """
     words = docs.select(F.col(key).alias("node_id"), search_tokens(text).alias("w")).where(F.size("w") > 0)
     corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    postings = words.select("node_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("node_id", "term", "dl").agg(F.count("*").alias("tf"))
+    flat = words.select("node_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        flat = flat.join(sized(terms, terms.count(), 100), "term", "left_semi")
+    postings = flat.groupBy("node_id", "term", "dl").agg(F.count("*").alias("tf"))
     return postings, corpus

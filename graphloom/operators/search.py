@@ -16,7 +16,7 @@ from ..errors import DimensionMismatch
 from ..functions.text import search_tokens
 from ..functions.vectors import METRICS
 from ..model import Graph
-from ..runtime import new_path
+from ..runtime import cut, new_path
 from .aggregates import text_statistics
 
 K1, B = 1.2, 0.75
@@ -265,11 +265,21 @@ def bm25(postings: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFram
     return weighed.join(terms, "term").groupBy("query_id", "node_id").agg(F.sum("part").alias("score"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """The distinct terms (term) of queries (query_id, text)."""
+    return cut(queries.select(F.explode(search_tokens("text")).alias("term")).distinct())
+
+
+def bm25_over(docs: DataFrame, queries: DataFrame, key: str = "node_id", text: str = "text") -> DataFrame:
+    """bm25 over documents, of which only the queries' terms are looked at; their texts are read once for postings and once for their lengths."""
+    postings, corpus = text_statistics(docs, key, text, query_terms(queries))
+    return bm25(cut(postings), cut(corpus), queries)
+
+
 def search_text(docs: DataFrame, query: str, limit: int = 20, key: str = "node_id", text: str = "text") -> DataFrame:
     """(node_id, score) of the best documents for one query."""
-    postings, corpus = text_statistics(docs, key, text)
     q = docs.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
-    return bm25(postings, corpus, q).select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(limit)
+    return bm25_over(docs, q, key, text).select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(limit)
 
 
 def node_documents(graph: Graph) -> DataFrame:

@@ -18,11 +18,10 @@ from ..functions import decay
 from ..functions.text import char_tokens
 from ..model import Graph
 from ..operators import budget as budgets
-from ..operators.aggregates import text_statistics
 from ..operators.filters import EdgeFilter, content, not_expired
 from ..operators.joins import conflicts, induced
 from ..operators.ranking import context_order, fuse, rerank, top
-from ..operators.search import bm25, nearest, node_documents
+from ..operators.search import bm25_over, nearest, node_documents
 from ..operators.traversal import flow_scores
 from ..runtime import cut
 
@@ -112,9 +111,8 @@ def seeds(graph: Graph, q: ContextQuery) -> tuple[DataFrame | None, DataFrame |
 
 def text_scores(graph: Graph, text: str, limit: int, summaries: bool) -> DataFrame:
     """BM25 (node_id, score) over all nodes' text; then only summary nodes, or only others."""
-    postings, corpus = text_statistics(node_documents(graph), "node_id")
     q = graph.spark.createDataFrame([(0, text)], "query_id long, text string")
-    found = top(bm25(postings, corpus, q).select("node_id", "score"), limit)
+    found = top(bm25_over(node_documents(graph), q).select("node_id", "score"), limit)
     is_summary = graph.nodes.where(F.col("label") == SUMMARY).select("node_id")
     return found.join(is_summary, "node_id", "left_semi" if summaries else "left_anti")
 
