@@ -1,4 +1,15 @@
-"""From raw documents to token ids: language ID, near-dedup, decontamination, mixing, token output."""
+"""From raw documents to token ids: language ID, near-dedup, decontamination, mixing, token output.
+
+Each stage takes all that its predecessor kept, and its decisions take effect.  Between stages lies a Parquet table
+in the shared folder, which outlives lost executors.
+
+Defined results: documents whose text is null, empty or without letters are of no known language and go in the first
+stage; given to a later stage, they stay (near-dedup, decontamination and mixing take a text without words for a
+document of its own) and have null or no tokens in the last.  Very long texts are taken whole by every stage.  Of rows
+that are alike or repeated whole one stays in near-dedup, the one with the least doc_id, ties by text; mixing copies
+rows by their source's rate, a null source being a source.  An empty table passes every stage as an empty table.
+Further columns, whatever they are called, pass through all stages to the token table.
+"""
 
 from __future__ import annotations
 
