@@ -61,7 +61,7 @@ def read_json(spark: SparkSession, path: str, into: Graph | None = None, now: in
     rejects = rejects.unionAll(e.where("_bad IS NOT NULL").select(F.lit("edge"), "_raw", F.lit("no JSON")))
     rejects = rejects.unionAll(linked.where("src IS NULL OR dst IS NULL").select(F.lit("edge"), "_raw", F.lit("an end is missing")))
     nodes = shaped(placed.withColumnRenamed("properties", "props"), NODE, tx_from=now, created_at=now)
-    vectors = shaped(numbered.where("embedding IS NOT NULL").withColumnRenamed("embedding", "vec"), EMBEDDING)
+    vectors = shaped(placed.where("embedding IS NOT NULL").withColumnRenamed("embedding", "vec"), EMBEDDING)
     edges = shaped(edges, EDGE, tx_from=now)
     if into is None:
         return Graph(nodes, edges, vectors), rejects

@@ -152,3 +152,29 @@ def test_catalog_against_sql(spark, sf_dir, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tables_are_loaded_whole_and_the_log_lies_in_the_folder(spark, tmp_path):
+    from graphloom.engine import Engine
+    from graphloom.errors import NotFound
+    from graphloom.streaming import cdc
+
+    e = Engine(spark, now=lambda: 1000, root=f"file://{tmp_path}")
+    e.create("g")
+    first = e.add_node("g", "person", {"name": "Ann"})
+    e.execute('SNAPSHOT')
+    start, n = e.load_nodes("g", spark.range(500).selectExpr("'item' AS label", "map('k', CAST(id AS STRING)) AS props"))
+    assert (start, n) == (first + 1, 500) and e.add_node("g", "person") == first + 501
+    assert e.load_edges("g", spark.range(500).selectExpr("1 AS src", "id + 2 AS dst", "'has' AS label")) == (1, 500)
+    with pytest.raises(NotFound):
+        e.load_edges("g", spark.createDataFrame([(1, 9999, "has")], "src long, dst long, label string"))
+    g = e.graph("g")
+    assert g.nodes.count() == 502 and g.edges.count() == 500 and not e.log
+    events = e.events()
+    assert events.count() == events.select("sequence").distinct().count() == 1003
+    empty = Engine(spark).create("g")
+    again = cdc.apply_events(empty, events)
+    assert again.nodes.count() == 502 and again.edges.count() == 500
+    e.execute("WAL COMPACT")
+    left = e.events()
+    assert left.agg({"sequence": "min"}).first()[0] == 3 and left.count() == 1001
