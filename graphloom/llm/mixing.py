@@ -35,6 +35,8 @@ from ._cluster import BROADCAST_BYTES, attached, cut, file_key, fresh, sized, te
 
 BUCKET_ROWS = 50_000
 FAN = 32
+#: Copies of a row that are written out as one run; more of them are runs of their own, spread over tasks.
+RUN = 4096
 TEMPERATURE = 0.7
 SEED = 17
 _EPS = 1e-9
@@ -131,6 +133,18 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(make, "doc_id long, th long, file long, n long, node long, s long, p double, u double, bit int")
 
 
+def _numbered(rows: DataFrame, count: str, name: str, *keys: str) -> DataFrame:
+    """A row for each number from 1 to count, as column name; rows with large counts are spread over tasks by keys and run."""
+    (run,) = fresh(rows, "_run")
+    one = F.lit(1).cast("long")
+    few = rows.where(F.col(count).between(1, RUN)).withColumn(name, F.explode(F.sequence(one, F.col(count))))
+    runs = rows.where(F.col(count) > RUN).withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / RUN).cast("long"))))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = runs.repartition(tasks, *keys, run)
+    many = spread.withColumn(name, F.explode(F.sequence(F.col(run) * RUN + one, F.least(F.col(count), (F.col(run) + 1) * RUN)))).drop(run)
+    return few.union(many)
+
+
 def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """(doc_id, th, file, n, s, bit) for each row of docs, s being 64 bits of the source; rates as of source_rates."""
     sources, rows_in_all = rates.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -140,7 +154,7 @@ def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, bucket_rows: int
     rows = rows.join(table, rows["_source"].eqNullSafe(table["_source"]))
     # of rows that are alike in id and text, n tells one from another
     alike = rows.groupBy("doc_id", "th", "file", "s", "p").count()
-    units = alike.select("doc_id", "th", "file", "s", "p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("n"))
+    units = _numbered(alike, "count", "n", "doc_id", "th", "file").drop("count")
     own = ["doc_id", "th", "file", "n"]
     units = units.withColumn("u", _uniform(F.lit(seed), "doc_id", "th", "file", "n")).withColumn("node", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th", "file", "n"), F.lit(buckets)))
     level = cut(_rounded(units.select(*own, "node", "s", "p", "u")))
@@ -195,4 +209,8 @@ def resample(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     value = F.coalesce(F.col(value_), F.lit(0))
     alone = repeated(marked.where(value >= 0), certain + value)
     # of rows alike in id and text any stands for all
-    return alone.union(repeated(marked.where(value < 0).dropDuplicates(["doc_id", "text"]), -1 - value)) if n_alike else alone
+    if not n_alike:
+        return alone
+    (count_,) = fresh(marked, "_count")
+    again = marked.where(value < 0).dropDuplicates(["doc_id", "text"]).withColumn(count_, -1 - value)
+    return alone.union(with_columns_of(_numbered(again, count_, copies_, "doc_id"), docs))

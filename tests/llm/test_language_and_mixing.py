@@ -140,6 +140,16 @@ def test_default_loses_no_row_and_awkward_rows(spark):
     assert mixing.resample(d.limit(0)).count() == 0 and mixing.mixture(d.limit(0)).count() == 0
 
 
+def test_a_row_that_is_a_third_of_all_is_written_in_runs(spark, monkeypatch):
+    d = docs(spark, [(i, words(5, i), "en", "hot") for i in range(20)] + [(7, "again", "en", "hot")] * 11 + [(None, None, "en", None)] * 2)
+    usual = Counter(r["doc_id"] for r in mixing.resample(d).collect()), sorted(map(repr, mixing.mixture(d).collect()))
+    monkeypatch.setattr(mixing, "RUN", 3)
+    assert (Counter(r["doc_id"] for r in mixing.resample(d).collect()), sorted(map(repr, mixing.mixture(d).collect()))) == usual
+    counts = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (3, 4), (4, 10)], "doc_id long, c long")
+    got = mixing._numbered(counts, "c", "n", "doc_id").select("doc_id", "n").collect()
+    assert sorted(map(tuple, got)) == [(i, n) for i, c in ((1, 1), (2, 3), (3, 4), (4, 10)) for n in range(1, c + 1)]
+
+
 def test_a_source_without_weight_goes(spark):
     d = docs(spark, [(1, "a", "en", "x"), (2, "b", "en", "y")])
     assert [r["doc_id"] for r in mixing.resample(d, {"x": 1.0, "absent": 5.0}, 2.0).collect()] == [1, 1]
