@@ -12,7 +12,7 @@ from its expectation by less than one, whatever the number of buckets.
 Without weights, sources get rows to the power of TEMPERATURE.  Without a total, the
 least one is taken at which no row is lost: the source that is most over-represented
 keeps one copy of each row, all others get more.  Draws are hashes of seed and row, so
-a task that runs again decides the same.  Counts, weights and rates of sources are a
+a task that runs again decides the same, and so does another run over the same rows, wherever they lie (but for a draw within the last bit of a rate, which is a sum of doubles).  Counts, weights and rates of sources are a
 table; it may have as many rows as there are hosts in a crawl.
 
 Defined results: null is a source of its own; a source without a weight has
@@ -28,7 +28,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._cluster import BROADCAST_BYTES, attached, cut, file_key, fresh, sized, text_key, with_columns_of
@@ -129,7 +129,7 @@ def _rounded(rows: DataFrame) -> DataFrame:
         if kept:
             yield settle(kept)
 
-    ordered = rows.repartition("node").sortWithinPartitions("node", "s", "doc_id", "th", "file", "n")
+    ordered = rows.repartition("node").sortWithinPartitions("node", "s", "doc_id", "th", "n", "file")
     return ordered.mapInArrow(make, "doc_id long, th long, file long, n long, node long, s long, p double, u double, bit int")
 
 
@@ -152,20 +152,22 @@ def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, bucket_rows: int
     buckets = max(1, -(-rows_in_all // bucket_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), file_key().alias("file"), F.col("source").cast("string").alias("_source"))
     rows = rows.join(table, rows["_source"].eqNullSafe(table["_source"]))
-    # of rows that are alike in id and text, n tells one from another
+    # of rows that are alike in id and text, n tells one from another, whatever the files they lie in are called
     alike = rows.groupBy("doc_id", "th", "file", "s", "p").count()
-    units = _numbered(alike, "count", "n", "doc_id", "th", "file").drop("count")
-    own = ["doc_id", "th", "file", "n"]
-    units = units.withColumn("u", _uniform(F.lit(seed), "doc_id", "th", "file", "n")).withColumn("node", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "th", "file", "n"), F.lit(buckets)))
+    before = Window.partitionBy("doc_id", "th", "s").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    units = _numbered(alike, "count", "n", "doc_id", "th", "file").withColumn("n", F.col("n") + F.col("before")).drop("count", "before")
+    own, drawn = ["doc_id", "th", "file", "n"], ["doc_id", "th", "n"]
+    units = units.withColumn("u", _uniform(F.lit(seed), *drawn)).withColumn("node", F.pmod(F.xxhash64(F.lit(seed + 1), *drawn), F.lit(buckets)))
     level = cut(_rounded(units.select(*own, "node", "s", "p", "u")))
     settled, depth = [level.where("p = 0")], 1
     open_ = level.where("p > 0")
     while buckets > 1:
         buckets = -(-buckets // fan)
-        level = cut(_rounded(open_.select(*own, F.floor(F.col("node") / fan).cast("long").alias("node"), "s", "p", _uniform(F.lit(seed + 100 + depth), *own).alias("u"))))
+        level = cut(_rounded(open_.select(*own, F.floor(F.col("node") / fan).cast("long").alias("node"), "s", "p", _uniform(F.lit(seed + 100 + depth), *drawn).alias("u"))))
         settled.append(level.where("p = 0"))
         open_, depth = level.where("p > 0"), depth + 1
-    root = open_.withColumn("bit", (_uniform(F.lit(seed + 99), *own) < F.col("p")).cast("int"))
+    root = open_.withColumn("bit", (_uniform(F.lit(seed + 99), *drawn) < F.col("p")).cast("int"))
     out = root
     for x in settled:
         out = out.unionByName(x)
