@@ -68,3 +68,12 @@ def test_lists_too_large_for_tasks_are_joined(spark, monkeypatch):
     lists = {r["node_id"]: r["score"] for r in centrality.closeness(g).collect()}
     monkeypatch.setattr(compact, "MOST_ENTRIES", 10)
     assert {r["node_id"]: r["score"] for r in centrality.closeness(g).collect()} == pytest.approx(lists)
+
+
+def test_hop_counts_carry_no_paths(spark):
+    nodes, edges = awkward()
+    g = made(spark, nodes, edges)
+    found = paths.hop_counts(g, g.nodes, 10)
+    assert found.columns == ["source", "node_id", "hops"] and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(s, n, k) for s, x in hops(edges, nodes, False, 10).items() for n, k in x.items()}
+    assert {tuple(r) for r in found.collect()} == want == {(r["source"], r["node_id"], r["hops"]) for r in paths.hop_paths(g, g.nodes, 10).collect()}
