@@ -1,12 +1,13 @@
 """What asks every node about its surroundings, from neighbour lists in the tasks' memory, against brute force."""
 
+import math
 import random
 from collections import deque
 
 import pytest
 
 from graphloom.model import Graph
-from graphloom.operators import centrality, compact, paths
+from graphloom.operators import centrality, compact, paths, similarity
 
 
 def made(spark, n, edges):
@@ -77,3 +78,28 @@ def test_hop_counts_carry_no_paths(spark):
     assert found.columns == ["source", "node_id", "hops"] and "Join" not in found._jdf.queryExecution().executedPlan().toString()
     want = {(s, n, k) for s, x in hops(edges, nodes, False, 10).items() for n, k in x.items()}
     assert {tuple(r) for r in found.collect()} == want == {(r["source"], r["node_id"], r["hops"]) for r in paths.hop_paths(g, g.nodes, 10).collect()}
+
+
+def test_pairs_leave_as_they_are_found(spark):
+    nodes, edges = awkward()
+    g, near = made(spark, nodes, edges), {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    shared = {(a, b): near[a] & near[b] for a in near for b in near if a < b and near[a] & near[b]}
+    found = similarity.common_counts(g)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == {p: len(c) for p, c in shared.items()}
+    want = {p: len(c) / len(near[p[0]] | near[p[1]]) for p, c in shared.items()}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in similarity.similarities(g).collect()} == pytest.approx(want)
+    best = sorted(want, key=lambda p: (-want[p], p))[:10]
+    assert [(r["a"], r["b"]) for r in similarity.top_similar(g, k=10).collect()] == best
+    free = {p: c for p, c in shared.items() if p[1] not in near[p[0]]}
+    rows = {(r["a"], r["b"]): r for r in similarity.all_link_scores(g).collect()}
+    assert {p: (r["common_neighbors"], r["resource_allocation"], r["adamic_adar"]) for p, r in rows.items()} == {p: pytest.approx((len(c), sum(1 / len(near[x]) for x in c), sum(1 / math.log(len(near[x])) for x in c))) for p, c in free.items()}
+    # a node whose neighbours' lists are too long to hold is counted in pieces
+    packed = compact.pack(g.simple(), g.nodes)
+    pieces = compact.pairs(packed, g.nodes, lambda p: [p["a"], p["b"], p["n"], p["resource"]], "a long, b long, n long, x double", True, 20)
+    assert {(r["a"], r["b"]): (r["n"], r["x"]) for r in pieces.collect()} == {p: (len(c), pytest.approx(sum(1 / len(near[x]) for x in c))) for p, c in shared.items()}
