@@ -7,6 +7,7 @@ unique neighbours.  Fixed-round algorithms cut lineage every CUT rounds.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,9 +246,30 @@ def local_clustering(graph: Graph) -> DataFrame:
     return triangles(graph).select("node_id", F.col("clustering").alias("score"))
 
 
+def _peeled(lists: compact.Lists) -> np.ndarray:
+    """Core numbers by position: what has the fewest neighbours left goes first; each list is gone through once."""
+    left, core, there = np.diff(lists.start).astype(np.int32), np.zeros(len(lists.ids), np.int64), np.ones(len(lists.ids), bool)
+    rest, k = np.arange(len(lists.ids)), 0
+    while len(rest := rest[there[rest]]):
+        k = max(k, int(left[rest].min()))
+        front = rest[left[rest] <= k]
+        while len(front):
+            core[front], there[front] = k, False
+            fresh = [np.zeros(0, np.int32)]
+            for _, entry, _ in compact.entries_of(lists, front, 1 << 20):
+                to = lists.to[entry]
+                to = to[there[to]]
+                np.subtract.at(left, to, 1)
+                fresh.append(to[left[to] <= k])
+            front = np.unique(np.concatenate(fresh))
+    return core
+
+
 def core_numbers(graph: Graph) -> DataFrame:
-    """(node_id, core): the fixpoint of each node's h-index over its neighbours' values, starting from degrees."""
+    """(node_id, core): nodes are peeled by degree; larger graphs take the fixpoint of each node's h-index over its neighbours' values."""
     simple = cut(graph.simple())
+    if simple.count() <= compact.MOST_ONCE:
+        return compact.alone(compact.pack(simple, graph.nodes, mutual=True), lambda lists: [lists.ids[lists.own], _peeled(lists)[lists.own]], "node_id long, core long", graph.spark)
     core = cut(simple.groupBy("a").agg(F.count("*").alias("c")).withColumnRenamed("a", "node_id"))
     while True:
         values = simple.join(core.select(F.col("node_id").alias("b"), "c"), "b").groupBy(F.col("a").alias("node_id"), "c").agg(F.count("*").alias("n"))
