@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.temporal import is_valid_at
 from ..functions.text import trigrams
 from ..model import Graph
+from ..runtime import portioned, rewritten
 
 
 def neighbors(graph: Graph, of: DataFrame, direction: str = "out", label: str | None = None, at: int | None = None) -> DataFrame:
@@ -107,7 +108,11 @@ def induced(graph: Graph, nodes: DataFrame) -> DataFrame:
 
 def dangling(graph: Graph) -> DataFrame:
     """Edges with an end that is no node: edge_id, src, dst, missing."""
-    ids = graph.nodes.select("node_id")
-    no_src = graph.edges.join(ids, graph.edges["src"] == ids["node_id"], "left_anti").select("edge_id", "src", "dst", F.lit("src").alias("missing"))
-    no_dst = graph.edges.join(ids, graph.edges["dst"] == ids["node_id"], "left_anti").select("edge_id", "src", "dst", F.lit("dst").alias("missing"))
-    return no_src.unionAll(no_dst)
+    edges = rewritten(graph.edges.select("edge_id", "src", "dst"))  # made once, and counted from its footers
+    rows = edges.count()
+    ids = portioned(graph.nodes.select("node_id"), rows, "node_id")
+
+    def without(end: str) -> DataFrame:
+        return portioned(edges, rows, end).join(ids, F.col(end) == F.col("node_id"), "left_anti").select("edge_id", "src", "dst", F.lit(end).alias("missing"))
+
+    return without("src").unionAll(without("dst"))
