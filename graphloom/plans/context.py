@@ -23,7 +23,7 @@ from ..operators.joins import conflicts, induced
 from ..operators.ranking import context_order, fuse, rerank, top
 from ..operators.search import bm25_over, nearest, node_documents
 from ..operators.traversal import flow_scores
-from ..runtime import cut
+from ..runtime import cut, sized
 
 SUMMARY = "_community_summary"
 ALPHA, THETA = 0.5, 0.01
@@ -109,18 +109,24 @@ def seeds(graph: Graph, q: ContextQuery) -> tuple[DataFrame | None, DataFrame |
     return by_vector, both.groupBy("node_id").agg(F.max("score").alias("score"))
 
 
-def text_scores(graph: Graph, text: str, limit: int, summaries: bool) -> DataFrame:
-    """BM25 (node_id, score) over all nodes' text; then only summary nodes, or only others."""
+def text_matches(graph: Graph, text: str | None) -> DataFrame | None:
+    """BM25 (node_id, score) over all nodes' text, made once a query; none for a blank one."""
+    if not text or not text.strip():
+        return None
     q = graph.spark.createDataFrame([(0, text)], "query_id long, text string")
-    found = top(bm25_over(node_documents(graph), q).select("node_id", "score"), limit)
+    return cut(bm25_over(node_documents(graph), q).select("node_id", "score"))
+
+
+def text_scores(graph: Graph, matches: DataFrame, limit: int, summaries: bool) -> DataFrame:
+    """The best of text_matches; then only summary nodes, or only others."""
     is_summary = graph.nodes.where(F.col("label") == SUMMARY).select("node_id")
-    return found.join(is_summary, "node_id", "left_semi" if summaries else "left_anti")
+    return top(matches, limit).join(is_summary, "node_id", "left_semi" if summaries else "left_anti")
 
 
-def _local(graph: Graph, q: ContextQuery) -> tuple[DataFrame | None, DataFrame | None]:
+def _local(graph: Graph, q: ContextQuery, matches: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
     """((node_id, score), (node_id, depth))."""
     by_vector, start = seeds(graph, q)
-    lexical = cut(text_scores(graph, q.text, TEXT_LIMIT, False)) if q.text and q.text.strip() else None
+    lexical = None if matches is None else cut(text_scores(graph, matches, TEXT_LIMIT, False))
     if start is None:
         if lexical is None:
             return None, None
@@ -137,9 +143,9 @@ def _local(graph: Graph, q: ContextQuery) -> tuple[DataFrame | None, DataFrame |
     return (fuse(lists) if len(lists) > 1 else flow.select("node_id", "score")), flow.select("node_id", "depth")
 
 
-def _global(graph: Graph, q: ContextQuery) -> DataFrame:
-    if q.text and q.text.strip():
-        return text_scores(graph, q.text, max(q.limit or 10, 10) * 5, True)
+def _global(graph: Graph, q: ContextQuery, matches: DataFrame | None) -> DataFrame:
+    if matches is not None:
+        return text_scores(graph, matches, max(q.limit or 10, 10) * 5, True)
     members = F.coalesce(F.col("props")["member_count"].try_cast("double"), F.lit(0.0))
     return graph.nodes.where(F.col("label") == SUMMARY).select("node_id", members.alias("score"))
 
@@ -148,8 +154,9 @@ def scores(graph: Graph, q: ContextQuery) -> tuple[DataFrame, DataFrame | None]:
     """((node_id, score) of the nodes considered, (node_id, depth))."""
     if q.mode not in ("local", "global", "hybrid"):
         raise InvalidQuery(f"retrieval mode {q.mode} isn't supported")
-    local, depth = _local(graph, q) if q.mode != "global" else (None, None)
-    wide = _global(graph, q) if q.mode != "local" else None
+    matches = text_matches(graph, q.text)
+    local, depth = _local(graph, q, matches) if q.mode != "global" else (None, None)
+    wide = _global(graph, q, matches) if q.mode != "local" else None
     if local is None and wide is None:
         raise InvalidQuery("a context query needs text, a vector or keys")
     if local is None or wide is None:
@@ -172,7 +179,8 @@ def relationships(graph: Graph, chunks: DataFrame) -> DataFrame:
 
 def context_query(graph: Graph, q: ContextQuery) -> ContextResult:
     considered, depth = scores(graph, q)
-    rows = considered.join(graph.nodes, "node_id")
+    considered = cut(considered)
+    rows = sized(considered, considered.count()).join(graph.nodes, "node_id")  # texts stay where they are
     rows = rows.join(depth, "node_id", "left") if depth is not None else rows.withColumn("depth", F.lit(0))
     confidence = F.when(F.col("props")["provenance"].isNotNull() | F.col("props")["source"].isNotNull(), F.lit(1.0))
     chunks = rows.select("node_id", "label", "score", F.coalesce("depth", F.lit(0)).alias("depth"), "props", content(F.col("props")).alias("content"), F.coalesce(F.col("props")["provenance"], F.col("props")["source"]).alias("provenance"), confidence.alias("confidence"), F.col("tx_from").alias("valid_from"), "tx_from", "ttl_expires_at", "created_at")
