@@ -309,8 +309,14 @@ def betweenness(graph: Graph, table: DataFrame | None = None) -> DataFrame:
 def triangles(graph: Graph) -> DataFrame:
     """(node_id, triangles, neighbors, clustering): of the simple undirected graph.
 
-    Each edge is directed from its end of lower (degree, id), which bounds what one node fans out to on skewed graphs.
+    Counted in neighbour lists; larger graphs are joined.  Each edge is directed from its end of lower (degree, id), which bounds what
+    one node fans out to on skewed graphs.
     """
+    k = F.col("neighbors")
+    clustering = F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0))
+    links = graph.both().where("a <> b").select("a", "b")
+    if packed := compact.pack(links, graph.nodes, mutual=True, most=compact.MOST_ONCE, once=True):
+        return compact.triangles(packed, graph.spark).withColumn("clustering", clustering)
     simple = cut(graph.simple())
     deg = simple.groupBy("a").agg(F.count("*").alias("k"))
     ranked = simple.join(deg.select("a", F.col("k").alias("ka")), "a").join(deg.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
@@ -320,8 +326,7 @@ def triangles(graph: Graph) -> DataFrame:
     found = wedge.join(closing, ["x", "y"]).select(F.explode(F.array("a", "x", "y")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("t"))
     out = graph.nodes.select("node_id").join(found, "node_id", "left").join(deg.select(F.col("a").alias("node_id"), "k"), "node_id", "left")
     out = out.select("node_id", F.coalesce("t", F.lit(0)).alias("triangles"), F.coalesce("k", F.lit(0)).alias("neighbors"))
-    k = F.col("neighbors")
-    return out.withColumn("clustering", F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0)))
+    return out.withColumn("clustering", clustering)
 
 
 def triangle_count(graph: Graph) -> DataFrame:
